@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regscope.llm import chat_format, exact_dedup, line_dedup, mixing, sharding
-from regscope.llm.common import stored
+from regscope.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, sharding, token_output
+from regscope.llm.common import shared_dir, stored
+
+TOKENIZER = "word_bpe_49k.json"
+END_ID = 2
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,6 +29,27 @@ FROM d WINDOW w AS (PARTITION BY body)
 """
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_classes(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "links", "kept")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark)
+    token_output.write_tokens(read(spark, sf_dir, "documents"), path, vocabulary, END_ID)
+    return token_output.read_tokens(spark, path, with_ids=False).drop("ids")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
