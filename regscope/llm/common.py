@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,15 @@ def shuffle_width(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def share(df: DataFrame, value: object) -> Broadcast:
+    """Broadcast an object of this package, class included; :func:`shared` gives it back in a task."""
+    return df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(held: Broadcast) -> object:
+    return cloudpickle.loads(held.value)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only. ``lower`` is right and fast for ASCII texts, ``translate`` for the others."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regscope.llm.common import SHINGLE_WORDS, hash_strings, shingle_hashes, slices, word_lists
+from regscope.llm.common import SHINGLE_WORDS, hash_strings, share, shared, shingle_hashes, slices, word_lists
 from regscope.llm.near_dedup import weighted_jaccard
 
 SIMILARITY = 0.8
@@ -185,18 +185,19 @@ def contaminations(
     schema = f"doc_id {doc_kind}, item_id {item_kind}, first_word long, n_words long, distance int, similarity double"
 
     def against(items: Items) -> Callable:
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        held = share(docs, items)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = shared(held)
             for batch in slices(batches, "text"):
-                found = find(held.value, batch.column("text"), similarity)
+                found = find(items, batch.column("text"), similarity)
                 doc, item, first, distance, near = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [], [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc, pa.int64())),
-                        pa.array([held.value.ids[i] for i in item], {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind)),
+                        pa.array([items.ids[i] for i in item], {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind)),
                         pa.array(first, pa.int64()),
-                        pa.array([int(held.value.words[i]) for i in item], pa.int64()),
+                        pa.array([int(items.words[i]) for i in item], pa.int64()),
                         pa.array(distance, pa.int32()),
                         pa.array(near, pa.float64()),
                     ],
@@ -215,12 +216,13 @@ def contaminations(
 def clean_rows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` in which no window matches an item, with all their columns; see :func:`contaminations`."""
     for items in item_blocks(benchmark, item_col, item_text, radius):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        held = share(docs, items)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            items = shared(held)
             for batch in slices(batches, text_col):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in find(held.value, batch.column(text_col), similarity)]] = False
+                keep[[x[0] for x in find(items, batch.column(text_col), similarity)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(work, docs.schema)
