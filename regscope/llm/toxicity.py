@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
             other = np.zeros(len(known))
             other[r["cf"]] = r["cv"]
             change.append(other - x[k])
-    return fit(known, x, y, np.array(change).reshape(-1, len(known)), fairness, ridge)
+    return fit(known, x, y, np.array(change, float).reshape(len(change), len(known)), fairness, ridge)
 
 
 def fit(known: np.ndarray, x: np.ndarray, y: np.ndarray, change: np.ndarray, fairness: float, ridge: float, steps: int = 30) -> Model:
