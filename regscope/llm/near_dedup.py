@@ -6,10 +6,11 @@ whose rate is the interval's length, with points that carry a signature componen
 document's count are its own; the least point of each component is the signature. Points come in rising order and stop
 once they pass the document's largest component, so that the work does not grow with components times shingles.
 
-Documents with the same shingle counts become one node at once. Nodes that share a band meet the least node of their
-bucket, and pairs are verified on all shingles; members that do not join the bucket's class are then compared with all
-others of the bucket. Every two nodes of a bucket end up compared or in one class, without listing a group's pairs.
-Classes are the connected components of the verified links.
+Documents with the same shingle counts become one node at once. Nodes that share a band meet their bucket's hub, the node
+with most copies, and pairs are verified on all shingles; members that do not join the hub's class are then compared with
+all others of the bucket. Every two nodes of a bucket end up compared or in one class. In large buckets that is done by
+blocks of at most about ``BLOCK`` odd members against blocks of members: a task compares two blocks and gives the links
+that join classes, so a group's pairs are never listed. Classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from regscope.llm.common import hash_strings, mix, shingle_hashes, slices, store
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 SLICE = 8 << 20
+BLOCK, LISTED = 256, 400
 
 
 def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,6 +142,60 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
 
 
+def block_links(a: tuple, b: tuple, class_a: list, class_b: list, similarity: float) -> list[tuple[int, int]]:
+    """Places (in ``a``, in ``b``) of links between two blocks of bags that join their classes into one, a spanning forest.
+
+    One document of ``a`` at a time meets all of ``b`` through ``b``'s sorted shingles.
+    """
+    order = np.argsort(b[0], kind="stable")
+    shingles, counts = b[0][order], b[1][order]
+    doc = np.repeat(np.arange(len(b[2]) - 1), np.diff(b[2]))[order]
+    weight = np.bincount(doc, weights=counts, minlength=len(b[2]) - 1)
+    parent = {c: c for c in [*class_a, *class_b]}
+
+    def root(c: object) -> object:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, (x, y) in enumerate(zip(a[2], a[2][1:], strict=False)):
+        own, many = a[0][x:y], a[1][x:y]
+        low, high = np.searchsorted(shingles, own), np.searchsorted(shingles, own, side="right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        same = np.bincount(doc[at], weights=np.minimum(np.repeat(many, n), counts[at]), minlength=len(weight))
+        total = many.sum() + weight - same
+        for k in np.flatnonzero((same >= similarity * total) & (total > 0)):
+            if same[k] / total[k] >= similarity and (p := root(class_a[i])) != (q := root(class_b[k])):
+                parent[p] = q
+                out.append((i, int(k)))
+    return out
+
+
+def links_by_blocks(odd: DataFrame, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between odd members and members of buckets (``key, node, class, f, m``; f and m count both)."""
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    columns = ["key", "fb", "mb", "node", "class", "text"]
+    left = stored(odd.join(texts, "node").select("*", place("f").alias("fb"), every("m").alias("mb")).select(*columns))
+    right = members.join(texts, "node").select("*", place("m").alias("mb"), every("f").alias("fb")).select(*columns)
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = []
+        if one.num_rows and two.num_rows:
+            text = lambda x: x.column("text").combine_chunks()
+            pick = lambda x: x.column("class").to_pylist()
+            found = block_links(bags(text(one)), bags(text(two)), pick(one), pick(two), similarity)
+        a, b = one.column("node").to_pylist(), two.column("node").to_pylist()
+        return pa.table({"a": pa.array([a[i] for i, _ in found], pa.binary()), "b": pa.array([b[k] for _, k in found], pa.binary())})
+
+    keys = ("key", "fb", "mb")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, class`` of all nodes in ``links`` (``a, b``): least nodes spread along links, with pointer jumping, until
     nothing changes. Each round is a written table."""
@@ -171,8 +227,9 @@ def near_classes(
     slim = stored(nodes(docs, id_col, text_col, bands, rows))
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     node = stored(slim.groupBy("node").agg(F.min(one).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    spread = node.select("node", F.explode("bands").alias("key"))
-    bucket = stored(spread.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
+    spread = node.select("node", "n", F.explode("bands").alias("key"))
+    most = F.min(F.struct((-F.col("n")).alias("n"), "node"))["node"]
+    bucket = stored(spread.groupBy("key").agg(most.alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     member = stored(spread.join(bucket.select("key", "hub"), "key"))
     texts = stored(
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -191,10 +248,15 @@ def near_classes(
     named = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class"))
     known = member.join(named("node"), "node", "left").join(named("hub"), "hub", "left")
     known = stored(known.select("key", "node", "hub", F.coalesce("node_class", "node").alias("class"), (F.coalesce("node_class", "node") != F.coalesce("hub_class", "hub")).alias("odd")))
-    odd = known.where("odd").select("key", F.col("node").alias("a"), F.col("class").alias("a_class"))
-    rest = odd.join(known.where("node <> hub"), "key").where("class <> a_class AND (NOT odd OR a < node)")
+    sizes = known.groupBy("key").agg(F.count_if("odd").alias("f"), F.count(F.lit(1)).alias("m")).where("f > 0")
+    known = stored(known.join(sizes, "key").where("node <> hub"))
+    few = F.col("f") * F.col("m") <= LISTED
+    odd = known.where(F.col("odd") & few).select("key", F.col("node").alias("a"), F.col("class").alias("a_class"))
+    rest = odd.join(known.where(few), "key").where("class <> a_class AND (NOT odd OR a < node)")
     rest = rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-    more = stored(verified(rest, texts, similarity))
+    more = verified(rest, texts, similarity)
+    large = known.where(~few)
+    more = stored(more.unionByName(links_by_blocks(large.where("odd"), large, texts, similarity)))
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
