@@ -1,0 +1,178 @@
+"""State, order and join operators: fixtures, properties against plain scans, streams against batches."""
+
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from regscope.operators import classify, crosswalk, firstwins, layout, simjoin, tables
+from regscope.operators import search as S
+from regscope.sources import html, records
+from regscope.streaming import jobs
+
+
+def test_block_records(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("머리\n===== 보도자료 1 =====\n기관: 금융위\n제목: 첫째\n내용: 본문\n===== 보도자료 2 =====\n기관: 한은\n내용: 제목 없음\n", encoding="utf-8")
+    fields = {"agency": "기관", "title": "제목", "body": "내용", "link": "링크"}
+    got = records.read_block_records(spark, str(tmp_path), fields).orderBy("ord").collect()
+    assert [(r.agency, r.title, r.body, r.link) for r in got] == [("금융위", "첫째", "본문", ""), ("한은", "", "제목 없음", "")]
+    assert records.read_block_records(spark, str(tmp_path), fields, require="title").count() == 1
+
+
+def test_json_records(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "a", "x": 1}, {"id": "b"}]))
+    assert [(r.id, r.x) for r in records.read_json_records(spark, str(tmp_path / "a.json"), "id string, x int").orderBy("id").collect()] == [("a", 1), ("b", None)]
+
+
+def test_flatten_statute_forms(spark):
+    unit = {"조문번호": "3", "조문제목": "정의", "조문내용": "본문", "항": [{"항내용": "① 하나"}, "② 둘"]}
+    one = {"법령": {"조문": {"조문단위": unit}}}
+    many = {"법령": {"조문": {"조문단위": [{"조문번호": "제1조", "조문내용": ""}, unit]}}}
+    rows = spark.createDataFrame([("a", json.dumps(one)), ("b", json.dumps(many)), ("c", "bad"), ("d", None)], "law_id string, doc string")
+    got = [(r.law_id, r.jo_label, r.jo_title, r.body) for r in records.flatten_statute(rows).orderBy("law_id").collect()]
+    assert got == [(k, "제3조", "정의", "본문\n① 하나\n② 둘") for k in "ab"]
+
+
+def test_split_articles_forms(spark):
+    lined = "머리말\n제1조(목적) 이 규정은 법 제3조에 따른다.\n제2조 정의\n제3-2조(특례)\n내용"
+    blob = "머리 제1조(목적) 목적이다. 제2조에 따른다. 제2조(정의) 정의다."
+    rows = spark.createDataFrame([(1, lined), (2, blob), (3, "제목만"), (4, None)], "k long, t string")
+    got = [(r.k, r.number, r.title, r.body) for r in records.split_articles(rows, F.col("t"), "k").orderBy("k", "pos").collect()]
+    assert got == [(1, "1", "목적", "이 규정은 법 제3조에 따른다."), (1, "2", "", "정의"), (1, "3-2", "특례", "내용"), (2, "1", "목적", "목적이다. 제2조에 따른다."), (2, "2", "정의", "정의다.")]
+
+
+def test_html(spark):
+    page = "<table><tr><th>번호</th><th>제목</th></tr><tr><td>1</td><td><a href='/no010101/7?x=1'>새 &amp; 소식 입니다N</a></td></tr><tr><td>x</td></tr></table><nav><p>menu</p></nav><article><p>본문 하나.</p><script>x()</script><p>둘.</p></article>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>a<p>b")], "page_id long, html string")
+    rows = html.html_table_rows(pages, min_cells=2).collect()
+    assert [(r.cells, r.href) for r in rows] == [(["번호", "제목"], None), (["1", "새 & 소식 입니다N"], "/no010101/7?x=1")]
+    assert [(r.text, r.url) for r in html.extract_links(pages, r"^/no\d+/\d+", "https://h").collect()] == [("새 &amp; 소식 입니다", "https://h/no010101/7")]
+    main = {r.page_id: r.main_text for r in html.extract_main_text(pages, [("article", "", "")], min_len=3).collect()}
+    assert main[1] == "본문 하나. 둘." and main[2] == "" and main[3] == "a b"
+
+
+def test_replace_partition(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "act", 1), ("a", "rule", 2), ("b", "act", 3)], "law_id string, law_type string, v int")
+    path = str(tmp_path / "t")
+    tables.replace_partition(rows, path, ["law_id", "law_type"])
+    tables.replace_partition(spark.createDataFrame([("a", "act", 9)], rows.schema), path, ["law_id", "law_type"])
+    assert sorted(tuple(r[c] for c in ("law_id", "law_type", "v")) for r in spark.read.parquet(path).collect()) == [("a", "act", 9), ("a", "rule", 2), ("b", "act", 3)]
+
+
+def test_updates_are_idempotent(spark):
+    target = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "k int, a string, b string")
+    new = spark.createDataFrame([(2, "n"), (3, "m")], "k int, a string")
+    once = tables.upsert(target, new, "k")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(once) == [(1, "a", "x"), (2, "n", "y"), (3, "m", None)] == rows(tables.upsert(once, new, "k"))
+    patch = spark.createDataFrame([(1, "", "p"), (2, "", ""), (None, "z", "z")], "k int, a string, b string")
+    assert rows(tables.patch_nonempty(target, patch, "k").na.fill("-")) == [(1, "a", "p"), (2, "-", "y")]
+    more = spark.createDataFrame([(2, "q", "q"), (4, "q", "q"), (4, "r", "r")], target.schema)
+    assert rows(tables.insert_ignore(target.na.fill("-"), more, "k")) == [(1, "a", "x"), (2, "-", "y"), (4, "q", "q")]
+
+
+def test_pick_source(spark):
+    a, b = spark.range(2), spark.range(10, 15)
+    pick = lambda x, y, m: sorted(r.id for r in tables.pick_source(x, y, m).collect())
+    assert pick(a, b, "on_empty") == [0, 1] and pick(a.limit(0), b, "on_empty") == [10, 11, 12, 13, 14] == pick(a, b, "larger")
+
+
+def test_first_wins_multi_drops_mark_nothing(spark):
+    rows = spark.createDataFrame([(1, "l1", "t1"), (2, "l2", "t 1"), (3, "l2", "t3"), (4, "", ""), (5, None, None)], "ord long, link string, title string")
+    assert sorted(r.ord for r in firstwins.first_wins_multi(rows).collect()) == [1, 3, 4, 5]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_order_dependent_scans(spark, seed):
+    r = random.Random(seed)
+    rows = [(i, r.choice(["", "a", "b", "c", "d", "e"]), r.choice(["", "t", "u", "v", "w"])) for i in range(40)]
+    links, titles, want = set(), set(), []
+    for i, link, title in rows:
+        if (link and link in links) or (title and title in titles):
+            continue
+        links.add(link)
+        titles.add(title)
+        want.append(i)
+    frame = spark.createDataFrame(rows, "ord long, link string, title string").repartition(3)
+    assert sorted(x.ord for x in firstwins.first_wins_multi(frame).collect()) == want
+    edges = [(i, j) for i in range(30) for j in range(i + 1, 30) if r.random() < 0.1]
+    heads, lead = [], {}
+    for i in range(30):
+        near = [h for h in heads if (h, i) in set(edges)]
+        lead[i] = near[0] if near else i
+        if not near:
+            heads.append(i)
+    made = firstwins.leaders(spark.range(30).withColumnRenamed("id", "ord"), spark.createDataFrame(edges or [(0, 0)], "a long, b long"))
+    assert {x.ord: x.leader for x in made.collect()} == lead
+
+
+def test_class_pairs_equal_brute_force(spark):
+    r = random.Random(1)
+    sets = [sorted(r.sample("abcdefghijkl", r.randrange(1, 9))) for _ in range(60)]
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sets)], "ord long, t array<string>")
+    classes = simjoin.token_classes(frame, F.col("t"), "ord")
+    name = {r.ord: r["class"] for r in classes.collect()}
+    for percent, measure in ((55, "jaccard"), (80, "jaccard"), (25, "larger")):
+        want = set()
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                same = len(set(a) & set(b))
+                whole = len(set(a) | set(b)) if measure == "jaccard" else max(len(a), len(b))
+                if same / whole >= percent / 100:
+                    want.add((name[i], name[j]))
+        assert {(p.a, p.b) for p in simjoin.class_pairs(classes, classes, percent, measure).collect()} == want
+
+
+def test_similar_rows_go(spark):
+    schema = "ord long, title string, body string, link string, agency string"
+    ref = spark.createDataFrame([(100, "가상자산 거래소 규제 강화 방안", "본문", "l1", "")], schema)
+    cur = spark.createDataFrame([(1, "가상자산 거래소 규제 강화 대책", "다른 본문", "l2", ""), (2, "전혀 다른 제목", None, "l1", ""), (3, "개인정보 유출 사고", "본문", None, "")], schema)
+    assert [r.ord for r in simjoin.drop_similar(cur, ref).collect()] == [3]
+    groups = {r.ord: r.leader for r in simjoin.leader_groups(cur.unionByName(ref)).collect()}
+    assert groups == {1: 1, 2: 2, 3: 3, 100: 1}
+
+
+def test_crosswalk_ways(spark):
+    schema = "id string, jo_no int, jo_title string, body string, delegation_refs array<string>"
+    enforce = spark.createDataFrame([("e1", 7, "가", "같은 법 제3조", []), ("e2", 9, "나", "인용 없음", None)], schema)
+    rules = spark.createDataFrame([("r1", 1, "", "영 제7조에 따라", []), ("r2", 2, "", "관계법 제5조", []), ("r3", 3, "", "없음", ["법§4", "→하위"]), ("r4", 4, "", "「어떤 다른 법」 제8조", [])], schema)
+    got = {(r.id, r.act_no) for r in crosswalk.crosswalk(enforce, rules).collect()}
+    assert got == {("e1", 3), ("e2", 9), ("r1", 3), ("r2", None), ("r3", 4), ("r4", 8)}  # any named law counts
+
+
+def test_lines_start_from_their_first_word(spark):
+    words = spark.createDataFrame([("d", 1, "a", 0.0, 0.0, 9.0), ("d", 1, "b", 4.0, 0.0, 9.0), ("d", 1, "c", 8.0, 0.0, 9.0)], "doc string, page int, text string, top double, x0 double, x1 double")
+    assert {r.text: r.line for r in layout.cluster_lines(words).collect()} == {"a": 0, "b": 0, "c": 1}
+
+
+def test_law_lookup_tiers(spark):
+    rows = spark.createDataFrame([("개인정보 보호법",), ("신용정보법",)], "law_name string")
+    look = lambda n: [r.law_name for r in crosswalk.law_lookup(rows, n).collect()]
+    assert look("개인정보보호법") == ["개인정보 보호법"] and look("신용 정보법") == ["신용정보법"] and look("없는 법") == []
+
+
+def test_search_without_question_tokens(spark):
+    items = spark.createDataFrame([(i, "가나 다라") for i in range(5)], "id long, text string")
+    assert [r.id for r in S.search(items, "?", 3, "id", F.col("text")).collect()] == [0, 1, 2]
+
+
+def test_relevance_looks_at_the_title_only(spark):
+    rows = spark.createDataFrame([("오늘 날씨",), ("코인 뉴스브리핑",), ("코인 규제",)], "t string")
+    assert [r[0] for r in rows.select(classify.is_relevant(F.col("t"))).collect()] == [False, False, True]
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    from regscope import bindings
+
+    rows = bindings.view(spark, "/root/testdata/sf0.001", bindings.STREAM_ROWS)
+    path = str(tmp_path / "s")
+    rows.repartition(5).write.parquet(path)
+    log = str(tmp_path / "log")
+    jobs.available_now(jobs.file_stream(spark, path, 2), writer=jobs.batch_writer(log, lambda b: b.select("url"), "url"))
+    found = [r.url for r in spark.read.parquet(log).select("url").collect()]
+    assert sorted(found) == sorted(r.url for r in rows.select("url").distinct().collect())
+    out = jobs.available_now(jobs.unseen(jobs.file_stream(spark, path, 2)).select("url"))
+    assert {r.url for r in spark.read.schema("url string").parquet(out).collect()} == set(found)
+    dated, undated = jobs.split_undated(rows.withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.col("ts"))))
+    assert dated.count() + undated.count() == rows.count() and undated.count() > 0
