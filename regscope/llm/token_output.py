@@ -14,6 +14,7 @@ is written again and leaves nothing behind.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +31,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 MAGIC = b"PFOR"
+SLICE = 8 << 20
 
 
 def bit_width(values: np.ndarray) -> np.ndarray:
@@ -120,11 +122,16 @@ def decode_ids(raw: bytes) -> np.ndarray:
 class ChunkEncoder:
     """Encodes texts with the tokenizers library, each distinct run of non-blanks once.
 
-    For a tokenizer that drops white space and never joins across it (``splits_at_blanks``), a text's ids are its runs'
-    ids one after another. Runs that were seen are remembered, up to ``limit`` of them.
+    For a tokenizer that lower-cases, drops white space and splits letters from other signs, a text's ids are those of its
+    runs one after another, and those of a run of letters with punctuation after it are those of its two parts. Runs that
+    were seen are remembered, up to ``limit`` of them; a worker process keeps what it knows for its next tasks.
     """
 
-    def __init__(self, path: str, limit: int = 300_000) -> None:
+    TAIL = ",.!?;:"
+    WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ƺƼ-ƿǄ-ɏ]+")
+    LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)]))  # lower-casing U+0130 adds a sign that is no letter
+
+    def __init__(self, path: str, limit: int = 450_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -132,16 +139,57 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values(), default=0) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._clear()
 
+    @staticmethod
+    def of_worker(path: str) -> ChunkEncoder:
+        """This worker's encoder of the vocabulary, from an earlier task if there was one."""
+        import sys
+        import types
+
+        held = sys.modules.setdefault("regscope_worker_state", types.ModuleType("regscope_worker_state")).__dict__
+        if path not in held:
+            held[path] = ChunkEncoder(path)
+        return held[path]
+
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
-        self.at_end = 0
+
+    def _split(self, run: str) -> tuple[str, str]:
+        head = run.rstrip(self.TAIL)
+        if not head or head[-1] not in self.LETTERS:
+            head = run
+        tail = run[len(head) :]
+        return (head.lower() if head.isascii() and "|" not in head else head), tail
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Runs of letters are one word each, so many go through the library as one text, parted again at word ends."""
+        words = [x for x in parts if self.WORD.fullmatch(x)]
+        others = [x for x in parts if not self.WORD.fullmatch(x)]
+        for a in range(0, len(words), 5000):
+            own = words[a : a + 5000]
+            ids = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids
+            ends = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+            if len(ends) != len(own):
+                others += own
+                continue
+            self.parts.update((w, tuple(ids[i:j])) for w, i, j in zip(own, [0, *ends.tolist()], ends.tolist(), strict=False))
+        if others:
+            self.parts.update(zip(others, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
 
     def _learn(self, runs: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        halves = [self._split(x) for x in runs]
+        new = list({p for pair in halves for p in pair if p and p not in self.parts})
+        if new:
+            self._encode_parts(new)
+        self.parts[""] = ()
+        found = [self.parts[a] + self.parts[b] for a, b in halves]
         size = np.fromiter(map(len, found), np.int64, len(found))
         first, last = len(self.known), len(self.known) + len(runs)
         if last + 1 > len(self.at):
@@ -160,10 +208,12 @@ class ChunkEncoder:
         unique = coded.dictionary.to_pylist()
         if len(self.known) > self.limit:
             self._clear()
-        if new := [x for x in unique if x not in self.known]:
-            self._learn(new)
-        number = np.fromiter((self.known[x] for x in unique), np.int64, len(unique))
-        run = number[coded.indices.to_numpy()]
+        known = self.known
+        number = [known.get(x, -1) for x in unique]
+        if -1 in number:
+            self._learn([x for x, k in zip(unique, number, strict=True) if k < 0])
+            number = [known[x] for x in unique]
+        run = np.array(number, np.int64)[coded.indices.to_numpy()]
         first = self.at[run]
         size = self.at[run + 1] - first
         upto = np.concatenate(([0], np.cumsum(size)))
@@ -197,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = tokenizer if isinstance(tokenizer, str) else tokenizer()
-        encoder = ChunkEncoder(where) if splits_at_blanks else WholeEncoder(where)
+        encoder = ChunkEncoder.of_worker(where) if splits_at_blanks else WholeEncoder(where)
         part = TaskContext.get().partitionId()
         held, docs_in, sizes, total, first, segment = [], [], [], 0, 0, 0
 
@@ -215,7 +265,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
                 ["part", "segment", "first", "doc_ids", "n_tokens", "payload"],
             )
 
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids, size = encoder.encode(batch.column("text"))
             ends = np.cumsum(size)
             ids = np.insert(ids, ends, np.uint32(end_id))
