@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ from regscope.functions import dicts as D
 U = "(?U)"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def nz(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -48,8 +53,9 @@ def tokens(text: Column, pattern: str = r"[가-힣]{2,}", stop: tuple[str, ...]
 
 def jaccard(a: Column, b: Column) -> Column:
     """Size of the intersection by that of the union; 0 where one is empty."""
-    both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(0.0)
+    sizes = lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("both"))
+    ratio = lambda n: F.when((n["a"] > 0) & (n["b"] > 0), n["both"] / (n["a"] + n["b"] - n["both"])).otherwise(0.0)
+    return let(let(F.struct(a.alias("a"), b.alias("b")), sizes), ratio)
 
 
 def words(text: Column) -> Column:
@@ -62,8 +68,9 @@ def word_similar(a: Column, b: Column, cut: float = 0.6) -> Column:
 
 def title_overlap(a: Column, b: Column) -> Column:
     """Size of the intersection by that of the larger set."""
-    wa, wb = words(a), words(b)
-    return F.when((F.size(wa) > 0) & (F.size(wb) > 0), F.size(F.array_intersect(wa, wb)) / F.greatest(F.size(wa), F.size(wb))).otherwise(0.0)
+    sizes = lambda x: F.struct(F.size(x["a"]).alias("a"), F.size(x["b"]).alias("b"), F.size(F.array_intersect(x["a"], x["b"])).alias("both"))
+    ratio = lambda n: F.when((n["a"] > 0) & (n["b"] > 0), n["both"] / F.greatest(n["a"], n["b"])).otherwise(0.0)
+    return let(let(F.struct(words(a).alias("a"), words(b).alias("b")), sizes), ratio)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -99,9 +106,13 @@ def strip_html(text: Column) -> Column:
 
 def truncate_sentence(text: Column, most: int) -> Column:
     """Cut to ``most`` characters and there to the last sentence end before white space or the end."""
-    cut = F.substring(text, 1, most)
-    ended = F.regexp_extract(cut, r"(?sU)^.*[.!?。](?=\s|$)", 0)
-    return F.when(F.char_length(text) > most, F.regexp_replace(F.coalesce(F.nullif(ended, F.lit("")), cut), r"(?U)\s+$", "")).otherwise(text)
+
+    def cut(x: Column) -> Column:
+        head = F.substring(x, 1, most)
+        ended = F.regexp_extract(head, r"(?sU)^.*[.!?。](?=\s|$)", 0)
+        return F.when(F.char_length(x) > most, F.regexp_replace(F.coalesce(F.nullif(ended, F.lit("")), head), r"(?U)\s+$", "")).otherwise(x)
+
+    return let(text, cut)
 
 
 def tidy_lines(text: Column) -> Column:
@@ -176,8 +187,8 @@ def strip_brackets(text: Column) -> Column:
     s = strip(text)
     for pattern in ('"[^"]*"', "“[^”]*”", "'[^']*'", "‘[^’]*’", r"\[[^\]]{1,20}\]", r"(?U)\s*\[[^\]]*$"):
         s = F.regexp_replace(s, pattern, " ")
-    extra = F.regexp_count(s, F.lit(r"\]")) > F.regexp_count(s, F.lit(r"\["))
-    s = F.when(extra, F.regexp_replace(s, r"(?U)^\s*[^\[]*\]\s*", " ")).otherwise(s)
+    extra = lambda x: F.regexp_count(x, F.lit(r"\]")) > F.regexp_count(x, F.lit(r"\["))
+    s = let(s, lambda x: F.when(extra(x), F.regexp_replace(x, r"(?U)^\s*[^\[]*\]\s*", " ")).otherwise(x))
     s = F.regexp_replace(s, r"(?U)\s*\([^)]*$", " ")
     s = F.translate(s, "「」『』", "")
     s = F.regexp_replace(F.regexp_replace(s, r"\.{2,}", " "), "…+", " ")
@@ -197,7 +208,7 @@ def title_summary(text: Column) -> Column:
 def noun_ending(text: Column) -> Column:
     """The first ending rule that changes the text turns the closing verb into a noun form."""
     s = F.regexp_replace(strip(text), r"(?U)\.{2,}\s*$", "")
-    changed = F.coalesce(*(F.nullif(F.regexp_replace(s, U + rule, to), s) for rule, to in D.NOUN_ENDINGS), s)
+    changed = let(s, lambda x: F.coalesce(*(F.nullif(F.regexp_replace(x, U + rule, to), x) for rule, to in D.NOUN_ENDINGS), x))
     return strip(F.regexp_replace(changed, r"(?U)[,.\s]+$", ""))
 
 
@@ -254,22 +265,21 @@ def drop_quotes(items: Column) -> Column:
 
 def split_bullets(text: Column) -> Column:
     """Points of a text by the first splitting that gives two: dashes, dots, sentences, commas, halves."""
-    clean = strip(F.regexp_replace(nz(text), r"\.{2,}", " "))
+    return let(strip(F.regexp_replace(nz(text), r"\.{2,}", " ")), _points)
+
+
+def _points(clean: Column) -> Column:
     parts = [
         F.transform(F.filter(F.split(clean, U + p), lambda x: F.char_length(strip(x)) > 6), strip_bullet_prefix)
         for p in (r"\s{1,2}-\s+", r"[·•]\s*", r"\.\s+(?=[가-힣A-Z])", r",\s+")
     ]
-    # in each try the earlier parts stay where the new ones are not more
-    best = parts[0]
-    tries = [best]
-    for p in parts[1:]:
-        best = F.when(F.size(p) > F.size(best), p).otherwise(best)
-        tries.append(best)
-    half = F.substring(clean, 1, (F.floor(F.char_length(clean) / 2) + 20).cast("int"))
+    # the first splitting into two or more; before that, a later one replaces an earlier one that is shorter
+    best = F.aggregate(F.array(*parts), F.array().cast("array<string>"), lambda a, p: F.when((F.size(a) < 2) & (F.size(p) > F.size(a)), p).otherwise(a))
+    half = F.substring(clean, F.lit(1), (F.floor(F.char_length(clean) / 2) + 20).cast("int"))
     at = F.char_length(half) - F.locate(" ", F.reverse(half))
-    halves = F.when((F.char_length(clean) >= 40) & (F.locate(" ", F.reverse(half)) > 0) & (at >= 20), F.array(strip_bullet_prefix(F.substring(clean, F.lit(1), at)), strip_bullet_prefix(F.substring(clean, at + 1, F.char_length(clean)))))
-    two = [F.when(F.size(t) >= 2, t) for t in tries]
-    return F.coalesce(*two, halves, F.when(F.size(tries[-1]) > 0, tries[-1]), F.array(strip_bullet_prefix(clean)))
+    found = (F.char_length(clean) >= 40) & (F.locate(" ", F.reverse(half)) > 0) & (at >= 20)
+    halves = F.when(found, F.array(strip_bullet_prefix(F.substring(clean, F.lit(1), at)), strip_bullet_prefix(F.substring(clean, at + 1, F.char_length(clean)))))
+    return let(best, lambda b: F.when(F.size(b) >= 2, b).otherwise(F.coalesce(halves, F.when(F.size(b) > 0, b), F.array(strip_bullet_prefix(clean)))))
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -302,21 +312,21 @@ def bullets(body: Column, lead: Column, title: Column) -> Column:
     """At most four points: circled numbers, ordinals, circles, policy sentences, else the split lead or title."""
     src = F.when(nz(body) != "", body).otherwise(nz(lead))
     signs = "①-⑧➊-➑➎"
-    listed = lambda p: F.regexp_extract_all(src, F.lit(U + p), F.lit(1))
-    circled = F.transform(F.slice(listed(rf"[{signs}]\s*([^{signs}\n]{{10,150}})"), 1, 4), lambda x: strip_bullet_prefix(F.element_at(F.split(x, r"\."), 1)))
-    ordinal = F.transform(F.slice(listed(r"(?:첫째|둘째|셋째|넷째|다섯째)[,，\s]+([^첫둘셋넷다\n]{10,120})"), 1, 4), strip_bullet_prefix)
-    circle = F.transform(F.slice(listed(r"[○◦]\s*([^\n○◦]{10,120})"), 1, 4), strip_bullet_prefix)
+    every = lambda p: F.regexp_extract_all(src, F.lit(U + p), F.lit(1))
+    circled = F.transform(F.slice(every(rf"[{signs}]\s*([^{signs}\n]{{10,150}})"), 1, 4), lambda x: strip_bullet_prefix(F.element_at(F.split(x, r"\."), 1)))
+    ordinal = F.transform(F.slice(every(r"(?:첫째|둘째|셋째|넷째|다섯째)[,，\s]+([^첫둘셋넷다\n]{10,120})"), 1, 4), strip_bullet_prefix)
+    circle = F.transform(F.slice(every(r"[○◦]\s*([^\n○◦]{10,120})"), 1, 4), strip_bullet_prefix)
     parts = F.transform(F.split(F.substring(src, 1, 2000), r"(?U)(?<=[다했음니])\.\s+"), strip)
     useful = F.transform(F.slice(F.filter(parts, lambda x: (F.char_length(x) > 15) & (F.char_length(x) < 150) & contains_any(x, D.BULLET_WORDS)), 1, 4), strip_bullet_prefix)
     rest = F.slice(F.filter(split_bullets(F.when(nz(lead) != "", lead).otherwise(nz(title))), lambda x: F.char_length(x) > 10), 1, 3)
-    return F.coalesce(F.when(F.size(circled) >= 2, circled), F.when(F.size(ordinal) >= 2, ordinal), F.when(F.size(circle) >= 2, circle), F.when(F.size(useful) > 0, useful), rest)
+    listed = F.try_element_at(F.filter(F.array(circled, ordinal, circle), lambda x: F.size(x) >= 2), F.lit(1))
+    return F.coalesce(listed, F.try_element_at(F.filter(F.array(useful), lambda x: F.size(x) > 0), F.lit(1)), rest)
 
 
 def outline_block(agency: Column, title: Column, date_text: Column, body: Column, lead: Column) -> Column:
     """The outline of one article: name and date, summary, points."""
     more = F.filter(split_bullets(F.when(nz(lead) != "", lead).otherwise(nz(title))), lambda x: F.char_length(x) > 10)
-    points = bullets(body, lead, title)
-    points = F.when(F.size(points) < 2, F.concat(points, F.array_except(more, points))).otherwise(points)
+    points = let(bullets(body, lead, title), lambda p: F.when(F.size(p) < 2, F.concat(p, F.array_except(more, p))).otherwise(p))
     points = F.slice(F.filter(points, lambda x: F.char_length(x) > 8), 1, 4)
     head = F.concat(F.lit("◆ "), nz(agency), F.lit(" | 「"), policy_name(title, body), F.lit("」  "), nz(date_text))
     lines = F.concat(F.array(head, F.concat(F.lit("  - "), summary_line(title, body)), F.lit(""), F.lit("    • 주요 내용")), F.transform(points, lambda p: F.concat(F.lit("      - "), p)))

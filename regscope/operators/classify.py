@@ -158,7 +158,8 @@ def risk_records(articles: DataFrame) -> DataFrame:
     quoteless = T.strip_brackets(F.regexp_replace(T.strip(title), "[\"“”'‘’][^\"“”'‘’]+[\"“”'‘’]", " "))
     plain = T.strip_brackets(title)
     minimal = T.strip(F.regexp_replace(T.strip(title), r"(?U)^\s*\[[^\]]{1,15}\]\s*", ""))
-    name = F.substring(F.when(F.char_length(quoteless) >= 6, quoteless).when(F.char_length(plain) >= 6, plain).otherwise(F.coalesce(F.nullif(minimal, F.lit("")), T.strip(title))), 1, 60)
+    long = F.filter(F.array(quoteless, plain), lambda x: F.char_length(x) >= 6)
+    name = F.substring(F.coalesce(F.try_element_at(long, F.lit(1)), F.nullif(minimal, F.lit("")), T.strip(title)), 1, 60)
     rows = articles.select(
         *articles.columns,
         gate.alias("gate"),
