@@ -27,7 +27,7 @@ from regscope.llm.common import hash_strings, mix, shingle_hashes, slices, store
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
-SLICE = 8 << 20
+SLICE = 3 << 20
 BLOCK, LISTED = 256, 400
 
 

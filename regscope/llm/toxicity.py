@@ -26,7 +26,7 @@ FEATURES = 1500
 PREFIXES = (4, 5, 6, 7, 8)
 RATE = 0.005
 THRESHOLD = 0.7
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 #: Identity terms by list; a term is swapped for the next of its list.
 IDENTITY = (
