@@ -31,7 +31,7 @@ BLOCK = 256
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 MAGIC = b"PFOR"
-SLICE = 8 << 20
+SLICE = 6 << 20
 
 
 def bit_width(values: np.ndarray) -> np.ndarray:
@@ -131,7 +131,7 @@ class ChunkEncoder:
     WORD = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ƺƼ-ƿǄ-ɏ]+")
     LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") | frozenset(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)]))  # lower-casing U+0130 adds a sign that is no letter
 
-    def __init__(self, path: str, limit: int = 450_000) -> None:
+    def __init__(self, path: str, limit: int = 600_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -157,7 +157,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}  # ids as little-endian unsigned 32-bit integers
         self.ids = np.zeros(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
 
@@ -174,30 +174,31 @@ class ChunkEncoder:
         others = [x for x in parts if not self.WORD.fullmatch(x)]
         for a in range(0, len(words), 5000):
             own = words[a : a + 5000]
-            ids = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids
-            ends = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(own):
                 others += own
                 continue
-            self.parts.update((w, tuple(ids[i:j])) for w, i, j in zip(own, [0, *ends.tolist()], ends.tolist(), strict=False))
+            raw = ids.tobytes()
+            self.parts.update((w, raw[i:j]) for w, i, j in zip(own, [0, *ends.tolist()], ends.tolist(), strict=False))
         if others:
-            self.parts.update(zip(others, (tuple(e.ids) for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
+            self.parts.update(zip(others, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)), strict=True))
 
     def _learn(self, runs: list[str]) -> None:
         halves = [self._split(x) for x in runs]
         new = list({p for pair in halves for p in pair if p and p not in self.parts})
         if new:
             self._encode_parts(new)
-        self.parts[""] = ()
+        self.parts[""] = b""
         found = [self.parts[a] + self.parts[b] for a, b in halves]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         first, last = len(self.known), len(self.known) + len(runs)
         if last + 1 > len(self.at):
             self.at = np.concatenate((self.at, np.zeros(max(len(self.at), last + 1), np.int64)))
         end = self.at[first] + np.cumsum(size)
         if end[-1] > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), int(end[-1])), np.uint32)))
-        self.ids[self.at[first] : end[-1]] = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+        self.ids[self.at[first] : end[-1]] = np.frombuffer(b"".join(found), "<u4")
         self.at[first + 1 : last + 1] = end
         self.known.update(zip(runs, range(first, last), strict=True))
 
