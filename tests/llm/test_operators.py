@@ -442,3 +442,24 @@ def test_queries_equal_their_sql(spark, name):
     want = c.sql(queries.oracle_sql()[name]).df()[list(got.columns)]
     key = sorted(got.columns)
     assert sorted(map(tuple, got[key].astype(str).values)) == sorted(map(tuple, want[key].astype(str).values))
+
+
+def test_secret_network_judges_every_candidate(spark):
+    text = "plainletters 8714420091 pw: a.b!c$d x='two words' /usr/share/path?pin=12 token = deadbeef99 ab12"
+    net = secrets.Network.fresh()
+    net.threshold = 0.0  # adds whatever is judged
+    spans = secrets.scan(docs(spark, [(1, text, "s")]), net).first().spans
+    got = {text[s.start : s.end] for s in spans if s.kind == "model"}
+    assert got == {"plainletters", "8714420091", "a.b!c$d", "two words", "/usr/share/path", "12"}
+    base = [s for s in spans if s.kind != "model"]
+    at = text.index("deadbeef99")
+    assert [s.kind for s in base] == ["assign"] and base[0].score == net.score([secrets.window(text, at, at + 10)])[0]
+
+
+def test_secret_training_has_no_candidate_as_negative():
+    text = "so say we all, plainletters abcdefgh1234567 key: q7!x then token = deadbeef99 and more of it " * 3
+    base = secrets.base_spans(text)
+    judged = {secrets.bag(text, a, b) for a, b in secrets.candidates(text, base)}
+    got = secrets.labelled(text)
+    assert judged and not judged & {w for w, y in got.items() if y == 0}
+    assert {0, 1} == set(got.values())
