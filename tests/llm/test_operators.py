@@ -463,3 +463,20 @@ def test_secret_training_has_no_candidate_as_negative():
     got = secrets.labelled(text)
     assert judged and not judged & {w for w, y in got.items() if y == 0}
     assert {0, 1} == set(got.values())
+
+
+def test_secret_windows_slide_over_long_candidates():
+    r = random.Random(3)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(40)) for _ in range(300)]
+    plain = ["".join(r.choice(["the", "is", "re", "on", "er"]) for _ in range(9)) for _ in range(600)]
+    net = secrets.fit([secrets.bag(f"token = {h} x", 8, 48) for h in hexes] + [secrets.bag(f"so {p} x", 3, 3 + len(p)) for p in plain], [1] * 300 + [0] * 600)
+    lead = "/".join(["there", "ison"] * 5)
+    texts = [f"see {lead}/{h}/{lead} x" for h in hexes[:60]] + [f"see {lead}/{lead}/{lead} x"]
+    codes, places = secrets.encoded(texts)
+    score = net.judge(codes, places + 4, places + [len(t) - 2 for t in texts])
+    assert score[:60].min() > score[60] and (score[:60] >= net.threshold).mean() >= 0.5 and score[60] < net.threshold
+    t = texts[0]
+    each = [secrets.window(t, a, min(len(t) - 2, a + secrets.BODY)) for a in range(4, 4 + secrets.STEP * secrets.pieces(len(t) - 6), secrets.STEP)]
+    assert score[0] == net.score(each).max()
+    x = np.frombuffer(b"".join(each), np.uint8).reshape(-1, secrets.WIDTH)
+    assert np.allclose(net.outputs(x), net.forward(x)[0], atol=1e-4)
