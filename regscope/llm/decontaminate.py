@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-A window as long as an item is compared with that item. Every window that can reach the similarity shares a shingle with
+A window as long as an item is compared with that item; where a text has fewer words than the item, the whole text is its
+one window. Every window that can reach the similarity shares a shingle with
 the item, so windows are taken around the positions of item shingles; that leaves none out. A window's 64-bit SimHash
 (Charikar 2002) is looked up by four 16-bit blocks in an index that holds each item's block values with up to
 ``radius // 4`` bits changed: by the pigeonhole principle it gives every item within the radius (Norouzi, Punjani and
@@ -96,8 +97,11 @@ class Items:
         return row[on], item[on], distance[on]
 
 
-def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first shingle and size of every window that is as long as an item with which it shares a shingle."""
+def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first shingle and size of every window that is as long as an item with which it shares a shingle.
+
+    A document with fewer words than such an item is one window, unless it is too short to reach the similarity.
+    """
     maybe = np.flatnonzero(items.maybe[(shingles >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)])
     at = np.minimum(np.searchsorted(items.keys, shingles[maybe]), max(0, len(items.keys) - 1))
     hit = items.keys[at] == shingles[maybe] if len(items.keys) else np.zeros(0, bool)
@@ -111,29 +115,32 @@ def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.nd
     words = items.words[item]
     fits = n_words[doc] >= words
     short = n_words[doc] < SHINGLE_WORDS  # one shingle of all words: an equal item only
+    whole = np.unique(doc[~fits & ~short & (np.diff(upto)[doc] >= similarity * size * (1 - 1e-9))])
     fits &= ~short | (n_words[doc] == words)
     doc, place, size = doc[fits], place[fits], size[fits]
     steps = np.repeat(np.arange(len(place)), size)
     start = place[steps] - (np.arange(len(steps)) - np.repeat(np.cumsum(size) - size, size))
     ok = (start >= upto[doc[steps]]) & (start + size[steps] <= upto[doc[steps] + 1])
-    found = np.unique(np.stack((doc[steps][ok], start[ok], size[steps][ok]), axis=1), axis=0)
+    inner = np.stack((doc[steps][ok], start[ok], size[steps][ok]), axis=1)
+    found = np.unique(np.concatenate((inner, np.stack((whole, upto[whole], np.diff(upto)[whole]), axis=1))), axis=0)
     return found[:, 0], found[:, 1], found[:, 2]
 
 
-def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """(text, item, first word, distance, similarity) of the best window of every text and item that has one."""
+def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
+    """(text, item, first word, words, distance, similarity) of the best window of every text and item that has one."""
     words, bounds = word_lists(text)
     shingles, upto = shingle_hashes(hash_strings(words), bounds)
     if not len(shingles) or not items.ids:
         return []
-    doc, start, size = windows(items, shingles, upto, np.diff(bounds))
+    n_words = np.diff(bounds)
+    doc, start, size = windows(items, shingles, upto, n_words, similarity)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for a in range(0, len(doc), 20_000):
         d, s, n = doc[a : a + 20_000], start[a : a + 20_000], size[a : a + 20_000]
         at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         sums = np.add.reduceat(bit_signs(shingles[at]), np.cumsum(n) - n, axis=0) if len(n) else np.zeros((0, 64), np.int16)
         row, item, distance = items.near(prints(sums))
-        same = items.sizes[item] == n[row]
+        same = (items.sizes[item] == n[row]) | (n_words[d[row]] < items.words[item]) & (n[row] == np.diff(upto)[d[row]])
         row, item, distance = row[same], item[same], distance[same]
         for k in np.lexsort((s[row], distance)):  # the nearest first: most pairs end with their first window
             r, i = int(row[k]), int(item[k])
@@ -145,7 +152,7 @@ def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int
             first = int(s[r] - upto[d[r]])
             if near >= similarity and (had is None or (-near, first) < (-had[0], had[1])):
                 best[pair] = (near, first, int(distance[k]))
-    return [(t, i, first, distance, near) for (t, i), (near, first, distance) in sorted(best.items())]
+    return [(t, i, first, int(min(items.words[i], n_words[t])), distance, near) for (t, i), (near, first, distance) in sorted(best.items())]
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int) -> Iterator[Items]:
@@ -173,7 +180,7 @@ def contaminations(
     """``doc_id, item_id, first_word, n_words, distance, similarity``: the best window of each row and item that matches.
 
     Words are runs of letters and digits, lower-cased; shingles are five words, and items or texts of fewer words have
-    one shingle of all their words. A window matches if its fingerprint is within ``radius`` bits and the weighted Jaccard
+    one shingle of all their words. A text with fewer words than an item is compared as a whole. A window matches if its fingerprint is within ``radius`` bits and the weighted Jaccard
     similarity of shingle counts is ``similarity`` or more; ties go to the earliest window. Null, empty and wordless texts
     and items match nothing. Rows that repeat an identifier are searched as rows of their own, equal items each match.
     Identifiers may be null. Other columns are ignored. Without documents or items there are no rows. At similarity 0.8
@@ -191,13 +198,13 @@ def contaminations(
             items = shared(held)
             for batch in slices(batches, "text"):
                 found = find(items, batch.column("text"), similarity)
-                doc, item, first, distance, near = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [], [])
+                doc, item, first, n_words, distance, near = (list(x) for x in zip(*found, strict=True)) if found else ([], [], [], [], [], [])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").take(pa.array(doc, pa.int64())),
                         pa.array([items.ids[i] for i in item], {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind)),
                         pa.array(first, pa.int64()),
-                        pa.array([int(items.words[i]) for i in item], pa.int64()),
+                        pa.array(n_words, pa.int64()),
                         pa.array(distance, pa.int32()),
                         pa.array(near, pa.float64()),
                     ],

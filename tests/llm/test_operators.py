@@ -179,6 +179,32 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.contaminations(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_of_texts_shorter_than_items(spark):
+    r = random.Random(8)
+    items = [(k, " ".join(f"w{r.randrange(3000)}" for _ in range(n))) for k, n in enumerate((60, 60, 40, 12, 8, 6, 5, 3))]
+    rows = []
+    for _, item in items:
+        own = item.split()
+        for cut in range(len(own) // 3 + 2):
+            rows += [(len(rows), " ".join(own[: len(own) - cut]), "s"), (len(rows) + 1, " ".join(own[cut:]), "s")]
+    edited = items[0][1].split()[:-4]
+    edited[20] = "zz"
+    rows += [(len(rows), " ".join(edited), "s"), (len(rows) + 1, "", "s")]
+    want = {}
+    for d, text, _ in rows:
+        w = words(text)
+        for k, item in items:
+            n = min(len(words(item)), len(w))
+            best = max((jaccard(bag(" ".join(w[p : p + n])), bag(item)), -p) for p in range(len(w) - n + 1)) if n else (0, 0)
+            if best[0] >= 0.8 and (n >= 5 or len(w) == n):
+                want[d, k] = (-best[1], n, best[0])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (x.first_word, x.n_words, x.similarity) for x in decontaminate.contaminations(docs(spark, rows), bench).collect()}
+    assert got == want
+    assert any(len(words(rows[d][1])) < len(words(items[k][1])) for d, k in want) and (4, 0) in want
+    assert {x.doc_id for x in decontaminate.clean_rows(docs(spark, rows), bench).collect()} == {d for d, _, _ in rows} - {d for d, _ in want}
+
+
 def test_multi_index_gives_everything_within_the_radius():
     r = np.random.default_rng(2)
     items = decontaminate.Items(list(range(50)), [" ".join(f"v{k}_{j}" for j in range(12)) for k in range(50)], 19)
