@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions import text as T
+from regscope.llm.common import shuffle_width, stored
 
 
 def sort_home_first(rows: DataFrame, overseas: Column, day: str = "pub_date", order: str = "ord", limit: int | None = None) -> DataFrame:
@@ -40,26 +41,43 @@ def article_card(number: Column) -> Column:
 
 
 def digest_text(rows: DataFrame, day: str = "pub_date", order: str = "ord", most: int = 200) -> DataFrame:
-    """Per day one text: home then overseas sections, numbered on across sections, empty sections left out.
+    """Per day a text in chunks (day, n, chunk, text): home then overseas sections, numbered on across sections, empty ones left out.
 
-    ``rows`` has ``overseas``; a day's text holds at most ``most`` articles, as a post does; ``n`` counts them all.
+    ``rows`` has ``overseas``. Every article is kept: a chunk holds at most ``most`` of them, and a day's chunks one after
+    another are its whole text. ``n`` counts the day's articles.
     """
-    w = Window.partitionBy(day).orderBy("overseas", order)
-    # numbers come from a bounded prefix of each day, taken by a partial top-k before rows of a day meet
-    part = Window.partitionBy(day, F.pmod(F.xxhash64(order), F.lit(32))).orderBy("overseas", order)
-    counts = rows.groupBy(day).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("overseas")).alias("n_home"))
-    near = rows.withColumn("_p", F.row_number().over(part)).where(F.col("_p") <= most)
-    top = near.withColumn("no", F.row_number().over(w)).where(F.col("no") <= most)
-    cards = top.select(day, "no", "overseas", article_card(F.col("no")).alias("card"))
-    items = F.array_sort(F.collect_list(F.struct("no", "overseas", "card")))
-    made = cards.groupBy(day).agg(items.alias("items")).join(counts, day)
-
-    def section(flag: bool, head: str, n: Column) -> Column:
-        own = F.transform(F.filter("items", lambda x: x["overseas"] == flag), lambda x: x["card"])
-        return F.when(F.size(own) > 0, F.concat(F.lit(f"{head} ("), n.cast("string"), F.lit("건)\n"), F.array_join(own, "\n")))
-
-    both = F.array(section(False, "국내 동향", F.col("n_home")), section(True, "해외 동향", F.col("n") - F.col("n_home")))
-    return made.select(day, "n", F.array_join(F.filter(both, lambda x: x.isNotNull()), "\n\n").alias("text"))
+    # numbers are places within ordered parts of the rows, plus the sizes of a day's earlier parts
+    flagged = rows.withColumn("overseas", F.coalesce("overseas", F.lit(False)))
+    parts = flagged.repartitionByRange(shuffle_width(rows), day, "overseas", order)
+    placed = stored(parts.withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(F.col(day).alias("_day"), F.col("overseas").alias("_flag"), F.col("_part").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy("_day")
+    earlier = whole.orderBy("_flag", "_in").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        "_day",
+        "_flag",
+        "_in",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(whole).alias("n"),
+        F.sum(F.when(~F.col("_flag"), F.col("_n")).otherwise(0)).over(whole).alias("n_home"),
+    )
+    own = Window.partitionBy("_part", day, "overseas").orderBy(order)
+    local = placed.withColumn("_place", F.row_number().over(own))
+    same = F.col(day).eqNullSafe(F.col("_day")) & (F.col("overseas") == F.col("_flag")) & (F.col("_part") == F.col("_in"))
+    made = local.join(starts, same).withColumn("no", F.col("_before") + F.col("_place"))
+
+    def head(title: str, n: Column) -> Column:
+        return F.concat(F.when(F.col("no") > 1, "\n\n").otherwise(""), F.lit(f"{title} ("), n.cast("string"), F.lit("건)\n"))
+
+    lead = (
+        F.when(F.col("overseas") & (F.col("no") == F.col("n_home") + 1), head("해외 동향", F.col("n") - F.col("n_home")))
+        .when(F.col("no") == 1, head("국내 동향", F.col("n_home")))
+        .otherwise("\n")
+    )
+    cards = made.select(day, "n", "no", F.floor((F.col("no") - 1) / most).alias("chunk"), F.concat(lead, article_card(F.col("no"))).alias("card"))
+    items = F.array_sort(F.collect_list(F.struct("no", "card")))
+    text = F.array_join(F.transform(items, lambda x: x["card"]), "")
+    return cards.groupBy(day, "n", "chunk").agg(text.alias("text"))
 
 
 def empty_digest(as_of: str) -> str:

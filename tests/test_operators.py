@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from regscope.operators import classify, crosswalk, firstwins, layout, simjoin, tables
+from regscope.operators import classify, crosswalk, digest, firstwins, layout, simjoin, tables
 from regscope.operators import search as S
 from regscope.sources import html, records
 from regscope.streaming import jobs
@@ -176,3 +176,20 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {r.url for r in spark.read.schema("url string").parquet(out).collect()} == set(found)
     dated, undated = jobs.split_undated(rows.withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.col("ts"))))
     assert dated.count() + undated.count() == rows.count() and undated.count() > 0
+
+
+def test_digest_text_keeps_every_article(spark):
+    rows = [(k, "2024-01-01" if k % 9 else "2024-01-02", k % 3 == 0, f"title{k}", "b", "a", "") for k in range(600)]
+    made = digest.digest_text(spark.createDataFrame(rows, "ord long, pub_date string, overseas boolean, title string, body string, agency string, link string"))
+    found = {}
+    for r in sorted(made.collect(), key=lambda r: (r.pub_date, r.chunk)):
+        assert r.text.count("🔴") <= 200
+        found.setdefault(r.pub_date, []).append(r.text)
+    for day, texts in found.items():
+        own = sorted((r for r in rows if r[1] == day), key=lambda r: (r[2], r[0]))
+        home = sum(not r[2] for r in own)
+        card = lambda no, r: f"🔴 [상]  #{no}  ({day})\n{r[3]}\n· 기관: a\n· 요약: b"
+        cards = [card(no, r) for no, r in enumerate(own, 1)]
+        sides = [("국내 동향", cards[:home]), ("해외 동향", cards[home:])]
+        assert "".join(texts) == "\n\n".join(f"{name} ({len(c)}건)\n" + "\n".join(c) for name, c in sides if c)
+    assert len(found["2024-01-01"]) == 3 and len(found["2024-01-02"]) == 1
