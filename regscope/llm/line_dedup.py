@@ -27,6 +27,7 @@ from regscope.llm.cuckoo import CuckooFilter
 MIN_CHARS = 10
 SHARD_KEYS = 20_000
 FILTER_LIMIT = 32 << 20
+ASKED_ROWS = 400_000
 NO_ID = (1 << 63) - 1
 
 
@@ -109,7 +110,7 @@ def insert_documents(state: LineState, docs: DataFrame, id_col: str = "doc_id",
 def delete_documents(state: LineState, gone: DataFrame, id_col: str = "doc_id") -> LineState:
     """State without the documents named in ``gone``; keys that no longer repeat leave the filters."""
     ids = gone.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-    left = stored(state.postings.join(ids, "doc_id", "left_anti"))
+    left = stored(state.postings.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
     touched = state.postings.join(ids, "doc_id", "left_semi").select("key").distinct()
     again = count_references(left.join(touched, "key", "left_semi"), state.shards)
     return _followed(state, left, stored(state.refs.join(touched, "key", "left_anti").unionByName(again)))
@@ -136,14 +137,15 @@ def _followed(state: LineState, rows: DataFrame, refs: DataFrame) -> LineState:
     return LineState(rows, refs, stored(filters), state.shards)
 
 
-def maybe_repeated(state: LineState, limit: int = FILTER_LIMIT) -> DataFrame:
-    """Postings that pass their shard's filter. The filters are broadcast only up to ``limit`` bytes; beyond that all
-    postings go to the exact table, which changes the cost and not the result."""
+def maybe_repeated(state: LineState, limit: int = FILTER_LIMIT, rows: int = ASKED_ROWS) -> DataFrame:
+    """Postings that pass their shard's filter. Filters of up to ``limit`` bytes in all go to the postings by broadcast;
+    beyond that postings go to their shard's filter, at most about ``rows`` of a shard to one copy of it."""
+    asked = state.postings.select("key", "doc_id").withColumn("shard", shard_of(state.shards))
     size = state.filters.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     if size > limit:
-        return state.postings
+        return _asked_by_shard(state, asked, rows)
     sc = state.postings.sparkSession.sparkContext
-    held = sc.broadcast({r["shard"]: bytes(r["bits"]) for r in state.filters.collect()})
+    held = sc.broadcast({r["shard"]: bytes(r["bits"]) for r in state.filters.collect()})  # bounded by limit
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {k: CuckooFilter.from_bytes(v) for k, v in held.value.items()}
@@ -155,9 +157,27 @@ def maybe_repeated(state: LineState, limit: int = FILTER_LIMIT) -> DataFrame:
             for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                 if len(part) and (found := filters.get(int(shard[part[0]]))):
                     keep[part] = found.contains(keys[part])
-            yield batch.filter(pa.array(keep)).drop_columns(["shard"])
+            yield batch.filter(pa.array(keep)).select(["key", "doc_id"])
 
-    return state.postings.withColumn("shard", shard_of(state.shards)).mapInArrow(probe, "key binary, doc_id long")
+    return asked.mapInArrow(probe, "key binary, doc_id long")
+
+
+def _asked_by_shard(state: LineState, asked: DataFrame, rows: int) -> DataFrame:
+    copies = asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("copies"))
+    copies = stored(copies)
+    dealt = asked.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("doc_id"), "copies").cast("int"))
+    filters = state.filters.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+
+    def probe(one: pa.Table, two: pa.Table) -> pa.Table:
+        one = one.select(["key", "doc_id"])
+        if not one.num_rows or not two.num_rows:
+            return one.slice(0, 0)
+        found = CuckooFilter.from_bytes(two.column("bits")[0].as_py()).contains(number(one.column("key").to_pylist()))
+        return one.filter(pa.array(found))
+
+    sides = (dealt.select("shard", "copy", "key", "doc_id"), filters.select("shard", "copy", "bits"))
+    one, two = (x.groupBy("shard", "copy") for x in sides)
+    return one.cogroup(two).applyInArrow(probe, "key binary, doc_id long")
 
 
 def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -166,7 +186,8 @@ def dedup_lines(docs: DataFrame, state: LineState | None = None, id_col: str = "
     A key is the line without ASCII white space at its ends, A-Z lower-cased; keys of ``min_chars`` code points or more
     that at least two documents of ``state`` (default: of ``docs``) hold lose all their lines except in the smallest
     identifier that holds them. A document's own repeats stay. A null or empty text is one empty line. Rows that repeat an
-    identifier are one document; a null identifier counts as the largest. Other columns are ignored. Empty input gives no rows.
+    identifier are one document; a null identifier counts as the largest. Identifiers are whole numbers. Texts may be of
+    any length. Other columns are ignored. Empty input gives no rows.
     """
     state = state or build_state(docs, id_col, text_col, min_chars)
     refs = state.refs.where("first_doc < last_doc").select("key", "first_doc")

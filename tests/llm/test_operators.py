@@ -363,14 +363,20 @@ def test_line_dedup_and_its_reversal(spark, monkeypatch):
     rows = line_rows()
     frame = docs(spark, [(i, t, "s") for i, t in rows])
     assert collected(line_dedup.dedup_lines(frame)) == brute_lines(rows)
-    monkeypatch.setattr(line_dedup, "FILTER_LIMIT", 0)  # without filters the exact table decides alone
     state = line_dedup.build_state(frame)
-    assert line_dedup.maybe_repeated(state, 0) is state.postings
+    passed = lambda *limits: sorted((bytes(r.key), r.doc_id) for r in line_dedup.maybe_repeated(state, *limits).collect())
+    assert passed() == passed(0) == passed(0, 3)  # by broadcast, by shard, and by copies of a shard's filter
+    repeated = state.postings.groupBy("key").count().where("count > 1").count()
+    assert len({k for k, _ in passed()}) >= repeated > 0 and len(passed()) < state.postings.count()
     first, second = frame.where("doc_id < 40"), frame.where("doc_id >= 40")
     grown = line_dedup.insert_documents(line_dedup.build_state(first), second)
-    assert collected(line_dedup.dedup_lines(frame, grown)) == brute_lines(rows)
     back = line_dedup.delete_documents(grown, second)
-    assert collected(line_dedup.dedup_lines(first, back)) == brute_lines([x for x in rows if x[0] < 40])
+    for limit in (line_dedup.FILTER_LIMIT, 0):
+        monkeypatch.setattr(line_dedup.maybe_repeated, "__defaults__", (limit, 5))
+        assert collected(line_dedup.dedup_lines(frame, grown)) == brute_lines(rows)
+        assert collected(line_dedup.dedup_lines(first, back)) == brute_lines([x for x in rows if x[0] < 40])
+    long = docs(spark, [(1, LONG + "\nonce more, please", "s"), (2, LONG + "\nx", "s"), (None, LONG, "s")])
+    assert sorted(r.n_dropped for r in line_dedup.dedup_lines(long).collect()) == [0, 1, 1]
     filters = {r["shard"]: cuckoo.CuckooFilter.from_bytes(bytes(r["bits"])) for r in back.filters.collect()}
     for r in back.refs.where("first_doc < last_doc").collect():
         assert filters[r["shard"]].contains(line_dedup.number([bytes(r["key"])]))[0]
