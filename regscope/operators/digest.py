@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions import text as T
-from regscope.llm.common import shuffle_width, stored
+from regscope.operators.tables import checkpointed
 
 
 def sort_home_first(rows: DataFrame, overseas: Column, day: str = "pub_date", order: str = "ord", limit: int | None = None) -> DataFrame:
@@ -48,8 +48,8 @@ def digest_text(rows: DataFrame, day: str = "pub_date", order: str = "ord", most
     """
     # numbers are places within ordered parts of the rows, plus the sizes of a day's earlier parts
     flagged = rows.withColumn("overseas", F.coalesce("overseas", F.lit(False)))
-    parts = flagged.repartitionByRange(shuffle_width(rows), day, "overseas", order)
-    placed = stored(parts.withColumn("_part", F.spark_partition_id()))
+    parts = flagged.repartitionByRange(day, "overseas", order)
+    placed = checkpointed(parts.withColumn("_part", F.spark_partition_id()))
     sizes = placed.groupBy(F.col(day).alias("_day"), F.col("overseas").alias("_flag"), F.col("_part").alias("_in")).agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy("_day")
     earlier = whole.orderBy("_flag", "_in").rowsBetween(Window.unboundedPreceding, -1)
