@@ -12,9 +12,15 @@ RANGE_ROWS = 10_000
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where the session names none (tests), below a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where the session names none, a temporary folder serves on a local master, as in tests; a cluster has no such folder.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("regscope.local.checkpoint", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("regscope.local.checkpoint", root)
     return f"{root.rstrip('/')}/regscope-{uuid.uuid4().hex}"
