@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,31 +11,19 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regscope.operators.tables import shared_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHINGLE_WORDS = 5
 SLICE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where the session names none (tests on one machine), a temporary folder is set as its checkpoint folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("regscope.local.checkpoint", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-")
-            spark.conf.set("regscope.local.checkpoint", root)
-    return f"{root.rstrip('/')}/regscope-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to a new shared table and read it back: lineage ends there and a lost executor loses nothing."""
-    path = shared_dir(df.sparkSession)
+    path = shared_path(df.sparkSession)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -69,7 +57,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each holds at most ``limit`` bytes of ``column`` (or one row), to bound a task's memory."""
+    """Cut batches so that each holds at most ``limit`` bytes of ``column`` (or one row), to bound a task's memory. At the end
+    what the task held goes back to the machine, as Python workers live on."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -78,6 +67,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_lists(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

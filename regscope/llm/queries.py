@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regscope.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, secrets, sharding, token_output, toxicity
-from regscope.llm.common import shared_dir, stored
+from regscope.llm.common import stored
+from regscope.operators.tables import shared_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -31,7 +32,7 @@ FROM d WINDOW w AS (PARTITION BY body)
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_classes(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", "links", "kept")
+    return found.select("doc_id", "class_id", "class_size", "kept")
 
 
 def vocabulary() -> str:
@@ -41,7 +42,7 @@ def vocabulary() -> str:
 
 
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
+    path = shared_path(spark)
     token_output.write_tokens(read(spark, sf_dir, "documents"), path, vocabulary, END_ID)
     return token_output.read_tokens(spark, path, with_ids=False).drop("ids")
 
