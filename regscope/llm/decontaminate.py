@@ -1,11 +1,12 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
 A window as long as an item is compared with that item; where a text has fewer words than the item, the whole text is its
-one window. Every window that can reach the similarity shares a shingle with
-the item, so windows are taken around the positions of item shingles; that leaves none out. A window's 64-bit SimHash
-(Charikar 2002) is looked up by four 16-bit blocks in an index that holds each item's block values with up to
-``radius // 4`` bits changed: by the pigeonhole principle it gives every item within the radius (Norouzi, Punjani and
-Fleet, CVPR 2012). Whatever it gives is verified by the exact weighted Jaccard similarity of shingle counts.
+one window. Every window that can reach the similarity shares a shingle with the item, so windows are taken around the
+positions of item shingles; that leaves none out. An item of fewer than five words is one shingle of all its words, and its
+windows are all runs of as many words. A window's 64-bit SimHash (Charikar 2002) is looked up by four 16-bit blocks. By the
+pigeonhole principle an item within the radius differs in at most ``radius // 4`` bits of one block (Norouzi, Punjani and
+Fleet, CVPR 2012); half of those bits are changed in the index of the items, the other half in the question, which keeps
+the index small. Whatever it gives is verified by the exact weighted Jaccard similarity of shingle counts.
 
 Documents stream through the tasks without a shuffle. The items are the query set; they go to the tasks in blocks of at
 most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes, each block against all documents.
@@ -26,10 +27,11 @@ from regscope.llm.near_dedup import weighted_jaccard
 
 SIMILARITY = 0.8
 RADIUS = 19
-BLOCK_ITEMS = 1000
-BLOCK_BYTES = 8 << 20
+BLOCK_ITEMS = 16_000
+BLOCK_BYTES = 16 << 20
 PARTS = 4
 BLOOM_BITS = 22
+ASKED = 4000
 
 
 def bag(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +48,20 @@ def prints(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
+def changes(bits: int) -> np.ndarray:
+    """All 16-bit values with at most ``bits`` bits set."""
+    return np.array([0] + [sum(1 << k for k in c) for n in range(1, bits + 1) for c in combinations(range(16), n)], np.uint64)
+
+
+def runs_of(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``n`` words (fewer than a shingle's), as those of texts of ``n`` words, and each text's bounds."""
+    count = np.maximum(0, np.diff(bounds) - n + 1)
+    upto = np.concatenate(([0], np.cumsum(count)))
+    start = np.repeat(bounds[:-1] - upto[:-1], count) + np.arange(upto[-1])
+    one = np.concatenate([words[start[:, None] + np.arange(n)].reshape(-1), np.zeros(0, np.uint64)])
+    return shingle_hashes(one, np.arange(len(start) + 1) * n)[0], upto
+
+
 class Items:
     """Items of one block with their fingerprints and index."""
 
@@ -60,9 +76,10 @@ class Items:
         self.bags = [bag(s) for s in each]
         self.sizes = np.array([len(s) for s in each], np.int64)
         self.prints = np.array([prints(bit_signs(s).sum(axis=0, keepdims=True))[0] for s in each], np.uint64)
-        # the items of each shingle
-        owner = np.repeat(np.arange(len(each)), self.sizes)
-        flat = np.concatenate(each) if each else np.zeros(0, np.uint64)
+        # the items of each shingle; short items have windows of their own
+        long = self.words >= SHINGLE_WORDS
+        owner = np.repeat(np.arange(len(each)), np.where(long, self.sizes, 0))
+        flat = np.concatenate([x for x, ok in zip(each, long, strict=True) if ok] or [np.zeros(0, np.uint64)])
         self.keys, back = np.unique(flat, return_inverse=True)
         order = np.lexsort((owner, back))
         pairs = np.unique(np.stack((back[order], owner[order]), axis=1), axis=0) if len(flat) else np.zeros((0, 2), np.int64)
@@ -70,9 +87,10 @@ class Items:
         self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.keys) + 1))
         self.maybe = np.zeros(1 << BLOOM_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)] = True
-        # multi-index: the items of each value of each 16-bit block
-        near = [0] + [sum(1 << k for k in c) for n in range(1, radius // PARTS + 1) for c in combinations(range(16), n)]
-        near = np.array(near, np.uint64)
+        self.short = {n: np.unique([each[i][0] for i in np.flatnonzero(self.words == n)]) for n in range(1, SHINGLE_WORDS) if (self.words == n).any()}
+        # multi-index: the items of each value of each 16-bit block, by half of the bits that may differ
+        bits = radius // PARTS
+        near, self.asked = changes(bits // 2), changes(bits - bits // 2)
         self.index = []
         for part in range(PARTS):
             value = ((self.prints >> np.uint64(16 * part)) & np.uint64(0xFFFF))[:, None] ^ near[None, :]
@@ -83,18 +101,21 @@ class Items:
 
     def near(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (fingerprint, item, distance) within the radius."""
-        rows, items = [], []
-        for part, (at, item) in enumerate(self.index):
-            value = ((marks >> np.uint64(16 * part)) & np.uint64(0xFFFF)).astype(np.int64)
-            n = at[value + 1] - at[value]
-            row = np.repeat(np.arange(len(marks)), n)
-            rows.append(row)
-            items.append(item[at[value][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)])
-        both = np.unique(np.concatenate(rows) * len(self.prints) + np.concatenate(items))
+        both = [np.zeros(0, np.int64)]
+        for a in range(0, len(marks), ASKED):
+            own = marks[a : a + ASKED]
+            for part, (at, item) in enumerate(self.index):
+                value = (((own >> np.uint64(16 * part)) & np.uint64(0xFFFF))[:, None] ^ self.asked[None, :]).astype(np.int64)
+                n = (at[value + 1] - at[value]).reshape(-1)
+                on = np.flatnonzero(n)
+                n, first = n[on], at[value.reshape(-1)[on]]
+                row = np.repeat(on // len(self.asked), n)
+                found = item[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                close = np.bitwise_count(own[row] ^ self.prints[found]) <= self.radius
+                both.append(np.unique((row[close] + a) * len(self.prints) + found[close]))
+        both = np.unique(np.concatenate(both))
         row, item = both // max(1, len(self.prints)), both % max(1, len(self.prints))
-        distance = np.bitwise_count(marks[row] ^ self.prints[item]).astype(np.int64)
-        on = distance <= self.radius
-        return row[on], item[on], distance[on]
+        return row, item, np.bitwise_count(marks[row] ^ self.prints[item]).astype(np.int64)
 
 
 def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,9 +135,7 @@ def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.nd
     size = items.sizes[item]
     words = items.words[item]
     fits = n_words[doc] >= words
-    short = n_words[doc] < SHINGLE_WORDS  # one shingle of all words: an equal item only
-    whole = np.unique(doc[~fits & ~short & (np.diff(upto)[doc] >= similarity * size * (1 - 1e-9))])
-    fits &= ~short | (n_words[doc] == words)
+    whole = np.unique(doc[~fits & (np.diff(upto)[doc] >= similarity * size * (1 - 1e-9))])
     doc, place, size = doc[fits], place[fits], size[fits]
     steps = np.repeat(np.arange(len(place)), size)
     start = place[steps] - (np.arange(len(steps)) - np.repeat(np.cumsum(size) - size, size))
@@ -135,6 +154,18 @@ def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int
     n_words = np.diff(bounds)
     doc, start, size = windows(items, shingles, upto, n_words, similarity)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    hashes = hash_strings(words) if items.short else None
+    for n, keys in items.short.items():
+        runs, at = runs_of(hashes, bounds, n)
+        place = np.flatnonzero(np.isin(runs, keys))
+        own = np.searchsorted(at, place, side="right") - 1
+        _, first = np.unique(np.stack((own.astype(np.uint64), runs[place]), axis=1), axis=0, return_index=True)  # the earliest of equal runs
+        own, place = own[first], place[first]
+        row, item, distance = items.near(runs[place])  # the fingerprint of one shingle is the shingle
+        for r, i, far in zip(row.tolist(), item.tolist(), distance.tolist(), strict=True):
+            near = weighted_jaccard(bag(runs[place[r : r + 1]]), items.bags[i])
+            if items.words[i] == n and near >= similarity:
+                best[int(own[r]), i] = (near, int(place[r] - at[own[r]]), far)
     for a in range(0, len(doc), 20_000):
         d, s, n = doc[a : a + 20_000], start[a : a + 20_000], size[a : a + 20_000]
         at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -179,9 +210,10 @@ def contaminations(
 ) -> DataFrame:
     """``doc_id, item_id, first_word, n_words, distance, similarity``: the best window of each row and item that matches.
 
-    Words are runs of letters and digits, lower-cased; shingles are five words, and items or texts of fewer words have
-    one shingle of all their words. A text with fewer words than an item is compared as a whole. A window matches if its fingerprint is within ``radius`` bits and the weighted Jaccard
-    similarity of shingle counts is ``similarity`` or more; ties go to the earliest window. Null, empty and wordless texts
+    Words are runs of letters and digits, lower-cased; shingles are five words. An item of one to four words matches where
+    its words stand together in a text. A text with fewer words than an item is compared as a whole. A window matches if
+    its fingerprint is within ``radius`` bits and the weighted Jaccard similarity of shingle counts is ``similarity`` or
+    more; ties go to the earliest window. Texts of any length are read whole. Null, empty and wordless texts
     and items match nothing. Rows that repeat an identifier are searched as rows of their own, equal items each match.
     Identifiers may be null. Other columns are ignored. Without documents or items there are no rows. At similarity 0.8
     a fingerprint passes the radius with a chance of about 0.0003, at 0.9 below 10^-8.
