@@ -4,8 +4,9 @@ Each document gets an exponential key, divided by its quality weight: taking doc
 without replacement with chances in proportion to their weights. A source whose target is e times its size and a rest
 takes every document e times and then fills the rest from the key order by prefix sums.
 
-The prefix sums run in two levels, so that no task holds a source: keys fall into ordered buckets, small windows sum the
-buckets, and only the one bucket per source in which the budget ends is sorted by document.
+The prefix sums run in levels, so that no task holds a source: keys fall into ordered buckets and these into as many
+ranges as a range has buckets. A window sums a source's ranges, the next one the buckets of the range in which the budget
+ends, and only the one bucket in which it ends is sorted by document.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from regscope.llm.common import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 200
 CAP = 3
 
 
@@ -49,6 +50,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float =
     return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", open_target)).alias("target"))
 
 
+def crossing(parts: DataFrame, by: str) -> DataFrame:
+    """Of ``parts`` (``source, held, rest`` and an order), the one in which a source's sum of ``held`` passes ``rest``."""
+    before = Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("below", F.coalesce(F.sum("held").over(before), F.lit(0)))
+    parts = parts.where((F.col("below") <= F.col("rest")) & (F.col("below") + F.col("held") > F.col("rest")))
+    return parts.select(F.col("source").alias("s"), F.col(by).alias("last"), (F.col("rest") - F.col("below")).alias("room"))
+
+
 def mixed(
     docs: DataFrame,
     weights: tuple[float, ...] = (5.0, 2.0, 1.0),
@@ -64,7 +73,7 @@ def mixed(
     Size counts words (runs of other than ASCII white space; null: 0). ``copies`` is how often the mix holds the
     document, ``taken`` is ``copies * size``; documents are taken whole. After the document at which the budget would be
     passed, later documents of that bucket that still fit are taken, and the passed one is taken if that ends nearer to
-    the target. ``quality`` must be positive; by default it is 1, or 0.25 where the mean word length is unusual.
+    the target. ``quality`` must be positive, and buckets grow with the ratio of its extremes; by default it is 1, or 0.25 where the mean word length is unusual.
     Documents without words are taken only in complete epochs. Equal seeds give equal mixes, whatever the partitioning;
     rows that repeat an identifier and text share a key and are interchangeable. A null source is a source. Other
     columns are ignored. Empty input gives no rows.
@@ -80,27 +89,26 @@ def mixed(
     if quality is None:
         rows = rows.withColumn("q", F.when(F.col("q").between(4 * F.col("size"), 13 * F.col("size")), 1.0).otherwise(0.25))
     unit = (F.shiftrightunsigned("draw", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = stored(rows.withColumn("key", -F.log(unit) / F.col("q")).drop("draw", "q"))
+    rows = stored(rows.withColumn("key", -F.log(unit) / F.col("q")).drop("draw"))
 
-    counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.min("q").alias("slow"))
     targets = source_targets(counts.select("source", "source_size"), weights, share)
-    targets = targets.join(counts.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    targets = targets.join(counts.select(F.col("source").alias("s"), "rows", "slow"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     targets = targets.withColumn("epochs", F.least(epochs, F.lit(CAP).cast("long")))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = targets.withColumn("buckets", F.ceil(F.col("rows") / BUCKET_ROWS)).drop("rows")
+    # ranges, and buckets of each
+    targets = targets.withColumn("many", F.ceil(F.sqrt(F.col("rows") / BUCKET_ROWS)).cast("long")).drop("rows")
     targets = stored(targets.withColumnRenamed("source", "s"))
 
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # ordered buckets: any rising function of the key will do
-    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("buckets")).cast("long")
-    rows = rows.withColumn("bucket", bucket)
-    filled = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"), F.first("rest").alias("rest"))
-    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = filled.withColumn("below", F.coalesce(F.sum("held").over(below), F.lit(0)))
-    # the bucket in which the budget ends; earlier ones are taken whole
-    last = filled.where((F.col("below") <= F.col("rest")) & (F.col("below") + F.col("held") > F.col("rest")))
-    last = last.select(F.col("source").alias("s"), F.col("bucket").alias("last"), (F.col("rest") - F.col("below")).alias("room"))
+    # ordered buckets: any rising function of the key will do, this one spreads even the slowest keys over all
+    bucket = F.floor((F.lit(1.0) - F.exp(-F.col("key") * F.col("slow"))) * F.col("many") * F.col("many")).cast("long")
+    rows = rows.withColumn("bucket", bucket).drop("q", "slow")
+    filled = stored(rows.groupBy("source", "bucket", "many", "rest").agg(F.sum("size").alias("held")).withColumn("range", F.floor(F.col("bucket") / F.col("many"))))
+    ends = crossing(filled.groupBy("source", "range", "rest").agg(F.sum("held").alias("held")), "range")
+    inner = filled.drop("rest").join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("last"))).drop("s", "last")
+    last = stored(crossing(inner.withColumnRenamed("room", "rest"), "bucket"))
     rows = rows.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rows = rows.withColumn("edge", F.coalesce(F.col("bucket") == F.col("last"), F.lit(False)) & (F.col("size") > 0))
 
