@@ -9,8 +9,9 @@ once they pass the document's largest component, so that the work does not grow
 Documents with the same shingle counts become one node at once. Nodes that share a band meet their bucket's hub, the node
 with most copies, and pairs are verified on all shingles; members that do not join the hub's class are then compared with
 all others of the bucket. Every two nodes of a bucket end up compared or in one class. In large buckets that is done by
-blocks of at most about ``BLOCK`` odd members against blocks of members: a task compares two blocks and gives the links
-that join classes, so a group's pairs are never listed. Classes are the connected components of the verified links.
+blocks of at most about ``BLOCK`` odd members and ``BLOCK_BYTES`` of text against such blocks of members: a task compares
+two blocks and gives the links that join classes, so a group's pairs are never listed. Classes are the connected components
+of the verified links.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from regscope.llm.common import hash_strings, mix, shingle_hashes, slices, store
 
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
-SLICE = 3 << 20
-BLOCK, LISTED = 256, 400
+SLICE = 2 << 20
+BLOCK, BLOCK_BYTES, LISTED = 256, 8 << 20, 400
 
 
 def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,8 +97,8 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, text_hash, node, bands`` of each row; ``node`` names the shingle counts, ``bands`` holds the band keys."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    """``doc_id, text_hash, bytes, node, bands`` of each row; ``node`` names the shingle counts, ``bands`` holds the band keys."""
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("bytes"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", SLICE):
@@ -108,10 +109,10 @@ def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands
             keys = keys[np.diff(bounds) > 0]
             upto = np.concatenate(([0], np.cumsum((np.diff(bounds) > 0) * bands)))
             lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(names, pa.binary()), lists], ["doc_id", "text_hash", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), batch.column("bytes"), pa.array(names, pa.binary()), lists], ["doc_id", "text_hash", "bytes", "node", "bands"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(work, f"doc_id {kind}, text_hash long, node binary, bands array<long>")
+    return source.mapInArrow(work, f"doc_id {kind}, text_hash long, bytes long, node binary, bands array<long>")
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -175,13 +176,12 @@ def block_links(a: tuple, b: tuple, class_a: list, class_b: list, similarity: fl
 
 
 def links_by_blocks(odd: DataFrame, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` between odd members and members of buckets (``key, node, class, f, m``; f and m count both)."""
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    place = lambda c: F.pmod(F.xxhash64("node"), blocks(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), blocks(c) - 1))
+    """Links ``a, b`` between odd members and members of buckets (``key, node, class, f, m``; f and m: blocks of both)."""
+    place = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["key", "fb", "mb", "node", "class", "text"]
-    left = stored(odd.join(texts, "node").select("*", place("f").alias("fb"), every("m").alias("mb")).select(*columns))
-    right = members.join(texts, "node").select("*", place("m").alias("mb"), every("f").alias("fb")).select(*columns)
+    left = stored(odd.join(texts, "node").select("*", place(F.col("f")).alias("fb"), every("m").alias("mb")).select(*columns))
+    right = members.join(texts, "node").select("*", place(F.col("m")).alias("mb"), every("f").alias("fb")).select(*columns)
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
         found = []
@@ -214,20 +214,20 @@ def components(links: DataFrame) -> DataFrame:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, links, kept, twins``.
+    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, kept, twins``.
 
     Words are runs of letters and digits, lower-cased; shingles are five words (shorter texts: one shingle of all words).
-    Documents whose shingle counts have a weighted Jaccard similarity of ``similarity`` or more are linked; ``links``
-    counts a document's verified links to other texts, ``class_id`` is the least identifier of its class and ``kept``
-    marks one row of each class (``twins``: how often that row is repeated). Null, empty and wordless texts are one class. A null identifier is never
+    Documents whose shingle counts have a weighted Jaccard similarity of ``similarity`` or more are linked; ``class_id`` is
+    the least identifier of those that links join and ``kept`` marks one row of each class (``twins``: how often that row
+    is repeated). Texts of any length are read whole. Null, empty and wordless texts are one class. A null identifier is never
     the least unless its class has no other; rows that repeat an identifier are rows of their own. Other columns are
     ignored. Empty input gives no rows. Bands find a pair at similarity 0.8 with a chance of 0.99993, one at 0.9 always but
     for 1 in 10^9.
     """
     slim = stored(nodes(docs, id_col, text_col, bands, rows))
     one = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    node = stored(slim.groupBy("node").agg(F.min(one).alias("first"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("n")))
-    spread = node.select("node", "n", F.explode("bands").alias("key"))
+    node = stored(slim.groupBy("node").agg(F.min(one).alias("first"), F.first("bands").alias("bands"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    spread = node.select("node", "n", "bytes", F.explode("bands").alias("key"))
     most = F.min(F.struct((-F.col("n")).alias("n"), "node"))["node"]
     bucket = stored(spread.groupBy("key").agg(most.alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     member = stored(spread.join(bucket.select("key", "hub"), "key"))
@@ -247,10 +247,13 @@ def near_classes(
     # members that did not join their hub's class meet all others of the bucket
     named = lambda side: classes.select(F.col("node").alias(side), F.col("class").alias(f"{side}_class"))
     known = member.join(named("node"), "node", "left").join(named("hub"), "hub", "left")
-    known = stored(known.select("key", "node", "hub", F.coalesce("node_class", "node").alias("class"), (F.coalesce("node_class", "node") != F.coalesce("hub_class", "hub")).alias("odd")))
-    sizes = known.groupBy("key").agg(F.count_if("odd").alias("f"), F.count(F.lit(1)).alias("m")).where("f > 0")
-    known = stored(known.join(sizes, "key").where("node <> hub"))
-    few = F.col("f") * F.col("m") <= LISTED
+    known = stored(known.select("key", "node", "hub", "bytes", F.coalesce("node_class", "node").alias("class"), (F.coalesce("node_class", "node") != F.coalesce("hub_class", "hub")).alias("odd")))
+    blocks = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    one, size = F.lit(1), F.col("bytes")
+    both = F.count_if("odd") * F.count(one)
+    sizes = known.groupBy("key").agg(both.alias("pairs"), blocks(F.count_if("odd"), F.sum(F.when(F.col("odd"), size))).alias("f"), blocks(F.count(one), F.sum(size)).alias("m"))
+    known = stored(known.join(sizes.where("pairs > 0"), "key").where("node <> hub"))
+    few = F.col("pairs") <= LISTED
     odd = known.where(F.col("odd") & few).select("key", F.col("node").alias("a"), F.col("class").alias("a_class"))
     rest = odd.join(known.where(few), "key").where("class <> a_class AND (NOT odd OR a < node)")
     rest = rest.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -260,11 +263,10 @@ def near_classes(
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-    found = node.select("node", "first", "n").join(classes, "node", "left").join(degree, "node", "left")
-    found = stored(found.select("node", F.coalesce("class", "node").alias("class"), "first", "n", F.coalesce("links", F.lit(0)).alias("links")))
+    found = node.select("node", "first", "n").join(classes, "node", "left")
+    found = stored(found.select("node", F.coalesce("class", "node").alias("class"), "first", "n"))
     total = found.groupBy("class").agg(F.min(F.struct("first", "node")).alias("top"), F.sum("n").alias("class_size"))
-    found = stored(found.join(total, "class").select("node", "links", F.col("top.first").alias("first"), (F.col("top.node") == F.col("node")).alias("leads"), "class_size"))
+    found = stored(found.join(total, "class").select("node", F.col("top.first").alias("first"), (F.col("top.node") == F.col("node")).alias("leads"), "class_size"))
     # one row of the class's first document stays, also where its row is repeated
     out = slim.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
     lead = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
@@ -272,7 +274,7 @@ def near_classes(
     stays = out.where("lead").groupBy("node").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("twins")).withColumnRenamed("node", "stays_node")
     out = out.join(stays, (F.col("node") == F.col("stays_node")) & F.col("lead"), "left")
     return out.select(
-        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), F.col("links").cast("long"), (F.col("lead") & (F.col("row") == F.col("stays"))).alias("kept"), "twins"
+        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), (F.col("lead") & (F.col("row") == F.col("stays"))).alias("kept"), "twins"
     )
 
 
