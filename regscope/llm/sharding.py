@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Groups of equal texts stay together. They are far too many to place one by one, so small groups are first gathered into
-a fixed number of parcels by hash; a group larger than a parcel stands alone, and one with more bytes than a shard's
-fair share is cut into pieces (nothing else can balance it). The number of items placed one by one is therefore bounded by the
+a fixed number of parcels by hash; a group larger than a parcel stands alone, and one with more bytes than ``cut_above``
+times a shard's fair share is cut into pieces (at 1, the default, nothing else can balance it). The number of items placed one by one is therefore bounded by the
 parameters, not by the data. Items go largest first to the shard where the dot product of the item's sizes with the
 shard's residual capacities is highest.
 """
@@ -38,13 +38,14 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def pack(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parcels: int = PARCELS) -> DataFrame:
+def pack(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", parcels: int = PARCELS, cut_above: float = 1.0) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``.
 
     Size is the text's UTF-8 bytes (null: none) plus 1; the law is ``bytes``, so ``grown_shard`` is null. Slots count
     from 0 in each shard without gaps, in no promised order but equal on every run over the same rows. A null text
-    counts as empty and groups with empty texts; rows that repeat an identifier are rows of their own. Other columns are
-    ignored. Empty input gives no rows.
+    counts as empty and groups with empty texts; rows that repeat an identifier are rows of their own. A text of any length
+    is one row of its shard. ``cut_above``: how many times a shard's fair share of bytes a group of equal texts may hold
+    and stay whole. Other columns are ignored. Empty input gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -64,9 +65,9 @@ def pack(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str
     share = F.greatest(*(F.col(k) / F.lit(float(max(1, total[k] or 0))) for k in ("b", "t", "n")))
     # a group above 1/parcels of any total stands alone: at most 3 x parcels of them exist
     large = groups.withColumn("share", share).where(F.col("share") > 1.0 / parcels)
-    # more bytes than a shard's fair share: no whole placement is near equal, so the group is cut into pieces
+    # more bytes than a shard's fair share: no whole placement is near equal
     bulk = F.col("b") / F.lit(float(max(1, total["b"] or 0)))
-    large = large.withColumn("pieces", F.when(bulk > 1.0 / shards, F.ceil(bulk * (4 * shards))).otherwise(1))
+    large = large.withColumn("pieces", F.when(bulk > cut_above / shards, F.ceil(bulk * (4 * shards))).otherwise(1))
     large = stored(large)
     marked = rows.join(large.select("same", "pieces"), "same", "left")
     parcel = F.pmod(F.xxhash64("same"), F.lit(parcels))
