@@ -14,6 +14,7 @@ is written again and leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -223,6 +224,18 @@ class ChunkEncoder:
         return ids, np.diff(upto[bounds - bounds[0]])
 
 
+def splits_at_blanks(path: str) -> bool:
+    """Whether a vocabulary file's own settings are those that :class:`ChunkEncoder` relies on."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    parts = lambda x, name: (x or {}).get(name) or ([x] if x else [])
+    forms = [x.get("type") for x in parts(held.get("normalizer"), "normalizers")]
+    cuts = parts(held.get("pre_tokenizer"), "pretokenizers")
+    pattern = [x.get("pattern", {}).get("Regex", "") for x in cuts if x.get("type") == "Split"]
+    whole = [x for x in cuts if x.get("type") == "ByteLevel" and (x.get("add_prefix_space") or x.get("use_regex", True))]
+    return "Lowercase" in forms and len(pattern) == 1 and r"[\p{L}]+" in pattern[0] and r"[^\s\p{L}\p{N}]+" in pattern[0] and not whole and held["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WholeEncoder:
     """Encodes whole texts, for tokenizers to which white space matters."""
 
@@ -237,10 +250,11 @@ class WholeEncoder:
         return np.fromiter((i for e in found for i in e.ids), np.uint32, int(size.sum())), size
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str], end_id: int = 2, splits_at_blanks: bool = True, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str], end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts to a new table at ``path``: ``part, segment, first, doc_ids, n_tokens, payload``.
 
-    ``tokenizer`` is the vocabulary file or a function that finds it on the executor. ``end_id`` ends each document.
+    ``tokenizer`` is the vocabulary file or a function that finds it on the executor; where its settings allow, runs of
+    non-blanks are encoded once each, else whole texts are. ``end_id`` ends each document. Identifiers are whole numbers.
     Documents stand in ascending identifier order (null first; equal identifiers by a hash of their texts); a null text
     counts as empty and has the end id only. Rows that repeat are written each time. Other columns are ignored. An empty
     input writes no segments. A text longer than a segment is a segment by itself.
@@ -248,7 +262,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = tokenizer if isinstance(tokenizer, str) else tokenizer()
-        encoder = ChunkEncoder.of_worker(where) if splits_at_blanks else WholeEncoder(where)
+        encoder = ChunkEncoder.of_worker(where) if splits_at_blanks(where) else WholeEncoder(where)
         part = TaskContext.get().partitionId()
         held, docs_in, sizes, total, first, segment = [], [], [], 0, 0, 0
 
