@@ -46,19 +46,19 @@ SELECT 'a' || CAST(p_partkey AS STRING) AS id, CAST(p_partkey AS INT) AS jo_no,
   '제' || CAST(p_partkey AS STRING) || '조' AS jo_label,
   CASE WHEN p_partkey % 25 = 0 THEN '' ELSE p_name END AS jo_title,
   CASE WHEN p_partkey % 25 = 0 THEN '제' || CAST(p_partkey / 25 AS INT) || '장 ' || p_type || ' <개정>' ELSE p_brand || '에 관한 사항은 대통령령으로 정한다. ① 첫 항 ② 둘째 항' END AS body
-FROM {part} WHERE p_partkey BETWEEN 1 AND 200"""
+FROM {part}"""
 
 DECREES = """
-SELECT 'e' || CAST(s_suppkey AS STRING) AS id, CAST(s_suppkey % 200 + 1 AS INT) AS jo_no, CAST(s_suppkey AS INT) AS order_idx, 'enforce' AS law_type, 'L1-E' AS law_id, '금융거래법 시행령' AS law_name,
-  '제' || CAST(s_suppkey % 200 + 1 AS STRING) || '조' AS jo_label, s_name AS jo_title,
-  CASE WHEN s_suppkey % 2 = 0 THEN '같은 법 제' || CAST(s_nationkey + 1 AS STRING) || '조에 따른 기준' ELSE '세부 기준을 둔다' END AS body
+SELECT 'e' || CAST(s_suppkey AS STRING) AS id, CAST(s_suppkey AS INT) AS jo_no, CAST(s_suppkey AS INT) AS order_idx, 'enforce' AS law_type, 'L1-E' AS law_id, '금융거래법 시행령' AS law_name,
+  '제' || CAST(s_suppkey AS STRING) || '조' AS jo_label, s_name AS jo_title,
+  CASE WHEN s_suppkey % 2 = 0 THEN '같은 법 제' || CAST(s_suppkey + s_nationkey AS STRING) || '조에 따른 기준' ELSE '세부 기준을 둔다' END AS body
 FROM {supplier}"""
 
 RULES = """
-SELECT 'r' || CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) AS id, CAST(l_orderkey % 500 + 1 AS INT) AS jo_no, CAST(l_orderkey AS INT) AS order_idx, 'regulation' AS law_type, 'L1-R' AS law_id, '금융거래 감독규정' AS law_name,
-  '제' || CAST(l_orderkey % 500 + 1 AS STRING) || '조' AS jo_label, l_returnflag AS jo_title,
-  CASE l_partkey % 3 WHEN 0 THEN '법 제' || CAST(l_partkey % 200 + 1 AS STRING) || '조에 따라 정한다' WHEN 1 THEN '영 제' || CAST(l_suppkey % 200 + 1 AS STRING) || '조의 세부 사항' ELSE '관계법 제7조와 같다' END AS body
-FROM {lineitem} WHERE l_linenumber = 1"""
+SELECT 'r' || CAST(l_orderkey AS STRING) || '-' || CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS id, CAST(l_orderkey AS INT) AS jo_no, CAST(l_orderkey AS INT) AS order_idx, 'regulation' AS law_type, 'L1-R' AS law_id, '금융거래 감독규정' AS law_name,
+  '제' || CAST(l_orderkey AS STRING) || '조' AS jo_label, l_returnflag AS jo_title,
+  CASE l_partkey % 3 WHEN 0 THEN '법 제' || CAST(l_partkey AS STRING) || '조에 따라 정한다' WHEN 1 THEN '영 제' || CAST(l_suppkey AS STRING) || '조의 세부 사항' ELSE '관계법 제7조와 같다 ' || CAST(l_partkey % 997 AS STRING) END AS body
+FROM {lineitem}"""
 
 BILLS = f"""
 SELECT o_orderkey AS ord, {pick("o_orderkey % 5", ["특금법", "가상자산", "개인정보", "전자금융", "보이스피싱"])} AS target_law, 'bill ' || CAST(o_orderkey % 300 AS STRING) AS bill_title,

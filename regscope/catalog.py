@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,10 @@ def rx(text: str, pattern: str) -> str:
     return f"regexp_matches({text}, {s(pattern)})"
 
 
+def _trim(x: str) -> str:
+    return rf"regexp_replace(coalesce({x}, ''), '^\s+|\s+$', '', 'g')"
+
+
 FULL = "(coalesce(title, '') || ' ' || coalesce(body, ''))"
 TITLE = "coalesce(title, '')"
 HOME_RE2 = D.HOME.replace(r"국내(?!\s*외)", r"국내\s*($|[^\s외])")
@@ -114,11 +119,11 @@ def a6_count_scan(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").agg(F.count_if(F.col("o_orderstatus") == "F").alias("n_f"), F.count_if(F.col("o_totalprice") > 100000).alias("n_large"), F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT l_orderkey AS law_id, q AS pos, '제' || CAST(l_linenumber AS STRING) || '조' AS jo_label, l_returnflag AS jo_title, l_linestatus || ' 본문' || chr(10) || '항 ' || CAST(l_suppkey AS STRING) AS body FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS q, count(*) OVER (PARTITION BY l_orderkey) AS n, count(DISTINCT l_linenumber) OVER (PARTITION BY l_orderkey) AS m FROM {lineitem}) WHERE n = m")
+@query("SELECT l_orderkey AS law_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_linestatus, CAST(l_suppkey AS STRING)) - 1 AS pos, '제' || CAST(l_linenumber AS STRING) || '조' AS jo_label, l_returnflag AS jo_title, l_linestatus || ' 본문' || chr(10) || '항 ' || CAST(l_suppkey AS STRING) AS body FROM {lineitem}")
 def a7_flatten_statute(spark: SparkSession, d: str) -> DataFrame:
     lines = t(spark, d, "lineitem")
     unit = F.struct(F.col("l_linenumber").alias("조문번호"), F.col("l_returnflag").alias("조문제목"), F.concat("l_linestatus", F.lit(" 본문")).alias("조문내용"), F.array(F.struct(F.concat(F.lit("항 "), F.col("l_suppkey").cast("string")).alias("항내용"))).alias("항"))
-    docs = lines.groupBy(F.col("l_orderkey").alias("law_id")).agg(F.array_sort(F.collect_list(unit)).alias("u"), F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("m")).where("n = m")
+    docs = lines.groupBy(F.col("l_orderkey").alias("law_id")).agg(F.array_sort(F.collect_list(unit)).alias("u"))
     docs = docs.select("law_id", F.to_json(F.struct(F.struct(F.struct(F.col("u").alias("조문단위")).alias("조문")).alias("법령"))).alias("doc"))
     return records.flatten_statute(docs).withColumn("pos", F.col("pos").cast("long"))
 
@@ -134,24 +139,46 @@ def a8_split_articles(spark: SparkSession, d: str) -> DataFrame:
     return records.split_articles(docs, F.col("text"), "law_id").drop("pos")
 
 
-@query()
+def _unescape(x: str) -> str:
+    """The entities that the pages hold."""
+    for code, sign in (("&quot;", "chr(34)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{code}', {sign})"
+    return x
+
+
+def _tidy(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH r AS (SELECT page_id, regexp_extract_all(html, '(?s)<li>(.*?)</li>', 1) AS x FROM {{pages}}), i AS (SELECT page_id, unnest(range(1, len(x) + 1)) AS row_no, unnest(x) AS x FROM r)
+SELECT page_id, 1::BIGINT AS table_no, row_no, {_tidy(_unescape("regexp_replace(x, '<[^>]+>', '', 'g')"))} AS cells, {_unescape("regexp_extract(x, 'href=" + chr(34) + "([^" + chr(34) + "]*)" + chr(34) + "', 1)")} AS href FROM i""")
 def a9_html_table_rows(spark: SparkSession, d: str) -> DataFrame:
     # the pages hold lists, not tables: their list marks are read as rows
     pages = t(spark, d, "pages").select("page_id", F.replace(F.replace(F.replace(F.replace("html", F.lit("<ul>"), F.lit("<table>")), F.lit("</ul>"), F.lit("</table>")), F.lit("<li>"), F.lit("<tr><td>")), F.lit("</li>"), F.lit("</td></tr>")).alias("html"))
-    return html.html_table_rows(pages)
+    return html.html_table_rows(pages).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query(r"""
+LINKS_SQL = r"""
 WITH f AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*?href\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a>', 2) AS x FROM {pages}),
 r AS (SELECT page_id, unnest(range(len(h))) AS pos, unnest(h) AS href, unnest(x) AS raw FROM f),
 l AS (SELECT page_id, pos, regexp_replace(trim(regexp_replace(regexp_replace(raw, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')), '\s*N$', '') AS text, CASE WHEN starts_with(href, '/') THEN 'https://site.example' || href ELSE href END AS url FROM r WHERE regexp_matches(href, '^/')),
 k AS (SELECT page_id, pos, text, CASE WHEN regexp_matches(url, '/no\d+/\d+') THEN regexp_replace(url, '\?.*$', '') ELSE url END AS url FROM l WHERE length(text) >= 5)
-SELECT page_id, CAST(pos AS INT) AS pos, text, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS q FROM k) WHERE q = 1""")
+SELECT page_id, CAST(pos AS INT) AS pos, text, url FROM (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS q FROM k) WHERE q = 1"""
+
+
+@query(LINKS_SQL)
 def a10_extract_links(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_links(t(spark, d, "pages"), "^/", "https://site.example")
 
 
-@query()
+_ARTICLE = r"regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+for _tag in sorted(html.DROPPED):
+    _ARTICLE = f"regexp_replace({_ARTICLE}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+MAIN_SQL = f"SELECT page_id, CASE WHEN length(x) >= 100 THEN substr(x, 1, {html.MAIN_CHARS}) ELSE '' END AS main_text FROM (SELECT page_id, {_tidy(_unescape(f"regexp_replace(regexp_replace({_ARTICLE}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))} AS x FROM {{pages}})"
+
+
+@query(MAIN_SQL)
 def a11_extract_main_text(spark: SparkSession, d: str) -> DataFrame:
     return html.extract_main_text(t(spark, d, "pages"), [("article", "", ""), ("div", "class", "content")])
 
@@ -457,12 +484,12 @@ def c11_preserve_enriched(spark: SparkSession, d: str) -> DataFrame:
 
 
 NEWS_WORDS = ["특금법", "가상자산", "개인정보", "전자금융", "보이스피싱"]
-BILL_DAYS = f"SELECT ord AS bill_id, target_law AS keyword, CASE WHEN ord % 50 = 0 THEN NULL ELSE CAST(pub AS DATE) END AS day FROM (SELECT o_orderkey AS ord, {B.pick('o_orderkey % 5', NEWS_WORDS)} AS target_law, o_orderdate AS pub FROM {{orders}} WHERE o_orderkey % 10 = 1 OR o_orderkey % 50 = 0)"
+BILL_DAYS = f"SELECT ord AS bill_id, target_law AS keyword, CASE WHEN ord % 50 = 0 THEN NULL ELSE CAST(pub AS DATE) END AS day FROM (SELECT o_orderkey AS ord, {B.pick('o_orderkey % 5', NEWS_WORDS)} AS target_law, o_orderdate AS pub FROM {{orders}})"
 NEWS = f"SELECT ord AS news_id, {FULL} AS text, CASE WHEN ord % 997 = 0 THEN NULL ELSE CAST(pub_date AS DATE) END AS day FROM {KR}"
 
 
 @query(f"""
-WITH b AS ({BILL_DAYS}), n AS ({NEWS}), p AS (SELECT bill_id, news_id FROM b JOIN n ON contains(n.text, b.keyword) AND (b.day IS NULL OR n.day IS NULL OR abs(date_diff('day', b.day, n.day)) <= 7))
+WITH b AS ({BILL_DAYS}), k AS (SELECT unnest([{", ".join(map(s, NEWS_WORDS))}]) AS keyword), n AS (SELECT keyword, news_id, day FROM ({NEWS}) JOIN k ON contains(text, keyword)), p AS (SELECT bill_id, news_id FROM b JOIN n ON n.keyword = b.keyword AND (b.day IS NULL OR n.day IS NULL OR abs(date_diff('day', b.day, n.day)) <= 7))
 SELECT bill_id, news_id, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY bill_id ORDER BY news_id) AS r FROM p) WHERE r <= 10""")
 def c12_news_for_bills(spark: SparkSession, d: str) -> DataFrame:
     return joins.news_for_bills(B.view(spark, d, BILL_DAYS), B.view(spark, d, NEWS), NEWS_WORDS)
@@ -580,10 +607,26 @@ def d8_next_id(spark: SparkSession, d: str) -> DataFrame:
     return tables.next_ids(c.where("c_custkey % 2 = 0"), c.where("c_custkey % 2 = 1"), "id", "c_custkey").select("c_custkey", "id")
 
 
-@query()
+DIGEST_SQL = rf"""
+WITH k AS (SELECT *, {GRADE} AS grade, {OVERSEAS_SQL} AS overseas FROM {KR} WHERE NOT {NOISE_SQL}),
+i AS (SELECT pub_date AS day, CASE WHEN overseas THEN 1 ELSE 0 END AS section, ord, '🔴 [상]  #' AS pre, '  (' || substr(pub_date, 1, 10) || ')' || chr(10) || {_trim("title")} || chr(10) || '· 기관: ' || coalesce(nullif({_trim("agency")}, ''), '-')
+  || CASE WHEN {_trim("body")} = '' THEN '' ELSE chr(10) || '· 요약: ' || substr(string_split({_trim("body")}, chr(10))[1], 1, 240) END || CASE WHEN coalesce(link, '') = '' THEN '' ELSE chr(10) || '· 원문: ' || link END AS post FROM k WHERE grade = '상'
+UNION ALL SELECT day, 2, ord, '⚖️ [입법]  #', chr(10) || {_trim("bill_title")} || chr(10) || '· 부처: -' || chr(10) || '· 단계: ' || status || chr(10) || '· 원문: b/' || CAST(ord AS STRING) FROM (SELECT *, {EVENT_SQL} AS day FROM ({B.BILLS})) WHERE {any_hit('status', D.STAGE_WORDS)} AND day IS NOT NULL
+UNION ALL SELECT pub_date, 3, ord, '', '. ' || {_trim("title")} || CASE WHEN coalesce(link, '') = '' THEN '' ELSE chr(10) || '    ' || link END FROM k WHERE grade <> '상'),
+p AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY section, ord) AS no, row_number() OVER (PARTITION BY day, section ORDER BY ord) AS place, count(*) OVER (PARTITION BY day, section) AS many, count(*) OVER (PARTITION BY day) AS n FROM i),
+c AS (SELECT day, n, no, (no - 1) // 200 AS chunk, CASE WHEN place = 1 THEN CASE WHEN no > 1 THEN chr(10) || chr(10) ELSE '' END || [{", ".join(map(s, digest.SECTIONS))}][section + 1] || ' (' || CAST(many AS STRING) || '건)' || chr(10) ELSE chr(10) END || pre || CAST(CASE WHEN section = 3 THEN place ELSE no END AS STRING) || post AS card FROM p)
+SELECT day AS pub_date, n, chunk, string_agg(card, '' ORDER BY no) AS text FROM c GROUP BY day, n, chunk
+UNION ALL SELECT DISTINCT pub_date, 0, 0, pub_date || ': 오늘 신규 의미있는 AML 동향이 없습니다.' FROM {KR} WHERE pub_date NOT IN (SELECT day FROM i)"""
+
+
+@query(DIGEST_SQL)
 def d9_digest_text(spark: SparkSession, d: str) -> DataFrame:
-    rows = kr(spark, d).where(~C.is_noise(F.col("title"), F.col("body"), F.col("agency"))).withColumn("overseas", C.is_overseas(F.col("title"), F.col("body")))
-    return digest.digest_text(rows)
+    all_rows = kr(spark, d)
+    rows = all_rows.where(~C.is_noise(F.col("title"), F.col("body"), F.col("agency"))).withColumn("overseas", C.is_overseas(F.col("title"), F.col("body")))
+    rows = tables.checkpointed(rows.withColumn("grade", C.priority_grade(F.col("title"), F.col("body"))))
+    bills = B.view(spark, d, B.BILLS).where(T.contains_any(F.col("status"), D.STAGE_WORDS))
+    bills = bills.select("ord", "bill_title", "status", F.lit("").alias("ministry"), F.concat(F.lit("b/"), F.col("ord").cast("string")).alias("link"), dates.event_date(F.col("status"), F.col("propose_date")).alias("pub_date")).where("pub_date IS NOT NULL")
+    return digest.digest_text(rows.where("grade = '상'"), bills=bills, titles=rows.where("grade <> '상'"), days=all_rows.select("pub_date"))
 
 
 RANKED_SQL = rf"""
@@ -594,11 +637,10 @@ rk AS (SELECT conv_id, doc_id, score, CAST(row_number() OVER (PARTITION BY conv_
 
 
 def ranked_candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
-    docs = txt(spark, d)
+    docs = txt(spark, d).withColumnRenamed("ord", "doc_id")
     own = T.tokens(F.lower(F.concat(T.nz(F.col("title")), F.lit(" "), T.prefix(F.col("body"), 1200))), WORD, ())
-    index = search.token_index(docs.withColumnRenamed("ord", "doc_id"), "doc_id", own)
     asked = t(spark, d, "conversations").where("turn = 0 AND role = 'user' AND conv_id % 10 = 0")
-    return search.ranked(search.scores(index, asked, "doc_id", "conv_id", T.tokens(F.lower("text"), WORD, ())), "conv_id", "doc_id", k)
+    return search.top_matches(docs, asked, "doc_id", "conv_id", own, T.tokens(F.lower("text"), WORD, ()), k)
 
 
 @query(f"WITH {RANKED_SQL} SELECT conv_id, doc_id, rank, round(score, 6) AS score FROM rk WHERE rank <= 20")
@@ -606,7 +648,10 @@ def e4_top_k_requests(spark: SparkSession, d: str) -> DataFrame:
     return ranked_candidates(spark, d, 20).select("conv_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(rf"WITH {RANKED_SQL} SELECT conv_id, count(*) AS n_blocks, string_agg('[' || CAST(rank AS STRING) || '] (사례) ' || regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') || chr(10) || '    기관: ' || source || ' | 일자: ' || chr(10) || CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' THEN '    회신/판결: ' || substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 800) || chr(10) ELSE '' END, chr(10) ORDER BY rank) AS context FROM rk JOIN {{documents}} USING (doc_id) WHERE rank <= 5 GROUP BY conv_id")
+CONTEXT_SQL = r"""string_agg('[' || CAST(rank AS STRING) || '] (사례) ' || regexp_replace(split_part(text, chr(10), 1), '^\s+|\s+$', '', 'g') || chr(10) || '    기관: ' || source || ' | 일자: ' || chr(10) || CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') <> '' THEN '    회신/판결: ' || substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 800) || chr(10) ELSE '' END, chr(10) ORDER BY rank)"""
+
+
+@query(f"WITH {RANKED_SQL} SELECT conv_id, count(*) AS n_blocks, {CONTEXT_SQL} AS context FROM rk JOIN {{documents}} USING (doc_id) WHERE rank <= 5 GROUP BY conv_id")
 def d10_context_blocks(spark: SparkSession, d: str) -> DataFrame:
     docs = txt(spark, d).withColumnRenamed("ord", "doc_id")
     candidates = ranked_candidates(spark, d, 5).join(docs.select("doc_id", "title", "agency", "body"), "doc_id")
@@ -632,26 +677,28 @@ def e2_first_wins_multi(spark: SparkSession, d: str) -> DataFrame:
     return firstwins.first_wins_multi(B.view(spark, d, MULTI)).select("ord")
 
 
+#: Only nodes with an earlier neighbour are walked; the others lead. A node follows its least neighbour that does not follow.
 LEADER_SQL = """
-n AS (SELECT ord, row_number() OVER (ORDER BY ord) AS n FROM nodes),
-g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS heads, NULL::BIGINT AS ord, NULL::BIGINT AS leader
-UNION ALL SELECT z.n, CASE WHEN l IS NULL THEN list_append(heads, z.ord) ELSE heads END, z.ord, coalesce(l, z.ord)
-FROM (SELECT n.n, n.ord, g.heads, (SELECT min(e.a) FROM edges e WHERE e.b = n.ord AND list_contains(g.heads, e.a)) AS l FROM g JOIN n ON n.n = g.n + 1) z)"""
+bn AS MATERIALIZED (SELECT ord, lower, row_number() OVER (ORDER BY ord) AS n FROM (SELECT b AS ord, list(a ORDER BY a) AS lower FROM edges GROUP BY b)),
+g AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS led, NULL::BIGINT AS ord, NULL::BIGINT AS leader
+UNION ALL SELECT z.n, CASE WHEN l IS NULL THEN led ELSE list_append(led, z.ord) END, z.ord, coalesce(l, z.ord)
+FROM (SELECT bn.n, bn.ord, g.led, list_filter(bn.lower, lambda x: NOT list_contains(g.led, x))[1] AS l FROM g JOIN bn ON bn.n = g.n + 1) z),
+lead AS (SELECT ord, leader FROM g WHERE ord IS NOT NULL UNION ALL SELECT ord, ord FROM nodes WHERE ord NOT IN (SELECT b FROM edges))"""
 
 
 @query(f"""
-WITH RECURSIVE nodes AS (SELECT vec_id AS ord FROM {{embeddings}}), edges AS (SELECT x.vec_id AS a, y.vec_id AS b FROM {{embeddings}} x JOIN {{embeddings}} y ON x.vec_id < y.vec_id AND {COS_SQL} >= 0.3), {LEADER_SQL}
-SELECT ord AS vec_id, leader FROM g WHERE ord IS NOT NULL""")
+WITH RECURSIVE nodes AS MATERIALIZED (SELECT vec_id AS ord FROM {{embeddings}}), edges AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM {{embeddings}} x JOIN {{embeddings}} y ON x.vec_id < y.vec_id AND {COS_SQL} >= 0.3), {LEADER_SQL}
+SELECT ord AS vec_id, leader FROM lead""")
 def e3_leader_groups_vectors(spark: SparkSession, d: str) -> DataFrame:
     return simjoin.vector_groups(t(spark, d, "embeddings"), 0.3)
 
 
 @query(f"""
-WITH RECURSIVE base AS (SELECT ord, list_sort({TOK_TITLE}) AS a, list_sort({TOK_FULL}) AS b FROM {TXT}), nodes AS (SELECT ord FROM base),
-x AS (SELECT ord, unnest(a) AS w, len(a) AS n FROM base), y AS (SELECT ord, unnest(b) AS w, len(b) AS n FROM base),
-edges AS (SELECT p.ord AS a, q.ord AS b FROM x p JOIN x q ON p.w = q.w AND p.ord < q.ord GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.6
+WITH RECURSIVE base AS MATERIALIZED (SELECT ord, list_sort({TOK_TITLE}) AS a, list_sort({TOK_FULL}) AS b FROM {TXT}), nodes AS MATERIALIZED (SELECT ord FROM base),
+x AS MATERIALIZED (SELECT ord, unnest(a) AS w, len(a) AS n FROM base), y AS MATERIALIZED (SELECT ord, unnest(b) AS w, len(b) AS n FROM base),
+edges AS MATERIALIZED (SELECT p.ord AS a, q.ord AS b FROM x p JOIN x q ON p.w = q.w AND p.ord < q.ord GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.6
 UNION SELECT p.ord, q.ord FROM y p JOIN y q ON p.w = q.w AND p.ord < q.ord GROUP BY 1, 2 HAVING count(*) / (any_value(p.n) + any_value(q.n) - count(*)) >= 0.55), {LEADER_SQL}
-SELECT ord, leader FROM g WHERE ord IS NOT NULL""")
+SELECT ord, leader FROM lead""")
 def e3_leader_groups(spark: SparkSession, d: str) -> DataFrame:
     rows = txt(spark, d).withColumn("title", F.lower("title")).withColumn("body", F.lower("body"))
     return simjoin.leader_groups(rows, "ord", **EN_RULE)
@@ -851,23 +898,119 @@ def h3b_normalize_summary(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", T.normalize_summary(F.col("html")).alias("summary"), F.char_length(T.normalize_case_body(F.col("html"))).alias("n_case"))
 
 
-@query()
+def re2(pattern: str) -> str:
+    """A pattern of the fixed values for DuckDB: word signs of all scripts, inside classes and alone."""
+    out, inside = "", False
+    for part in re.split(r"(\\.|[\[\]])", pattern):
+        if part == "[":
+            inside = True
+        elif part == "]":
+            inside = False
+        out += part if part != r"\w" else r"\p{L}\p{M}\p{N}_" if inside else r"[\p{L}\p{M}\p{N}_]"
+    return out
+
+
+_CLEAN = "coalesce(text, '')"
+for _p in D.UI_NOISE:
+    _CLEAN = f"regexp_replace({_CLEAN}, {s(re2(_p))}, ' ', 'g')"
+LINES_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+
+
+@query(rf"SELECT doc_id, trim(regexp_replace({_CLEAN}, '\s{{{{2,}}}}', ' ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS clean, trim({LINES_SQL}, chr(32) || chr(9) || chr(10)) AS lines FROM {{documents}}".replace("{{2,}}", "{2,}"))
 def h3_clean_noise(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", T.clean_ui_noise(F.col("text")).alias("clean"), T.normalize_lines(F.col("text")).alias("lines"))
 
 
+@query(f"SELECT page_id, {_trim(_unescape('html'))} AS decoded, {_tidy("regexp_replace(" + _unescape('html') + ", '<[^>]+>', '', 'g')")} AS plain FROM {{pages}}")
+def h3i_clean_entities(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", T.clean_entities(F.col("html")).alias("decoded"), T.clean_entities(F.col("html"), drop_tags=True).alias("plain"))
+
+
 @query(r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS question, regexp_replace(text, '\s+', '', 'g') AS bare, regexp_replace(split_part(text, chr(10), 1), '[\s·ㆍ・‧]+', '', 'g') AS heading, trim(regexp_replace('- · ' || split_part(text, chr(10), 1), '^[\s\-·•]+', '')) AS bullet, substr(text, 1, 500) AS head FROM {documents}")
 def h3_simple_forms(spark: SparkSession, d: str) -> DataFrame:
     first = F.split_part("text", F.lit("\n"), F.lit(1))
     return t(spark, d, "documents").select("doc_id", T.normalize_question(F.col("text")).alias("question"), T.space_free(F.col("text")).alias("bare"), T.norm_heading(first).alias("heading"), T.strip_bullet_prefix(F.concat(F.lit("- · "), first)).alias("bullet"), T.prefix(F.col("text"), 500).alias("head"))
 
 
+def _strip_brackets_sql(x: str) -> str:
+    x = _trim(x)
+    for p in ('"[^"]*"', "“[^”]*”", "'[^']*'", "‘[^’]*’", r"\[[^\]]{1,20}\]", r"\s*\[[^\]]*$"):
+        x = f"regexp_replace({x}, {s(p)}, ' ', 'g')"
+    x = rf"list_transform([{x}], lambda y: CASE WHEN len(regexp_extract_all(y, '\]')) > len(regexp_extract_all(y, '\[')) THEN regexp_replace(y, '^\s*[^\[]*\]\s*', ' ', 'g') ELSE y END)[1]"
+    x = rf"translate(regexp_replace({x}, '\s*\([^)]*$', ' ', 'g'), '「」『』', '')"
+    x = rf"regexp_replace(regexp_replace(regexp_replace({x}, '\.{{2,}}', ' ', 'g'), '…+', ' ', 'g'), {s("[" + chr(34) + "“”'‘’]")}, '', 'g')"
+    x = rf"string_split_regex({x}, '\s+[—–]\s+')[1]"
+    x = rf"regexp_replace(regexp_replace({x}, '\s{{2,}}', ' ', 'g'), '\s+([,.?!])', '\1', 'g')"
+    return _trim(rf"regexp_replace({x}, '^[,.\s]+|[,.\s]+$', '', 'g')")
+
+
+def _title_summary_sql(x: str) -> str:
+    x = rf"regexp_replace({_trim(x)}, '^\s*\[[^\]]{{1,15}}\]\s*', '')"
+    x = rf"regexp_replace(regexp_replace({x}, {s("[" + chr(34) + "“”'‘’]")}, '', 'g'), '\.{{2,}}|…+', '', 'g')"
+    return "substr(" + _trim(rf"regexp_replace(regexp_replace({x}, '\s*\[[^\]]*$', '', 'g'), '\s{{2,}}', ' ', 'g')") + ", 1, 80)"
+
+
+def _noun_sql(x: str) -> str:
+    x = rf"regexp_replace({_trim(x)}, '\.{{2,}}\s*$', '')"
+    rules = ", ".join(f"nullif(regexp_replace(y, {s(p)}, {s(to.replace('$1', chr(92) + '1'))}), y)" for p, to in D.NOUN_ENDINGS)
+    return _trim(rf"regexp_replace(list_transform([{x}], lambda y: coalesce({rules}, y))[1], '[,.\s]+$', '')")
+
+
+@query(f"SELECT ord, {_strip_brackets_sql('title')} AS clean, {_title_summary_sql('title')} AS short, {_noun_sql('title')} AS noun FROM {KR}")
+def h4_title_forms(spark: SparkSession, d: str) -> DataFrame:
+    title = F.col("title")
+    return kr(spark, d).select("ord", T.strip_brackets(title).alias("clean"), T.title_summary(title).alias("short"), T.noun_ending(title).alias("noun"))
+
+
+def _key_sentences_sql(x: str, n: int = 3, least: int = 20, most: int = 90) -> str:
+    x = _trim(rf"regexp_replace(regexp_replace(coalesce({x}, ''), '&[a-z]+;|\[.*?\]', ' ', 'g'), '\s{{2,}}', ' ', 'g')")
+    parts = rf"list_transform(string_split(regexp_replace({x}, '([다요됨음.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')})"
+    fit = f"list_filter({parts}, lambda y: length(y) BETWEEN {least} AND {most} AND NOT regexp_matches(y, {s(re2(D.QUOTE_SENTENCE))}) AND NOT regexp_matches(y, {s(D.LONG_QUOTE)}))"
+    bare = f"list_transform({fit}, lambda y: regexp_replace(y, {s(D.CONJUNCTION)}, ''))"
+    return f"list_transform([{bare}], lambda z: list_slice(list_filter(z, lambda y, i: list_position(list_transform(z, lambda v: substr(v, 1, 15)), substr(y, 1, 15)) = i), 1, {n}))[1]"
+
+
+@query(f"SELECT ord, array_to_string({_key_sentences_sql('body')}, '|') AS sentences FROM {KR}")
+def h4_key_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return kr(spark, d).select("ord", F.array_join(T.key_sentences(F.col("body")), "|").alias("sentences"))
+
+
+def _found_sql(x: str, pattern: str) -> str:
+    return f"nullif({_trim(f'regexp_extract({x}, {s(re2(pattern))}, 1)')}, '')"
+
+
+def _policy_name_sql() -> str:
+    title, quoted = "coalesce(title, '')", r"[「｢](.+?)[」｣]"
+    clean = _trim(rf"regexp_replace({title}, '\[.*?\]|\.{{2,}}', '', 'g')")
+    clean = f"coalesce({_found_sql(clean, r'^[가-힣]+(?:부|처|원|위|청|원회)[,，]\s*(.+)')}, {clean})"
+    clean = f"substr({_trim(rf"string_split_regex({clean}, '\s+-\s+')[1]")}, 1, 40)"
+    return f"coalesce({_found_sql("substr(coalesce(body, ''), 1, 800)", quoted)}, {_found_sql(title, quoted)}, {_found_sql(title, rf'([가-힣\w()·\s]{{4,35}}(?:{D.POLICY_SUFFIX}))')}, {clean})"
+
+
+@query(f"SELECT ord, {_policy_name_sql()} AS name FROM {KR}")
+def h4_policy_name(spark: SparkSession, d: str) -> DataFrame:
+    return kr(spark, d).select("ord", T.policy_name(F.col("title"), F.col("body")).alias("name"))
+
+
 @query()
 def h4_article_parts(spark: SparkSession, d: str) -> DataFrame:
     title, body = F.col("title"), F.col("body")
-    return kr(spark, d).select(
-        "ord", T.policy_name(title, body).alias("name"), T.summary_line(title, body).alias("line"), F.array_join(T.bullets(body, body, title), "|").alias("points"),
-        F.array_join(T.key_sentences(body), "|").alias("sentences"), T.strip_brackets(title).alias("clean"), T.title_summary(title).alias("short"), T.noun_ending(title).alias("noun"),
+    return kr(spark, d).select("ord", T.summary_line(title, body).alias("line"), F.array_join(T.bullets(body, body, title), "|").alias("points"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS level, CASE doc_id % 4 WHEN 0 THEN 'item' WHEN 1 THEN 'heading' WHEN 2 THEN 'item' ELSE 'section' END AS kind, 'law ' || CAST(doc_id AS STRING) AS press, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id END AS no, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a|b' END AS laws, source || '|' || lang || '|x' AS points, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'p|q' END AS listed FROM {documents}")
+def h4_small_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Outline levels, press titles, JSON of replies, key points and JSON arrays, over lines made from the documents' keys."""
+    docs = t(spark, d, "documents")
+    even = F.col("doc_id") % 2 == 0
+    line = F.when(even, "    - point").when(F.col("doc_id") % 4 == 1, "◆ heading").otherwise("• section")
+    press = F.concat(F.lit("text\n◆ none\n◆ agency | 「law: "), F.col("doc_id").cast("string"), F.lit("」 <x>"))
+    reply = F.when(F.col("doc_id") % 3 == 0, "no {json here").otherwise(F.concat(F.lit("so ```json\n{\"no\": "), F.col("doc_id").cast("string"), F.lit(", \"laws\": [\"a\", \"b\"]}\n``` done")))
+    made = T.json_from_text(reply, "no bigint, laws array<string>")
+    listed = F.when(F.col("doc_id") % 5 == 0, "[not json").otherwise('["p", "q"]')
+    return docs.select(
+        "doc_id", T.outline_level(line)["level"].alias("level"), T.outline_level(line)["kind"].alias("kind"), T.press_title(press).alias("press"), made["no"].alias("no"), F.array_join(made["laws"], "|").alias("laws"),
+        F.array_join(T.key_points(F.array(F.concat(F.lit(" "), "source"), F.lit("  "), F.col("lang"), F.lit("x"), F.lit("y"))), "|").alias("points"), F.array_join(ids.json_array(listed), "|").alias("listed"),
     )
 
 
@@ -902,3 +1045,22 @@ def h5_keys(spark: SparkSession, d: str) -> DataFrame:
 def h5_urls(spark: SparkSession, d: str) -> DataFrame:
     url = F.col("url")
     return t(spark, d, "pages").select("page_id", ids.url_host(url).alias("host"), ids.url_parameter(url, "page").alias("page"), ids.safe_name(url).alias("safe"))
+
+
+@query("SELECT doc_id, CASE WHEN odd THEN text || chr(65533) ELSE text END AS decoded FROM (SELECT doc_id, text, doc_id % 2 = 1 AND length(text) = strlen(text) AS odd FROM {documents})")
+def h5h_decode_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as bytes, plain ones at odd places spoilt by a byte that fits no encoding."""
+    odd = (F.col("doc_id") % 2 == 1) & (F.char_length("text") == F.octet_length("text"))
+    raw = F.when(odd, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF")))).otherwise(F.encode("text", "UTF-8"))
+    return t(spark, d, "documents").select("doc_id", ids.decode_text(raw).alias("decoded"))
+
+
+@query(rf"""
+SELECT event_id, lower(regexp_replace(event_type || '  Q', '\s+', ' ', 'g')) AS question, {KEY_SQL} AS cache_key, CASE WHEN event_type = 'click' THEN 1 ELSE 1 / 3.0 END AS near, CAST(event_id % 9 AS INT) AS number, round_even(100.0 * (event_id % 7) / 8, 1) AS pct FROM {{events}}""")
+def k_sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The functions by their SQL names."""
+    from regscope.functions.register import register
+
+    register(spark)
+    asked = "event_type || '  Q' || CAST(user_id % 50 AS STRING)"
+    return spark.sql(f"SELECT event_id, normalize_question(event_type || '  Q') AS question, cache_key({asked}, array('a', event_type)) AS cache_key, word_jaccard(event_type || ' x', 'click x') AS near, article_number('제' || CAST(event_id % 9 AS STRING) || '조의2') AS number, percent_of(event_id % 7, 8) AS pct FROM {{e}}", e=t(spark, d, "events"))

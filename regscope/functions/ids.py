@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from regscope.functions.dicts import CACHE_VERSION, SOURCE_LABELS
 from regscope.functions.text import normalize_question
@@ -68,3 +70,24 @@ def safe_name(text: Column) -> Column:
 def article_number(text: Column) -> Column:
     """The first digits of a label; branch numbers are lost, none is 0."""
     return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(text, F.lit("")), r"(\d+)", 1), F.lit("")).try_cast("int"), F.lit(0))
+
+
+def decode_text(raw: Column) -> Column:
+    """Bytes as text by the first encoding that fits: UTF-8 (a byte order mark goes), else CP949, else UTF-8 with marks for
+    what is no text. Valid UTF-8 never reaches a Python worker's decoder."""
+    plain = raw.cast("string")
+    valid = F.is_valid_utf8(plain)
+    return F.when(valid, F.regexp_replace(plain, "^\ufeff", "")).otherwise(_legacy(F.when(~valid, raw)))
+
+
+@F.pandas_udf(StringType())
+def _legacy(raw: pd.Series) -> pd.Series:
+    def one(b: bytes | None) -> str | None:
+        if b is None:
+            return None
+        try:
+            return bytes(b).decode("cp949")
+        except UnicodeDecodeError:
+            return bytes(b).decode("utf-8", errors="replace")
+
+    return raw.map(one)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from regscope.functions import dates, text as T
 from regscope.functions import dicts as D
 
+TERMS = 2000
+
 
 def full_text(title: Column, body: Column) -> Column:
     return F.concat(T.nz(title), F.lit(" "), T.nz(body))
@@ -22,9 +24,21 @@ def priority_grade(title: Column, body: Column) -> Column:
 
 
 def grade_by_dictionary(articles: DataFrame, dictionary: DataFrame, key: str = "ord") -> DataFrame:
-    """The grade from a dictionary table (``term, weight, class``), which may grow beyond what an expression can hold."""
+    """The grade from a dictionary table (``term, weight, class``), which may grow beyond what an expression can hold.
+
+    Up to ``TERMS`` terms are broadcast and each text is searched for all of them. Beyond that a text's substrings of the
+    terms' lengths meet the terms in an equality join.
+    """
     text = articles.select(key, full_text(F.col("title"), F.col("body")).alias("text"))
-    hits = text.join(dictionary.where("class IN ('law', 'action', 'low')").select("term", "weight", "class"), F.contains("text", "term"))
+    terms = dictionary.where("class IN ('law', 'action', 'low') AND term <> ''").select("term", "weight", "class")
+    if terms.count() <= TERMS:
+        hits = text.join(F.broadcast(terms), F.contains("text", "term"))
+    else:
+        sizes = [r[0] for r in terms.select(F.char_length("term")).distinct().collect()]  # at most the longest term's length
+        starts = lambda n: F.sequence(F.lit(1), F.char_length("text") - n + 1)
+        of = lambda n: F.when(F.char_length("text") >= n, F.transform(starts(n), lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        found = text.select(key, F.explode(F.array_distinct(F.concat(*(of(n) for n in sizes)))).alias("term"))
+        hits = found.join(terms, "term")
     sums = hits.groupBy(key).agg(F.sum(F.when(F.col("class") != "low", F.col("weight"))).alias("points"), F.count_if(F.col("class") == "low").alias("low"))
     joined = articles.select(key).join(sums, key, "left")
     points, low = F.coalesce("points", F.lit(0)), F.coalesce("low", F.lit(0))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions import text as T
 from regscope.functions.ids import cache_key, source_label
+from regscope.operators.tables import checkpointed
+
+ASKED, ITEMS = 1000, 2048
 
 
 def union_corpora(cases: DataFrame, statutes: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -15,16 +23,74 @@ def union_corpora(cases: DataFrame, statutes: DataFrame, defaults: dict[str, str
     return both.select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in both.columns))
 
 
-def token_index(items: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """``token, key, n`` of each item's token set."""
-    return items.select(key, F.explode(tokens).alias("token"), F.size(tokens).alias("n"))
-
-
-def scores(index: DataFrame, requests: DataFrame, key: str, request: str, tokens: Column) -> DataFrame:
-    """``request, key, score``: Jaccard of all requests and items that share a token; others score 0 and are absent."""
-    asked = requests.select(request, F.explode(tokens).alias("token"), F.size(tokens).alias("nq"))
-    shared = index.join(asked, "token").groupBy(request, key).agg(F.count(F.lit(1)).alias("same"), F.first("n").alias("n"), F.first("nq").alias("nq"))
-    return shared.select(request, key, (F.col("same") / (F.col("nq") + F.col("n") - F.col("same"))).alias("score"))
+def top_matches(items: DataFrame, requests: DataFrame, key: str, request: str, item_tokens: Column, request_tokens: Column, k: int) -> DataFrame:
+    """``request, key, score, rank``: of each request the ``k`` best items by Jaccard of token sets, ties by key; items that
+    share no token are absent.
+
+    Requests are the query set. They go to the tasks in blocks of at most ``ASKED`` requests; a task multiplies its items'
+    token incidence with a block's and keeps its own ``k`` best of each request, so no token is shuffled and what is ranked
+    at the end is ``k`` rows a task and request.
+    """
+    asked = requests.select(F.col(request).alias("request"), request_tokens.alias("tokens")).where(F.size("tokens") > 0)
+    blocks = max(1, -(-asked.count() // (ASKED // 2)))
+    asked = checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("request"), F.lit(blocks))))
+    rows = items.select(F.col(key).alias("key"), item_tokens.alias("tokens")).where(F.size("tokens") > 0)
+    kinds = asked.schema["request"].dataType, rows.schema["key"].dataType
+    schema = f"request {kinds[0].simpleString()}, key {kinds[1].simpleString()}, score double"
+    out = None
+    for b in range(blocks):
+        own = asked.where(F.col("block") == b).orderBy("request").collect()  # bounded: a block of the query set
+        for a in range(0, len(own), ASKED):
+            part = rows.mapInArrow(_matching(own[a : a + ASKED], k), schema)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = items.sparkSession.createDataFrame([], schema)
+    return ranked(out.withColumnsRenamed({"request": request, "key": key}), request, key, k)
+
+
+def _matching(own: list, k: int) -> Callable:
+    """The task's part of :func:`top_matches` for one block of requests."""
+    ids, sets = [r["request"] for r in own], [r["tokens"] for r in own]
+    vocabulary = sorted({w for s in sets for w in s})
+    at = {w: i for i, w in enumerate(vocabulary)}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(vocabulary, pa.string())
+        asked = np.zeros((len(vocabulary), len(sets)), np.float32)
+        for j, s in enumerate(sets):
+            asked[[at[w] for w in s], j] = 1
+        sizes = np.array([len(s) for s in sets], float)
+        names = pa.string()
+        held = (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))  # request, key and score of the best so far
+        least = np.zeros(len(sets))  # what a score must reach
+        for batch in batches:
+            names = batch.schema.field("key").type
+            for a in range(0, batch.num_rows, ITEMS):
+                part = batch.slice(a, ITEMS)
+                lists = part.column("tokens")
+                n = np.diff(lists.offsets.to_numpy())
+                word = pc.index_in(lists.flatten(), value_set=known)
+                hit = pc.is_valid(word).to_numpy(zero_copy_only=False)
+                has = np.zeros((part.num_rows, len(vocabulary)), np.float32)
+                has[np.repeat(np.arange(part.num_rows), n)[hit], word.drop_null().to_numpy()] = 1
+                same = (has @ asked).astype(float)
+                score = same / (n[:, None] + sizes[None, :] - same)
+                if len(score) > k:
+                    least = np.maximum(least, np.partition(score, len(score) - k, axis=0)[len(score) - k])
+                x, y = np.nonzero((score > 0) & (score >= least))
+                keys = np.array(part.column("key").to_pylist(), object)
+                held = tuple(np.concatenate(p) for p in zip(held, (y, keys[x], score[x, y]), strict=True))
+                _, code = np.unique(held[1], return_inverse=True)
+                order = np.lexsort((code, -held[2], held[0]))
+                first = np.searchsorted(held[0][order], np.arange(len(sets)))
+                rank = np.arange(len(order)) - first[held[0][order]]
+                held = tuple(p[order[rank < k]] for p in held)
+                full = np.flatnonzero(np.bincount(held[0], minlength=len(sets)) == k)
+                least[full] = held[2][np.searchsorted(held[0], full, side="right") - 1]
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in held[0]]), pa.array(held[1].tolist(), names), pa.array(held[2])], ["request", "key", "score"])
+
+    return work
 
 
 def ranked(found: DataFrame, request: str, key: str, k: int) -> DataFrame:

@@ -75,7 +75,8 @@ def available_now(stream: DataFrame, mode: str = "append", writer: Callable[[Dat
     elif mode == "append":
         job = put.outputMode("append").format("parquet").option("path", out).start()
     else:
-        # the last value of each key wins: batches are numbered tables
-        job = put.outputMode(mode).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).start()
+        # the last value of each key wins: batches are numbered partitions, and one that runs again replaces itself
+        numbered = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        job = put.outputMode(mode).foreachBatch(numbered).start()
     job.awaitTermination()
     return out
