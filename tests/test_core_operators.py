@@ -193,3 +193,73 @@ def test_digest_text_keeps_every_article(spark):
         sides = [("국내 동향", cards[:home]), ("해외 동향", cards[home:])]
         assert "".join(texts) == "\n\n".join(f"{name} ({len(c)}건)\n" + "\n".join(c) for name, c in sides if c)
     assert len(found["2024-01-01"]) == 3 and len(found["2024-01-02"]) == 1
+
+
+def test_top_matches_equals_a_plain_scan(spark, monkeypatch):
+    r = random.Random(4)
+    monkeypatch.setattr(S, "ITEMS", 7)
+    monkeypatch.setattr(S, "ASKED", 4)
+    pool = [f"w{k}" for k in range(30)]
+    items = [(f"i{k:03d}", [r.choice(pool) for _ in range(r.randrange(6))]) for k in range(90)] + [("i900", None)]
+    asked = [(k, [r.choice(pool) for _ in range(r.randrange(1, 5))]) for k in range(9)] + [(99, [])]
+    got = S.top_matches(
+        spark.createDataFrame(items, "key string, t array<string>").repartition(3), spark.createDataFrame(asked, "req long, t array<string>"),
+        "key", "req", F.array_distinct(F.coalesce("t", F.array().cast("array<string>"))), F.array_distinct("t"), 5,
+    )
+    want = []
+    for q, words in asked:
+        near = [(-len(set(words) & set(t or ())) / len(set(words) | set(t or ())), k) for k, t in items if set(words) & set(t or ())]
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(sorted(near)[:5])]
+    assert sorted((x.req, x.key, x.score, x["rank"]) for x in got.collect()) == sorted(want)
+
+
+def test_cosine_links_equal_a_plain_scan(spark, monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    monkeypatch.setattr(simjoin, "BLOCK_ROWS", 9)
+    base = r.normal(size=(6, 8))
+    rows = [(k, [float(x) for x in base[k % 6] + 0.4 * r.normal(size=8)]) for k in range(60)] + [(100, None), (101, []), (102, [0.0] * 8), (103, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and any(v)}
+    for cut in (0.88, 0.3):
+        want = {(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cut}
+        got = [(x.a, x.b) for x in simjoin.cosine_links(frame, frame, cut).collect()]
+        assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
+        odd, even = frame.where("vec_id % 2 = 1"), frame.where("vec_id % 2 = 0")
+        left = {x.vec_id for x in simjoin.embedding_exclude(even, odd, cut).collect()}
+        assert left == {k for k, _ in rows if k % 2 == 0 and not any((min(k, b), max(k, b)) in want for b in unit if b % 2)}
+    assert simjoin.cosine_links(frame.limit(0), frame, 0.5).count() == 0
+
+
+def test_dictionary_grades_agree_at_any_size(spark, monkeypatch):
+    from regscope.functions import dicts
+
+    rows = spark.createDataFrame([(1, "특금법 개정", "본문"), (2, "간담회 참석", None), (3, None, ""), (4, "과태료 위반 제재", "x")], "ord long, title string, body string")
+    few = {r.ord: r.grade for r in classify.grade_by_dictionary(rows, dicts.dictionary_rows(spark)).collect()}
+    monkeypatch.setattr(classify, "TERMS", 0)
+    many = {r.ord: r.grade for r in classify.grade_by_dictionary(rows, dicts.dictionary_rows(spark)).collect()}
+    plain = {r.ord: r.grade for r in rows.select("ord", classify.priority_grade(F.col("title"), F.col("body")).alias("grade")).collect()}
+    assert few == many == plain and set(few.values()) == {"상", "중", "하"}
+
+
+def test_decoding_of_legacy_bytes(spark):
+    from regscope.functions import ids
+    from regscope.functions import text as T
+
+    raw = ["한글".encode(), "한글".encode("cp949"), b"\xef\xbb\xbfmark", b"bad\xff", None]
+    got = [r[0] for r in spark.createDataFrame([(k, x) for k, x in enumerate(raw)], "k int, b binary").orderBy("k").select(ids.decode_text(F.col("b"))).collect()]
+    assert got == ["한글", "한글", "mark", "bad�", None]
+    found = spark.createDataFrame([(" &lt;b&gt;&nbsp;a  &eacute;&#x41; ",), (None,)], "t string").select(T.clean_entities(F.col("t")).alias("a"), T.clean_entities(F.col("t"), True).alias("b")).collect()
+    assert [tuple(r) for r in found] == [("<b>\xa0a  éA", "a éA"), ("", "")]
+
+
+def test_digest_sections_and_empty_days(spark):
+    article = "ord long, pub_date string, overseas boolean, title string, body string, agency string, link string"
+    rows = spark.createDataFrame([(1, "d1", False, "one", None, None, "l1")], article)
+    bills = spark.createDataFrame([(2, "d1", "bill", "", "공포", "l2"), (3, "d2", "other", "부처", "시행", "")], "ord long, pub_date string, bill_title string, ministry string, status string, link string")
+    titles = spark.createDataFrame([(4, "d1", "t4", "l4"), (5, "d1", "t5", None)], "ord long, pub_date string, title string, link string")
+    days = spark.createDataFrame([("d1",), ("d2",), ("d3",)], "pub_date string")
+    got = {r.pub_date: (r.n, r.text) for r in digest.digest_text(rows, bills=bills, titles=titles, days=days).collect()}
+    assert got["d1"] == (4, "국내 동향 (1건)\n🔴 [상]  #1  (d1)\none\n· 기관: -\n· 원문: l1\n\n입법동향 (1건)\n⚖️ [입법]  #2\nbill\n· 부처: -\n· 단계: 공포\n· 원문: l2\n\n전체 기사 (2건)\n1. t4\n    l4\n2. t5")
+    assert got["d2"] == (1, "입법동향 (1건)\n⚖️ [입법]  #1\nother\n· 부처: 부처\n· 단계: 시행") and got["d3"][0] == 0
