@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions.text import nz, space_free
 from regscope.operators.tables import checkpointed
 
+FINISH = 100_000
+
 
 def first_wins(rows: DataFrame, key: Column | str, order: str = "ord", keep_empty: bool = False) -> DataFrame:
     """The first row of each key in ``order``. Rows with an empty key are dropped, or all kept with ``keep_empty``.
@@ -29,25 +32,48 @@ def leaders(rows: DataFrame, edges: DataFrame, order: str = "ord") -> DataFrame:
 
     ``edges`` holds pairs ``a, b`` of order values. The leaders are the lexicographically first maximal independent set,
     found in rounds: a row is dropped once an earlier neighbour is kept, and kept once all its earlier neighbours are
-    dropped (Blelloch, Fineman and Shun, SPAA 2012). Returns ``ord, leader``; a leader leads itself. Every round is a
-    written table.
+    dropped (Blelloch, Fineman and Shun, SPAA 2012). Each round works on the edges that are still open; a long chain takes
+    a round for each link, so once at most ``FINISH`` edges are open one task walks them in order. Returns ``ord, leader``;
+    a leader leads itself. Every round is a written table.
     """
-    both = edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).where("early <> late").distinct()
-    both = checkpointed(both)
-    # rows without an earlier neighbour lead from the start
-    late = both.select(F.col("late").alias(order)).distinct()
+    every = edges.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).where("early <> late").distinct()
+    every = checkpointed(every)
+    # 1 kept, 0 open, -1 dropped; rows without an earlier neighbour lead from the start
+    late = every.select(F.col("late").alias(order)).distinct()
     state = checkpointed(rows.select(order).join(late.withColumn("open", F.lit(True)), order, "left").select(order, F.when(F.col("open"), 0).otherwise(1).alias("kept")))
-    while not state.where("kept = 0").isEmpty():
-        near = both.join(state.select(F.col(order).alias("early"), F.col("kept").alias("near")), "early")
-        near = near.groupBy("late").agg(F.max("near").alias("most"), F.min("near").alias("least")).withColumnRenamed("late", order)
-        # 1 kept, 0 open, -1 dropped
-        decided = F.when(F.col("kept") != 0, F.col("kept")).when(F.col("most") == 1, -1).when(F.col("most") == -1, 1).otherwise(0)
-        state = checkpointed(state.join(near, order, "left").select(order, decided.alias("kept")))
+    both = every
+    while True:
+        own = state.where("kept = 0").select(F.col(order).alias("late"))
+        near = state.where("kept >= 0").select(F.col(order).alias("early"), F.col("kept").alias("near"))
+        both = checkpointed(both.select("early", "late").join(own, "late").join(near, "early"))
+        few = both.count() <= FINISH
+        if few:
+            kind = state.schema[order].dataType.simpleString()
+            decided = both.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_walked, f"late {kind}, now int")
+        else:
+            decided = both.groupBy("late").agg(F.when(F.max("near") == 1, -1).otherwise(0).alias("now"))
+        joined = state.join(decided.withColumnRenamed("late", order), order, "left")
+        # an open row without open edges is kept
+        state = checkpointed(joined.select(order, F.when(F.col("kept") != 0, F.col("kept")).otherwise(F.coalesce("now", F.lit(1))).alias("kept")))
+        if few:
+            break
     heads = state.where("kept = 1").select(F.col(order).alias("early"))
-    joined = both.join(heads, "early").groupBy("late").agg(F.min("early").alias("leader")).withColumnRenamed("late", order)
+    joined = every.join(heads, "early").groupBy("late").agg(F.min("early").alias("leader")).withColumnRenamed("late", order)
     return state.join(joined, order, "left").select(order, F.when(F.col("kept") == 1, F.col(order)).otherwise(F.col("leader")).alias("leader"))
 
 
+def _walked(edges: pa.Table) -> pa.Table:
+    """The open rows of a bounded set of edges in order: dropped (-1) beside an earlier kept row, else kept (1)."""
+    late = edges.column("late").to_pylist()
+    earlier: dict = {k: [] for k in sorted(set(late))}
+    for k, e, near in zip(late, edges.column("early").to_pylist(), edges.column("near").to_pylist(), strict=True):
+        earlier[k].append((e, near))
+    now: dict = {}
+    for k, own in earlier.items():
+        now[k] = -1 if any(near == 1 or now.get(e, 1) == 1 for e, near in own) else 1
+    return pa.table({"late": pa.array(list(now), edges.schema.field("late").type), "now": pa.array(list(now.values()), pa.int32())})
+
+
 def first_wins_multi(rows: DataFrame, order: str = "ord", link: str = "link", title: str = "title") -> DataFrame:
     """Rows of which neither the link nor the space-free title stood on an earlier kept row; dropped rows mark nothing.
 
