@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -339,11 +338,6 @@ def b15_drop_quotes(spark: SparkSession, d: str) -> DataFrame:
     return kr(spark, d).select("ord", F.array_join(T.drop_quotes(F.split(T.nz(F.col("body")), r"\. ")), "|").alias("kept"))
 
 
-@query()
-def b16_risk_records(spark: SparkSession, d: str) -> DataFrame:
-    return C.risk_records(kr(spark, d)).drop("body")
-
-
 @query("SELECT doc_id, contains(regexp_replace(text, '<[^>]+>', '', 'g'), 'that') OR contains(regexp_replace(text, '<[^>]+>', '', 'g'), 'sich') AS hit FROM {documents}")
 def b17_keyword_relevance(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "documents").select("doc_id", T.keyword_relevant(F.lit("that·sich, a the"), F.col("text"), ("the",)).alias("hit"))
@@ -898,21 +892,9 @@ def h3b_normalize_summary(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", T.normalize_summary(F.col("html")).alias("summary"), F.char_length(T.normalize_case_body(F.col("html"))).alias("n_case"))
 
 
-def re2(pattern: str) -> str:
-    """A pattern of the fixed values for DuckDB: word signs of all scripts, inside classes and alone."""
-    out, inside = "", False
-    for part in re.split(r"(\\.|[\[\]])", pattern):
-        if part == "[":
-            inside = True
-        elif part == "]":
-            inside = False
-        out += part if part != r"\w" else r"\p{L}\p{M}\p{N}_" if inside else r"[\p{L}\p{M}\p{N}_]"
-    return out
-
-
 _CLEAN = "coalesce(text, '')"
 for _p in D.UI_NOISE:
-    _CLEAN = f"regexp_replace({_CLEAN}, {s(re2(_p))}, ' ', 'g')"
+    _CLEAN = f"regexp_replace({_CLEAN}, {s(T.wide(_p))}, ' ', 'g')"
 LINES_SQL = r"regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
 
 
@@ -952,8 +934,8 @@ def _title_summary_sql(x: str) -> str:
 
 def _noun_sql(x: str) -> str:
     x = rf"regexp_replace({_trim(x)}, '\.{{2,}}\s*$', '')"
-    rules = ", ".join(f"nullif(regexp_replace(y, {s(p)}, {s(to.replace('$1', chr(92) + '1'))}), y)" for p, to in D.NOUN_ENDINGS)
-    return _trim(rf"regexp_replace(list_transform([{x}], lambda y: coalesce({rules}, y))[1], '[,.\s]+$', '')")
+    rules = ", ".join(f"nullif(regexp_replace(n, {s(p)}, {s(to.replace('$1', chr(92) + '1'))}), n)" for p, to in D.NOUN_ENDINGS)
+    return _trim(rf"regexp_replace(list_transform([{x}], lambda n: coalesce({rules}, n))[1], '[,.\s]+$', '')")
 
 
 @query(f"SELECT ord, {_strip_brackets_sql('title')} AS clean, {_title_summary_sql('title')} AS short, {_noun_sql('title')} AS noun FROM {KR}")
@@ -965,7 +947,7 @@ def h4_title_forms(spark: SparkSession, d: str) -> DataFrame:
 def _key_sentences_sql(x: str, n: int = 3, least: int = 20, most: int = 90) -> str:
     x = _trim(rf"regexp_replace(regexp_replace(coalesce({x}, ''), '&[a-z]+;|\[.*?\]', ' ', 'g'), '\s{{2,}}', ' ', 'g')")
     parts = rf"list_transform(string_split(regexp_replace({x}, '([다요됨음.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')})"
-    fit = f"list_filter({parts}, lambda y: length(y) BETWEEN {least} AND {most} AND NOT regexp_matches(y, {s(re2(D.QUOTE_SENTENCE))}) AND NOT regexp_matches(y, {s(D.LONG_QUOTE)}))"
+    fit = f"list_filter({parts}, lambda y: length(y) BETWEEN {least} AND {most} AND NOT regexp_matches(y, {s(T.wide(D.QUOTE_SENTENCE))}) AND NOT regexp_matches(y, {s(D.LONG_QUOTE)}))"
     bare = f"list_transform({fit}, lambda y: regexp_replace(y, {s(D.CONJUNCTION)}, ''))"
     return f"list_transform([{bare}], lambda z: list_slice(list_filter(z, lambda y, i: list_position(list_transform(z, lambda v: substr(v, 1, 15)), substr(y, 1, 15)) = i), 1, {n}))[1]"
 
@@ -975,8 +957,56 @@ def h4_key_sentences(spark: SparkSession, d: str) -> DataFrame:
     return kr(spark, d).select("ord", F.array_join(T.key_sentences(F.col("body")), "|").alias("sentences"))
 
 
+def _risk_records_sql(rows: str) -> str:
+    quotes = "[" + chr(34) + "“”'‘’]"
+    quoted = quotes + quotes.replace("[", "[^") + "+" + quotes
+    bare = _strip_brackets_sql(f"regexp_replace({_trim('title')}, {s(quoted)}, ' ', 'g')")
+    minimal = _trim(rf"regexp_replace({_trim('title')}, '^\s*\[[^\]]{{1,15}}\]\s*', '')")
+    words = lambda x: f"list_distinct(regexp_extract_all({x}, '[가-힣A-Za-z0-9]+'))"
+    near = f"(len({words('summary')}) > 0 AND len({words('y')}) > 0 AND len(list_intersect({words('summary')}, {words('y')})) / (len({words('summary')}) + len({words('y')}) - len(list_intersect({words('summary')}, {words('y')}))) >= 0.5)"
+    actions = " ".join(f"WHEN {s(k)} THEN {s(v)}" for k, v in D.DEFAULT_ACTIONS.items() if k)
+    return f"""
+rr_a AS MATERIALIZED (SELECT *, {RELEVANT_SQL} AS gate FROM ({RISK_SQL.replace(KR, rows)})),
+rr_b AS MATERIALIZED (SELECT ord, title, body, gate, link, CASE WHEN gate THEN risk_type ELSE '무관' END AS risk_type, CASE WHEN gate THEN {RULE_GRADE_SQL} ELSE '무관' END AS risk_grade, CASE WHEN gate THEN areas ELSE [] END AS areas,
+  {bare} AS b, {_strip_brackets_sql('title')} AS p, {minimal} AS m, {_key_sentences_sql('body', 8, 20, 110)} AS found, {_key_sentences_sql('body', 1, 20, 80)}[1] AS first FROM rr_a),
+rr_c AS MATERIALIZED (SELECT *, CASE WHEN gate THEN substr(CASE WHEN length(b) >= 6 THEN b WHEN length(p) >= 6 THEN p ELSE coalesce(nullif(m, ''), {_trim('title')}) END, 1, 60) ELSE '' END AS policy_name FROM rr_b),
+rr_d AS MATERIALIZED (SELECT *, CASE WHEN gate THEN coalesce(first, nullif({_title_summary_sql('title')}, ''), policy_name) ELSE '' END AS summary FROM rr_c),
+rr_e AS MATERIALIZED (SELECT *, CASE WHEN gate THEN list_slice(list_filter(found, lambda y: NOT {near}), 1, 3) ELSE [] END AS points FROM rr_d),
+rr AS MATERIALIZED (SELECT ord, link, risk_grade, risk_type, array_to_string(areas, ',') AS areas, policy_name, {_noun_sql('summary')} AS summary, array_to_string(list_transform(points, lambda y: {_noun_sql('y')}), '|') AS key_changes,
+  CASE WHEN len(areas) > 0 THEN {_noun_sql(f"(array_to_string(list_slice(areas, 1, 2), ', ') || CASE risk_type {actions} ELSE {s(D.DEFAULT_ACTIONS[''])} END)")} ELSE '' END AS recommended_action, CASE WHEN gate THEN 'rule' ELSE 'pre-gate' END AS source FROM rr_e)"""
+
+
+RULE_GRADE_SQL = "CASE WHEN len(areas) = 0 THEN '무관' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 3 THEN '상' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 1 THEN '중' ELSE '하' END"
+
+
+@query(f"WITH {_risk_records_sql(KR)} SELECT ord, risk_grade, risk_type, areas, policy_name, summary, key_changes, recommended_action, source FROM rr")
+def b16_risk_records(spark: SparkSession, d: str) -> DataFrame:
+    return C.risk_records(kr(spark, d)).select("ord", "risk_grade", "risk_type", F.array_join("impacted_areas", ",").alias("areas"), "policy_name", "summary", F.array_join("key_changes", "|").alias("key_changes"), "recommended_action", F.col("source_of_risk").alias("source"))
+
+
+def spoilt_risk(spark: SparkSession, d: str) -> DataFrame:
+    """Risk records with values that are to be brought to form."""
+    o = kr(spark, d).select("ord", F.concat(F.lit("[단독] "), "title").alias("policy_name"))
+    k = F.col("ord")
+    number = k.cast("string")
+    return o.select(
+        "ord", "policy_name", F.concat(F.lit(" summary "), number, F.repeat(F.lit(" of many words"), 12)).alias("summary"), F.concat(F.repeat(F.lit("plan "), 50), number).alias("future_plan"),
+        F.when(k % 3 == 0, " 상 ").when(k % 3 == 1, "bad").otherwise(F.lit(None).cast("string")).alias("risk_grade"), F.when(k % 2 == 0, "규제").otherwise("x").alias("risk_type"),
+        F.when(k % 4 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("AML/KYC"), F.lit(""), F.lit(" PG "))).alias("impacted_areas"),
+        F.array(F.concat(F.lit("change a "), number), F.lit("그는 좋다라고 말했다"), F.lit(" "), F.lit("b 강화했다."), F.lit("c"), F.lit("d"), F.lit("e")).alias("key_changes"), F.array(F.lit("unused")).alias("key_points"), F.lit(" 검토한다. ").alias("recommended_action"),
+    )
+
+
+@query(f"""
+SELECT ord, {_strip_brackets_sql("'[단독] ' || title")} AS policy_name, {_noun_sql(f"substr('summary ' || CAST(ord AS STRING) || repeat(' of many words', 12), 1, 140)")} AS summary, {_noun_sql("substr(repeat('plan ', 50) || CAST(ord AS STRING), 1, 200)")} AS future_plan,
+CASE WHEN ord % 3 = 0 AND ord % 4 <> 0 THEN '상' ELSE '무관' END AS risk_grade, CASE WHEN ord % 2 = 0 AND NOT (ord % 3 = 0 AND ord % 4 = 0) THEN '규제' ELSE '무관' END AS risk_type, CASE WHEN ord % 4 = 0 THEN '' ELSE 'AML/KYC,PG' END AS areas,
+'change a ' || CAST(ord AS STRING) || '|b 강화|c|d' AS key_changes, CASE WHEN ord % 3 = 0 AND ord % 4 = 0 THEN '' ELSE '검토' END AS recommended_action FROM {KR}""".replace(_strip_brackets_sql("'[단독] ' || title") + " AS policy_name", "substr(" + _strip_brackets_sql("'[단독] ' || title") + ", 1, 80) AS policy_name"))
+def b7_normalise_risk(spark: SparkSession, d: str) -> DataFrame:
+    return C.normalise_risk(spoilt_risk(spark, d)).select("ord", "policy_name", "summary", "future_plan", "risk_grade", "risk_type", F.array_join("impacted_areas", ",").alias("areas"), F.array_join("key_changes", "|").alias("key_changes"), "recommended_action")
+
+
 def _found_sql(x: str, pattern: str) -> str:
-    return f"nullif({_trim(f'regexp_extract({x}, {s(re2(pattern))}, 1)')}, '')"
+    return f"nullif({_trim(f'regexp_extract({x}, {s(T.wide(pattern))}, 1)')}, '')"
 
 
 def _policy_name_sql() -> str:
@@ -992,7 +1022,51 @@ def h4_policy_name(spark: SparkSession, d: str) -> DataFrame:
     return kr(spark, d).select("ord", T.policy_name(F.col("title"), F.col("body")).alias("name"))
 
 
-@query()
+def _any_of(x: str, words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, {s(w)})" for w in words) + ")"
+
+
+def _summary_line_sql() -> str:
+    title, ends = "coalesce(title, '')", "추진|도입|시행|개정|강화|마련|신설|제정|발표|적용"
+    src = f"CASE WHEN coalesce(body, '') <> '' THEN substr(body, 1, 600) ELSE {title} END"
+    bare = lambda x: rf"regexp_replace({x}, '\[.*?\]|\.{{2,}}', '', 'g')"
+    verb = f"regexp_extract({src}, {s(T.wide(r'([가-힣\w\s「」｢｣()]{5,35}(?:을|를)\s*[가-힣]{2,8}(?:했|하였|합니다|했다|한다|할 예정|예정))'))}, 1)"
+    tail = rf"[,，]\s*(.{{5,40}}(?:{ends}))"
+    front = f"substr({_trim(bare(_trim(f'regexp_extract({title}, {s(rf"^(.*?)[,，]\s*.{{5,40}}(?:{ends})")}, 1)')))}, 1, 30)"
+    parts = rf"list_transform(string_split(regexp_replace({src}, '([다했음니])\.\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')})"
+    good = f"list_filter({parts}, lambda y: length(y) > 15 AND length(y) < 80 AND {_any_of('y', D.POLICY_VERBS)})"
+    sentence = f"list_transform({good}, lambda y: {_trim(bare('y'))})[1]"
+    return (
+        f"coalesce(CASE WHEN length({verb}) > 10 AND length({verb}) < 60 THEN {_trim(verb)} END, CASE WHEN regexp_matches({title}, {s(tail)}) THEN {front} || ' — ' || {_trim(f'regexp_extract({title}, {s(tail)}, 1)')} END, "
+        f"{sentence}, substr({_trim(bare(title))}, 1, 50))"
+    )
+
+
+def _bare_bullet(x: str) -> str:
+    return _trim(rf"regexp_replace({x}, '^[\s\-·•]+', '')")
+
+
+def _points_sql(rows: str, lead: str, out: str) -> str:
+    """``out``: the rows with ``points``, the bullets of body and ``lead``, and ``split``, the split lead or title."""
+    split = lambda p: f"list_transform(list_filter({p}, lambda y: length({_trim('y')}) > 6), lambda y: {_bare_bullet('y')})"
+    every = lambda p: f"list_slice(regexp_extract_all(src, {s(p)}, 1), 1, 4)"
+    signs = "①-⑧➊-➑➎"
+    return rf"""
+{out}_a AS (SELECT *, {_trim(rf"regexp_replace(CASE WHEN {lead} <> '' THEN {lead} ELSE coalesce(title, '') END, '\.{{2,}}', ' ', 'g')")} AS clean, CASE WHEN coalesce(body, '') <> '' THEN body ELSE {lead} END AS src FROM {rows}),
+{out}_b AS (SELECT *, {split(r"string_split_regex(clean, '\s{1,2}-\s+')")} AS p1, {split(r"string_split_regex(clean, '[·•]\s*')")} AS p2, {split(r"string_split(regexp_replace(clean, '\.\s+([가-힣A-Z])', chr(1) || '\1', 'g'), chr(1))")} AS p3, {split(r"string_split_regex(clean, ',\s+')")} AS p4,
+  substr(clean, 1, length(clean) // 2 + 20) AS half FROM {out}_a),
+{out}_c AS (SELECT *, length(half) - instr(reverse(half), ' ') AS cut_at, CASE WHEN len(p2) > len(p1) AND len(p1) < 2 THEN p2 ELSE p1 END AS q2 FROM {out}_b),
+{out}_d AS (SELECT *, CASE WHEN len(q2) < 2 AND len(p3) > len(q2) THEN p3 ELSE q2 END AS q3 FROM {out}_c),
+{out}_e AS (SELECT *, CASE WHEN len(q3) < 2 AND len(p4) > len(q3) THEN p4 ELSE q3 END AS q4 FROM {out}_d),
+{out}_f AS (SELECT *, CASE WHEN len(q4) >= 2 THEN q4 WHEN length(clean) >= 40 AND instr(reverse(half), ' ') > 0 AND cut_at >= 20 THEN [{_bare_bullet("substr(clean, 1, cut_at)")}, {_bare_bullet("substr(clean, cut_at + 1)")}] WHEN len(q4) > 0 THEN q4 ELSE [{_bare_bullet('clean')}] END AS split,
+  list_transform({every(rf"[{signs}]\s*([^{signs}\n]{{10,150}})")}, lambda y: {_bare_bullet("string_split(y, '.')[1]")}) AS circled,
+  list_transform({every(r"(?:첫째|둘째|셋째|넷째|다섯째)[,，\s]+([^첫둘셋넷다\n]{10,120})")}, lambda y: {_bare_bullet('y')}) AS ordinal,
+  list_transform({every(r"[○◦]\s*([^\n○◦]{10,120})")}, lambda y: {_bare_bullet('y')}) AS circle,
+  list_transform(list_slice(list_filter(list_transform(string_split(regexp_replace(substr(src, 1, 2000), '([다했음니])\.\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')}), lambda y: length(y) > 15 AND length(y) < 150 AND {_any_of('y', D.BULLET_WORDS)}), 1, 4), lambda y: {_bare_bullet('y')}) AS useful FROM {out}_e),
+{out} AS (SELECT *, CASE WHEN len(circled) >= 2 THEN circled WHEN len(ordinal) >= 2 THEN ordinal WHEN len(circle) >= 2 THEN circle WHEN len(useful) > 0 THEN useful ELSE list_slice(list_filter(split, lambda y: length(y) > 10), 1, 3) END AS points FROM {out}_f)"""
+
+
+@query(f"WITH {_points_sql(f'{KR}', chr(34) + 'lead' + chr(34), 'o')} SELECT ord, {_summary_line_sql()} AS line, array_to_string(points, '|') AS points FROM o".replace(f"FROM {KR}", f"FROM (SELECT *, coalesce(body, '') AS \"lead\" FROM {KR})"))
 def h4_article_parts(spark: SparkSession, d: str) -> DataFrame:
     title, body = F.col("title"), F.col("body")
     return kr(spark, d).select("ord", T.summary_line(title, body).alias("line"), F.array_join(T.bullets(body, body, title), "|").alias("points"))

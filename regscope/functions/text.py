@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -14,6 +15,15 @@ from regscope.functions import dicts as D
 U = "(?U)"
 
 
+def wide(pattern: str) -> str:
+    """A pattern whose word sign also means letters and numbers of all scripts, circled numbers among them."""
+    out, inside = "", False
+    for part in re.split(r"(\\.|[\[\]])", pattern):
+        inside = part == "[" or (inside and part != "]")
+        out += part if part != r"\w" else r"\p{L}\p{N}_" if inside else r"[\p{L}\p{N}_]"
+    return out
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -192,7 +202,7 @@ def normalize_lines(text: Column) -> Column:
 def clean_ui_noise(text: Column) -> Column:
     text = nz(text)
     for pattern in D.UI_NOISE:
-        text = F.regexp_replace(text, U + pattern, " ")
+        text = F.regexp_replace(text, U + wide(pattern), " ")
     return strip(F.regexp_replace(text, r"(?U)\s{2,}", " "))
 
 
@@ -269,7 +279,7 @@ def key_sentences(text: Column, n: int = 3, least: int = 20, most: int = 90) ->
     """The first sentences of fit length without quotations, conjunctions at their head dropped."""
     clean = strip(F.regexp_replace(F.regexp_replace(nz(text), r"&[a-z]+;|\[.*?\]", " "), r"(?U)\s{2,}", " "))
     parts = F.transform(F.split(clean, U + D.SENTENCE_END), strip)
-    fit = F.filter(parts, lambda x: F.char_length(x).between(least, most) & ~x.rlike(U + D.QUOTE_SENTENCE) & ~x.rlike(D.LONG_QUOTE))
+    fit = F.filter(parts, lambda x: F.char_length(x).between(least, most) & ~x.rlike(U + wide(D.QUOTE_SENTENCE)) & ~x.rlike(D.LONG_QUOTE))
     return first_by_prefix(F.transform(fit, lambda x: F.regexp_replace(x, U + D.CONJUNCTION, "")), n)
 
 
@@ -297,7 +307,7 @@ def _points(clean: Column) -> Column:
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(strip(F.regexp_extract(text, U + pattern, group)), F.lit(""))
+    return F.nullif(strip(F.regexp_extract(text, U + wide(pattern), group)), F.lit(""))
 
 
 def policy_name(title: Column, body: Column) -> Column:
@@ -310,7 +320,7 @@ def policy_name(title: Column, body: Column) -> Column:
 
 def summary_line(title: Column, body: Column) -> Column:
     src = F.when(nz(body) != "", prefix(body, 600)).otherwise(nz(title))
-    verb = F.regexp_extract(src, U + r"([가-힣\w\s「」｢｣()]{5,35}(?:을|를)\s*[가-힣]{2,8}(?:했|하였|합니다|했다|한다|할 예정|예정))", 1)
+    verb = F.regexp_extract(src, U + wide(r"([가-힣\w\s「」｢｣()]{5,35}(?:을|를)\s*[가-힣]{2,8}(?:했|하였|합니다|했다|한다|할 예정|예정))"), 1)
     verb = F.when((F.char_length(verb) > 10) & (F.char_length(verb) < 60), strip(verb))
     tail_pattern = U + r"[,，]\s*(.{5,40}(?:추진|도입|시행|개정|강화|마련|신설|제정|발표|적용))"
     front = F.regexp_extract(nz(title), r"(?U)^(.*?)[,，]\s*.{5,40}(?:추진|도입|시행|개정|강화|마련|신설|제정|발표|적용)", 1)

@@ -134,18 +134,19 @@ def risk_digest(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return found, tables.insert_ignore(sent, found.select(F.col("link").alias("url"), "risk_grade"), "url")
 
 
-@K.query()
-def q3_risk_digest(spark: SparkSession, d: str) -> DataFrame:
-    return risk_digest(spark, d)[0].select("ord", "risk_grade", "risk_type", F.array_join("impacted_areas", ",").alias("areas"), "policy_name", "summary", F.array_join("key_changes", "|").alias("key_changes"), "recommended_action")
+FRESH_SQL = f"""sent AS (SELECT DISTINCT link AS url FROM {K.KR} WHERE ord % 11 = 0 AND link <> ''),
+fresh AS MATERIALIZED (SELECT * FROM {K.KR} WHERE ord IN (SELECT min(ord) FROM {K.KR} WHERE coalesce(link, '') <> '' AND link NOT IN (SELECT url FROM sent) AND date_diff('day', CAST(pub_date AS DATE), DATE '1998-07-31') <= 3 GROUP BY link))"""
 
 
-RULE_GRADE_SQL = "CASE WHEN len(areas) = 0 THEN '무관' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 3 THEN '상' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 1 THEN '중' ELSE '하' END"
+@K.query(f"WITH {FRESH_SQL}, {K._risk_records_sql('fresh a')} SELECT ord, risk_grade, risk_type, areas, policy_name, summary, key_changes, recommended_action FROM rr WHERE risk_grade IN ('상', '중') ORDER BY CASE risk_grade WHEN '상' THEN 0 ELSE 1 END, ord LIMIT 10")
+def q3_risk_digest(spark: SparkSession, d: str) -> DataFrame:
+    return risk_digest(spark, d)[0].select("ord", "risk_grade", "risk_type", F.array_join("impacted_areas", ",").alias("areas"), "policy_name", "summary", F.array_join("key_changes", "|").alias("key_changes"), "recommended_action")
 
 
 @K.query(f"""
 WITH sent AS (SELECT DISTINCT link AS url FROM {K.KR} WHERE ord % 11 = 0 AND link <> ''),
 fresh AS (SELECT min(ord) AS ord, link FROM {K.KR} WHERE coalesce(link, '') <> '' AND link NOT IN (SELECT url FROM sent) AND date_diff('day', CAST(pub_date AS DATE), DATE '1998-07-31') <= 3 GROUP BY link),
-graded AS (SELECT ord, {RULE_GRADE_SQL} AS risk_grade FROM ({K.RISK_SQL}) WHERE {K.RELEVANT_SQL}),
+graded AS (SELECT ord, {K.RULE_GRADE_SQL} AS risk_grade FROM ({K.RISK_SQL}) WHERE {K.RELEVANT_SQL}),
 post AS (SELECT link, risk_grade FROM fresh JOIN graded USING (ord) WHERE risk_grade IN ('상', '중') ORDER BY CASE risk_grade WHEN '상' THEN 0 ELSE 1 END, ord LIMIT 10)
 SELECT url, NULL AS risk_grade FROM sent UNION ALL SELECT link, risk_grade FROM post""")
 def q3_sent_log(spark: SparkSession, d: str) -> DataFrame:
@@ -387,7 +388,14 @@ def format_selected(rows: DataFrame, day: str, places: list[int], order: str = "
     return at.groupBy(day).agg(F.array_join(blocks, "\n\n").alias("text"), F.count(F.lit(1)).alias("n"))
 
 
-@K.query()
+SHOWN_SQL = "'''' || substr(pub_date, 3, 2) || '.' || CAST(month(CAST(pub_date AS DATE)) AS STRING) || '.' || CAST(day(CAST(pub_date AS DATE)) AS STRING) || '(' || ['월', '화', '수', '목', '금', '토', '일'][isodow(CAST(pub_date AS DATE))] || ')'"
+PICKED_SQL = f"(SELECT *, '' AS \"lead\" FROM (SELECT *, row_number() OVER (PARTITION BY pub_date ORDER BY ord) - 1 AS place FROM {K.KR}) WHERE place IN (0, 2, 3))"
+
+
+@K.query(f"""
+WITH {K._points_sql(PICKED_SQL, chr(34) + 'lead' + chr(34), 'o')},
+x AS (SELECT *, list_slice(list_filter(CASE WHEN len(points) < 2 THEN list_concat(points, list_filter(list_filter(split, lambda y: length(y) > 10), lambda y: NOT list_contains(points, y))) ELSE points END, lambda y: length(y) > 8), 1, 4) AS shown FROM o)
+SELECT pub_date, string_agg('◆ ' || coalesce(agency, '') || ' | 「' || {K._policy_name_sql()} || '」  ' || {SHOWN_SQL} || chr(10) || '  - ' || {K._summary_line_sql()} || chr(10) || chr(10) || '    • 주요 내용' || array_to_string(list_transform(shown, lambda y: chr(10) || '      - ' || y), ''), chr(10) || chr(10) ORDER BY place) AS text, count(*) AS n FROM x GROUP BY pub_date""")
 def q16_format_selected(spark: SparkSession, d: str) -> DataFrame:
     """Of each day's list the first, third and fourth article."""
     return format_selected(K.kr(spark, d), "pub_date", [0, 2, 3])
