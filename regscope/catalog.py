@@ -887,9 +887,29 @@ def h3a_strip_html(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("plain"))
 
 
-@query()
+def _summary_sql(x: str, most: int = 3000) -> str:
+    x = ENT_SQL.replace("{x}", TAGS_SQL.replace("(html,", f"(coalesce({x}, ''),"))
+    x = f"regexp_replace({x}, '[​-‍⁠﻿]', '', 'g')"
+    x = f"translate(translate({x}, '  ', '  '), '‧・', '··')"
+    x = rf"regexp_replace({x}, '\.{{3,}}', '…', 'g')"
+    for signs, plain in (("‘’‚′‵", "chr(39)"), ("“”„″‶", "chr(34)")):
+        x = f"regexp_replace({x}, '[{signs}]', {plain}, 'g')"
+    x = f"translate({x}, '｢｣', '「」')"
+    x = rf"regexp_replace(regexp_replace({x}, '「\s+', '「', 'g'), '\s+」', '」', 'g')"
+    x = rf"array_to_string(list_transform(string_split({x}, chr(10)), lambda y: {_trim(chr(114) + 'egexp_replace(y, ' + s('[ ' + chr(92) + 't]+') + ', ' + s(' ') + ', ' + s('g') + ')')}), chr(10))"
+    x = rf"regexp_replace(regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"
+    cut = rf"regexp_replace(coalesce(nullif(regexp_extract(substr(t, 1, {most}), '(?s)^(.*[.!?。])(?:\s|$)', 1), ''), substr(t, 1, {most})), '\s+$', '')"
+    return f"list_transform([{x}], lambda t: CASE WHEN length(t) > {most} THEN {cut} ELSE t END)[1]"
+
+
+@query(f"SELECT page_id, {_summary_sql('html')} AS summary FROM {{pages}}".replace("{3,}", "{3,}"))
 def h3b_normalize_summary(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "pages").select("page_id", T.normalize_summary(F.col("html")).alias("summary"), F.char_length(T.normalize_case_body(F.col("html"))).alias("n_case"))
+    return t(spark, d, "pages").select("page_id", T.normalize_summary(F.col("html")).alias("summary"))
+
+
+@query()
+def h3c_normalize_case_body(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "pages").select("page_id", T.normalize_case_body(F.col("html")).alias("body"))
 
 
 _CLEAN = "coalesce(text, '')"

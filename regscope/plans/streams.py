@@ -65,7 +65,15 @@ def j3_one_post_a_day(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(log).select("post_date")
 
 
-@K.query()
+def _unlike_sql() -> str:
+    from regscope.plans import composites as Q
+
+    sets = f"{Q._tokens_sql("coalesce(title, '')")} AS tt, {Q._tokens_sql("coalesce(title, '') || ' ' || substr(coalesce(body, ''), 1, 1200)")} AS tb"
+    day = lambda where: f"(SELECT *, {sets} FROM {K.KR} WHERE pub_date {where})"
+    return f"SELECT ord, substr(coalesce(title, ''), 1, 80) AS title FROM {day("LIKE '1997-03-1_'")} f WHERE NOT EXISTS (SELECT 1 FROM {day("= '1997-03-09'")} y WHERE {Q._similar_sql('f', 'y')} OR (trim(f.link) <> '' AND f.link = y.link))"
+
+
+@K.query(_unlike_sql())
 def j6_unlike_yesterday(spark: SparkSession, d: str) -> DataFrame:
     """A stream of articles against a stored day, in batches."""
     rows = tables.checkpointed(K.kr(spark, d).where("pub_date LIKE '1997-03-1_'"))
