@@ -1030,9 +1030,9 @@ def _found_sql(x: str, pattern: str) -> str:
 
 
 def _policy_name_sql() -> str:
-    title, quoted = "coalesce(title, '')", r"[「｢](.+?)[」｣]"
+    title, quoted = "coalesce(title, '')", D.QUOTED_NAME
     clean = _trim(rf"regexp_replace({title}, '\[.*?\]|\.{{2,}}', '', 'g')")
-    clean = f"coalesce({_found_sql(clean, r'^[가-힣]+(?:부|처|원|위|청|원회)[,，]\s*(.+)')}, {clean})"
+    clean = f"coalesce({_found_sql(clean, D.MINISTRY_HEAD)}, {clean})"
     clean = f"substr({_trim(rf"string_split_regex({clean}, '\s+-\s+')[1]")}, 1, 40)"
     return f"coalesce({_found_sql("substr(coalesce(body, ''), 1, 800)", quoted)}, {_found_sql(title, quoted)}, {_found_sql(title, rf'([가-힣\w()·\s]{{4,35}}(?:{D.POLICY_SUFFIX}))')}, {clean})"
 
@@ -1047,10 +1047,10 @@ def _any_of(x: str, words: tuple[str, ...]) -> str:
 
 
 def _summary_line_sql() -> str:
-    title, ends = "coalesce(title, '')", "추진|도입|시행|개정|강화|마련|신설|제정|발표|적용"
+    title, ends = "coalesce(title, '')", D.SUMMARY_TAIL
     src = f"CASE WHEN coalesce(body, '') <> '' THEN substr(body, 1, 600) ELSE {title} END"
     bare = lambda x: rf"regexp_replace({x}, '\[.*?\]|\.{{2,}}', '', 'g')"
-    verb = f"regexp_extract({src}, {s(T.wide(r'([가-힣\w\s「」｢｣()]{5,35}(?:을|를)\s*[가-힣]{2,8}(?:했|하였|합니다|했다|한다|할 예정|예정))'))}, 1)"
+    verb = f"regexp_extract({src}, {s(T.wide(D.SUMMARY_VERB))}, 1)"
     tail = rf"[,，]\s*(.{{5,40}}(?:{ends}))"
     front = f"substr({_trim(bare(_trim(f'regexp_extract({title}, {s(rf"^(.*?)[,，]\s*.{{5,40}}(?:{ends})")}, 1)')))}, 1, 30)"
     parts = rf"list_transform(string_split(regexp_replace({src}, '([다했음니])\.\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')})"
@@ -1070,7 +1070,7 @@ def _points_sql(rows: str, lead: str, out: str) -> str:
     """``out``: the rows with ``points``, the bullets of body and ``lead``, and ``split``, the split lead or title."""
     split = lambda p: f"list_transform(list_filter({p}, lambda y: length({_trim('y')}) > 6), lambda y: {_bare_bullet('y')})"
     every = lambda p: f"list_slice(regexp_extract_all(src, {s(p)}, 1), 1, 4)"
-    signs = "①-⑧➊-➑➎"
+    signs = D.CIRCLED_SIGNS
     return rf"""
 {out}_a AS (SELECT *, {_trim(rf"regexp_replace(CASE WHEN {lead} <> '' THEN {lead} ELSE coalesce(title, '') END, '\.{{2,}}', ' ', 'g')")} AS clean, CASE WHEN coalesce(body, '') <> '' THEN body ELSE {lead} END AS src FROM {rows}),
 {out}_b AS (SELECT *, {split(r"string_split_regex(clean, '\s{1,2}-\s+')")} AS p1, {split(r"string_split_regex(clean, '[·•]\s*')")} AS p2, {split(r"string_split(regexp_replace(clean, '\.\s+([가-힣A-Z])', chr(1) || '\1', 'g'), chr(1))")} AS p3, {split(r"string_split_regex(clean, ',\s+')")} AS p4,
@@ -1080,8 +1080,8 @@ def _points_sql(rows: str, lead: str, out: str) -> str:
 {out}_e AS (SELECT *, CASE WHEN len(q3) < 2 AND len(p4) > len(q3) THEN p4 ELSE q3 END AS q4 FROM {out}_d),
 {out}_f AS (SELECT *, CASE WHEN len(q4) >= 2 THEN q4 WHEN length(clean) >= 40 AND instr(reverse(half), ' ') > 0 AND cut_at >= 20 THEN [{_bare_bullet("substr(clean, 1, cut_at)")}, {_bare_bullet("substr(clean, cut_at + 1)")}] WHEN len(q4) > 0 THEN q4 ELSE [{_bare_bullet('clean')}] END AS split,
   list_transform({every(rf"[{signs}]\s*([^{signs}\n]{{10,150}})")}, lambda y: {_bare_bullet("string_split(y, '.')[1]")}) AS circled,
-  list_transform({every(r"(?:첫째|둘째|셋째|넷째|다섯째)[,，\s]+([^첫둘셋넷다\n]{10,120})")}, lambda y: {_bare_bullet('y')}) AS ordinal,
-  list_transform({every(r"[○◦]\s*([^\n○◦]{10,120})")}, lambda y: {_bare_bullet('y')}) AS circle,
+  list_transform({every(D.ORDINAL_POINT)}, lambda y: {_bare_bullet('y')}) AS ordinal,
+  list_transform({every(D.CIRCLE_POINT)}, lambda y: {_bare_bullet('y')}) AS circle,
   list_transform(list_slice(list_filter(list_transform(string_split(regexp_replace(substr(src, 1, 2000), '([다했음니])\.\s+', '\1' || chr(1), 'g'), chr(1)), lambda y: {_trim('y')}), lambda y: length(y) > 15 AND length(y) < 150 AND {_any_of('y', D.BULLET_WORDS)}), 1, 4), lambda y: {_bare_bullet('y')}) AS useful FROM {out}_e),
 {out} AS (SELECT *, CASE WHEN len(circled) >= 2 THEN circled WHEN len(ordinal) >= 2 THEN ordinal WHEN len(circle) >= 2 THEN circle WHEN len(useful) > 0 THEN useful ELSE list_slice(list_filter(split, lambda y: length(y) > 10), 1, 3) END AS points FROM {out}_f)"""
 

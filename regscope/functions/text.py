@@ -311,19 +311,19 @@ def _found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def policy_name(title: Column, body: Column) -> Column:
-    quoted = r"[「｢](.+?)[」｣]"
+    quoted = D.QUOTED_NAME
     clean = strip(F.regexp_replace(nz(title), r"\[.*?\]|\.{2,}", ""))
-    clean = F.coalesce(_found(clean, r"^[가-힣]+(?:부|처|원|위|청|원회)[,，]\s*(.+)"), clean)
+    clean = F.coalesce(_found(clean, D.MINISTRY_HEAD), clean)
     clean = F.substring(strip(F.element_at(F.split(clean, r"(?U)\s+-\s+"), 1)), 1, 40)
     return F.coalesce(_found(prefix(body, 800), quoted), _found(nz(title), quoted), _found(nz(title), rf"([가-힣\w()·\s]{{4,35}}(?:{D.POLICY_SUFFIX}))"), clean)
 
 
 def summary_line(title: Column, body: Column) -> Column:
     src = F.when(nz(body) != "", prefix(body, 600)).otherwise(nz(title))
-    verb = F.regexp_extract(src, U + wide(r"([가-힣\w\s「」｢｣()]{5,35}(?:을|를)\s*[가-힣]{2,8}(?:했|하였|합니다|했다|한다|할 예정|예정))"), 1)
+    verb = F.regexp_extract(src, U + wide(D.SUMMARY_VERB), 1)
     verb = F.when((F.char_length(verb) > 10) & (F.char_length(verb) < 60), strip(verb))
-    tail_pattern = U + r"[,，]\s*(.{5,40}(?:추진|도입|시행|개정|강화|마련|신설|제정|발표|적용))"
-    front = F.regexp_extract(nz(title), r"(?U)^(.*?)[,，]\s*.{5,40}(?:추진|도입|시행|개정|강화|마련|신설|제정|발표|적용)", 1)
+    tail_pattern = U + rf"[,，]\s*(.{{5,40}}(?:{D.SUMMARY_TAIL}))"
+    front = F.regexp_extract(nz(title), rf"(?U)^(.*?)[,，]\s*.{{5,40}}(?:{D.SUMMARY_TAIL})", 1)
     front = F.substring(strip(F.regexp_replace(strip(front), r"\[.*?\]|\.{2,}", "")), 1, 30)
     tail = F.when(nz(title).rlike(tail_pattern), F.concat(front, F.lit(" — "), strip(F.regexp_extract(nz(title), tail_pattern, 1))))
     parts = F.transform(F.split(src, r"(?U)(?<=[다했음니])\.\s+"), strip)
@@ -335,11 +335,11 @@ def summary_line(title: Column, body: Column) -> Column:
 def bullets(body: Column, lead: Column, title: Column) -> Column:
     """At most four points: circled numbers, ordinals, circles, policy sentences, else the split lead or title."""
     src = F.when(nz(body) != "", body).otherwise(nz(lead))
-    signs = "①-⑧➊-➑➎"
+    signs = D.CIRCLED_SIGNS
     every = lambda p: F.regexp_extract_all(src, F.lit(U + p), F.lit(1))
     circled = F.transform(F.slice(every(rf"[{signs}]\s*([^{signs}\n]{{10,150}})"), 1, 4), lambda x: strip_bullet_prefix(F.element_at(F.split(x, r"\."), 1)))
-    ordinal = F.transform(F.slice(every(r"(?:첫째|둘째|셋째|넷째|다섯째)[,，\s]+([^첫둘셋넷다\n]{10,120})"), 1, 4), strip_bullet_prefix)
-    circle = F.transform(F.slice(every(r"[○◦]\s*([^\n○◦]{10,120})"), 1, 4), strip_bullet_prefix)
+    ordinal = F.transform(F.slice(every(D.ORDINAL_POINT), 1, 4), strip_bullet_prefix)
+    circle = F.transform(F.slice(every(D.CIRCLE_POINT), 1, 4), strip_bullet_prefix)
     parts = F.transform(F.split(F.substring(src, 1, 2000), r"(?U)(?<=[다했음니])\.\s+"), strip)
     useful = F.transform(F.slice(F.filter(parts, lambda x: (F.char_length(x) > 15) & (F.char_length(x) < 150) & contains_any(x, D.BULLET_WORDS)), 1, 4), strip_bullet_prefix)
     rest = F.slice(F.filter(split_bullets(F.when(nz(lead) != "", lead).otherwise(nz(title))), lambda x: F.char_length(x) > 10), 1, 3)
