@@ -265,17 +265,18 @@ def near_classes(
         classes = components(links)
     found = node.select("node", "first", "n").join(classes, "node", "left")
     found = stored(found.select("node", F.coalesce("class", "node").alias("class"), "first", "n"))
-    total = found.groupBy("class").agg(F.min(F.struct("first", "node")).alias("top"), F.sum("n").alias("class_size"))
+    total = stored(found.groupBy("class").agg(F.min(F.struct("first", "node")).alias("top"), F.sum("n").alias("class_size")))
     found = stored(found.join(total, "class").select("node", F.col("top.first").alias("first"), (F.col("top.node") == F.col("node")).alias("leads"), "class_size"))
     # one row of the class's first document stays, also where its row is repeated
     out = slim.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
     lead = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     out = stored(out.join(found, "node").withColumn("lead", lead))
+    # only rows of first documents are joined again, so a class of many copies stays spread
     stays = out.where("lead").groupBy("node").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("twins")).withColumnRenamed("node", "stays_node")
-    out = out.join(stays, (F.col("node") == F.col("stays_node")) & F.col("lead"), "left")
-    return out.select(
-        "doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), (F.col("lead") & (F.col("row") == F.col("stays"))).alias("kept"), "twins"
-    )
+    first = out.where("lead").join(stays, F.col("node") == F.col("stays_node")).withColumn("kept", F.col("row") == F.col("stays"))
+    rest = out.where("NOT lead").withColumn("kept", F.lit(False)).withColumn("twins", F.lit(None).cast("long"))
+    columns = ["doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), "kept", "twins"]
+    return first.select(*columns).unionByName(rest.select(*columns))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
