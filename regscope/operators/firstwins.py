@@ -111,7 +111,7 @@ def representatives(rows: DataFrame, group: str, body: str = "body", agency: str
 
 def top_k(rows: DataFrame, score: Column, k: int, order: str = "ord") -> DataFrame:
     """The ``k`` best rows of positive score, ties in order."""
-    return rows.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), order).limit(k)
+    return rows.withColumn("score", score).orderBy(F.desc("score"), order).limit(k).where("score > 0")
 
 
 def order_index(rows: DataFrame, keys: list[str], order: str, body: str = "body") -> DataFrame:

@@ -114,7 +114,8 @@ def search(items: DataFrame, question: str, k: int, key: str, text: Column, patt
         return items.withColumn("score", F.lit(0.0)).orderBy(key).limit(k)
     own = T.tokens(text, pattern, stop)
     query = T.tokens(F.lit(question), pattern, stop)
-    return items.withColumn("score", T.jaccard(own, query)).where("score > 0").orderBy(F.desc("score"), key).limit(k)
+    # positive scores come first, so the test after the limit gives the same rows and no score is computed twice
+    return items.withColumn("score", T.jaccard(own, query)).orderBy(F.desc("score"), key).limit(k).where("score > 0")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
