@@ -40,7 +40,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     message with equal ``seq`` are taken in the order of kind, role and text; repeated events count as often as they
     occur (an edit repeated changes nothing, a delta repeated appends twice). A null text counts as empty, a null kind as
     ``message``, a null role as none given (finally empty). Null identifiers form groups of their own. Other columns are
-    ignored. A message with deltas only starts from an empty text.
+    ignored. A message with deltas only starts from an empty text. Without events there are no messages; texts may be of any
+    length, as one value of a row.
     """
     kind = F.coalesce(F.col("kind"), F.lit("message"))
     rows = events.select(

@@ -76,7 +76,7 @@ def mixed(
     the target. ``quality`` must be positive, and buckets grow with the ratio of its extremes; by default it is 1, or 0.25 where the mean word length is unusual.
     Documents without words are taken only in complete epochs. Equal seeds give equal mixes, whatever the partitioning;
     rows that repeat an identifier and text share a key and are interchangeable. A null source is a source. Other
-    columns are ignored. Empty input gives no rows.
+    columns are ignored. A text of any length is one document, taken whole or not at all. Empty input gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(

@@ -52,6 +52,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a conversation. Its digests are of whole conversations, so a conversation's text becomes one value here; the
+    operator itself works on chunks of turns."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
