@@ -21,10 +21,10 @@ SHINGLE_WORDS = 5
 SLICE_BYTES = 2 << 20
 
 
-def stored(df: DataFrame, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to a new shared table and read it back: lineage ends there and a lost executor loses nothing."""
     path = shared_path(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regscope.llm import chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, secrets, sharding, token_output, toxicity
+from regscope.llm import centroids, chat_format, decontaminate, exact_dedup, line_dedup, mixing, near_dedup, resampling, secrets, sharding, style_trees, token_output, toxicity
 from regscope.llm.common import stored
 from regscope.operators.tables import shared_path
 
@@ -151,9 +151,84 @@ FROM m GROUP BY doc_id
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def _features(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""SELECT k, w FROM (SELECT k, unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS w
+    FROM (SELECT {key} AS k, regexp_extract_all({lowered}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS ws FROM {table}))"""
+
+
+OP11 = rf"""
+WITH RECURSIVE
+f AS MATERIALIZED ({_features("documents", "doc_id")}),
+g AS MATERIALIZED ({_features("benchmark", "item_id")}),
+v AS MATERIALIZED (SELECT w, hex(encode(w)) AS code FROM (SELECT w FROM f UNION SELECT w FROM g)),
+step AS MATERIALIZED (SELECT i AS byte, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS value FROM (SELECT unnest(range(256)) AS i)),
+crc AS (
+  SELECT w, code, 0 AS pos, 4294967295::BIGINT AS state FROM v
+  UNION ALL
+  SELECT w, code, pos + 1, xor(step.value, state >> 8) FROM crc JOIN step ON step.byte = xor(state, ('0x' || substr(code, 2 * pos + 1, 2))::BIGINT) & 255 WHERE 2 * pos < length(code)),
+b AS MATERIALIZED (SELECT w, xor(state, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * pos = length(code)),
+have AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (w) GROUP BY bucket),
+want AS (SELECT bucket, count(*) AS t FROM g JOIN b USING (w) GROUP BY bucket),
+gain AS MATERIALIZED (
+  SELECT i AS bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM f)::DOUBLE + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT count(*) FROM g)::DOUBLE + 10000))))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS i) LEFT JOIN have ON have.bucket = i LEFT JOIN want ON want.bucket = i),
+sums AS (SELECT k, count(*) AS n, sum(gain)::BIGINT AS total, count(*) FILTER (instr(w, ' ') = 0) AS words FROM f JOIN b USING (w) JOIN gain USING (bucket) GROUP BY k),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(words, 0) AS words, coalesce((total - ((total % n) + n) % n) // n, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS lot
+  FROM documents LEFT JOIN sums ON k = doc_id),
+ranked AS (SELECT doc_id, n_features, weight, weight + lot AS score, words, CASE WHEN words >= 20 THEN row_number() OVER (PARTITION BY words >= 20 ORDER BY weight + lot DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN place <= 25 * (SELECT count(*) FROM ranked WHERE words >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"))
+
+
+def _rounds() -> str:
+    """The rounds of clustering, a step each: pairs of vectors and centroids, the nearest, the new centroids."""
+    parts = []
+    for n in range(centroids.ROUNDS + 1):
+        parts.append(
+            f"""d{n} AS MATERIALIZED (SELECT u, c, list_sum(list_transform(list_zip(v, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM x CROSS JOIN c{n}),
+a{n} AS MATERIALIZED (SELECT u, (min({{'d': distance, 'c': c}})).d AS distance, (min({{'d': distance, 'c': c}})).c AS c FROM d{n} GROUP BY u)"""
+        )
+        if n < centroids.ROUNDS:
+            parts.append(
+                f"""m{n} AS (SELECT c, i, (s - ((s % n) + n) % n) // n AS q FROM (SELECT c, i, sum(e)::BIGINT AS s, count(*) AS n FROM (SELECT c, unnest(v) AS e, unnest(range(1, 65)) AS i FROM a{n} JOIN x USING (u)) GROUP BY c, i)),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(l.p, c{n}.p) AS p FROM c{n} LEFT JOIN (SELECT c, list(q ORDER BY i) AS p FROM m{n} GROUP BY c) l USING (c))"""
+            )
+    return ",\n".join(parts)
+
+
+OP12 = f"""
+WITH kept AS (
+  SELECT vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+x AS MATERIALIZED (SELECT row_number() OVER () AS u, vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM kept),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS p FROM (SELECT sha256('2:' || vec_id) AS h, v FROM x ORDER BY h, v LIMIT 40)),
+{_rounds()}
+SELECT vec_id, c::INTEGER AS cluster, distance, sum(distance) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{centroids.ROUNDS}.p, ',')) AS centroid_sha256
+FROM a{centroids.ROUNDS} JOIN x USING (u) JOIN c{centroids.ROUNDS} USING (c)
+"""
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_trees.main_texts(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1, "op5_chat_format": OP5, "op10_line_dedup": OP10}
+    return {"op1_exact_dedup": OP1, "op5_chat_format": OP5, "op10_line_dedup": OP10, "op11_importance_resampling": OP11, "op12_centroid_clustering": OP12}
