@@ -41,6 +41,8 @@ CRC = crc_table()
 def checksums(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """CRC-32 of the byte runs of ``data`` at ``start``: one matrix for each length."""
     out = np.zeros(len(start), np.uint32)
+    if not len(start):
+        return out
     order = np.argsort(length, kind="stable")
     sizes, first = np.unique(length[order], return_index=True)
     for size, own in zip(sizes.tolist(), np.split(order, first[1:]), strict=True):

@@ -5,8 +5,8 @@ The pages of a host are merged into one tree. A node stands for the elements of
 Its presentation importance is the entropy of the sequences of children that pages give it, to the base of the number of
 pages that have it; a leaf's content importance is 1 less the mean entropy of its texts, links and images over those
 pages. A node's composite importance weighs its own against its children's, level by level from the deepest. A branch in
-which nothing is important repeats from page to page and is removed from each of them. Pages whose longest block is the
-same count once, as copies of an article don't make it a template. A host with one page has no low branch.
+which nothing is important repeats from page to page and is removed from each of them. Pages of a host that say the same
+count once, as copies of an article don't make it a template. A host with one page has no low branch.
 
 Elements whose names state a role, such as navigation, forms or an article, are judged by it first: their role is a
 presentation that is the same on all sites. See :mod:`regscope.llm.markup` for the roles and what the main part of a page is.
@@ -42,7 +42,7 @@ def with_page(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 def read_pages(pages: DataFrame) -> DataFrame:
     """``page_id, url, host, page, body, text, rows``: what a page says by its roles, and its part of its host's tree.
 
-    ``body`` is the hash of its longest block. A page without a host has no part in a tree.
+    ``body`` is the hash of that text. A page without a host has no part in a tree.
     """
     fields = ["key", "parent", "depth", "kind", "value", "share"]
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -50,19 +50,19 @@ def read_pages(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = markup.Keys()
         for batch in slices(batches, "html"):
-            texts, longest, upto, rows = [], [], [0], markup.TreeRows()
+            texts, upto, rows = [], [0], markup.TreeRows()
             for html, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
                 page = markup.read_page(html or "")
                 texts.append(markup.main_text(page, frozenset(), keys))
                 if host and html:
                     rows.add(page, keys)
-                longest.append(max((t for e in page.elements if e.role not in (markup.NOISE, markup.CLASS_NOISE) for t in e.texts), key=len, default=""))
                 upto.append(len(rows.key))
             values = hash_strings(pa.array(rows.value, pa.string())).view(np.int64)
             columns = [pa.array(rows.key, pa.int64()), pa.array(rows.parent, pa.int64()), pa.array(rows.depth, pa.int32()), pa.array(rows.kind, pa.int32()), pa.array(values), pa.array(rows.share, pa.float64())]
             lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays(columns, fields))
-            body = pa.array(hash_strings(pa.array(longest, pa.string())).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "page")), body, pa.array(texts, pa.string()), lists], ["page_id", "url", "host", "page", "body", "text", "rows"])
+            text = pa.array(texts, pa.string())
+            body = pa.array(hash_strings(text).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "page")), body, text, lists], ["page_id", "url", "host", "page", "body", "text", "rows"])
 
     return pages.select("page_id", "url", "host", "page", "html").mapInArrow(work, f"page_id {kind}, url string, host string, page long, body long, text string, rows {ROWS}")
 
