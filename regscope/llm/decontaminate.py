@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regscope.llm.common import SHINGLE_WORDS, hash_strings, share, shared, shingle_hashes, slices, word_lists
-from regscope.llm.near_dedup import weighted_jaccard
 
 SIMILARITY = 0.8
 RADIUS = 19
@@ -32,10 +31,8 @@ BLOCK_BYTES = 16 << 20
 PARTS = 4
 BLOOM_BITS = 22
 ASKED = 4000
-
-
-def bag(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles, return_counts=True)
+WINDOWS = 20_000  # whose fingerprints are taken at once
+CHECKED = 1 << 20  # shingles of candidates that are verified at once
 
 
 def bit_signs(shingles: np.ndarray) -> np.ndarray:
@@ -73,18 +70,17 @@ class Items:
         self.radius = radius
         self.words = np.diff(bounds)[full]
         each = [shingles[a:b] for a, b in zip(upto, upto[1:], strict=False) if b > a]
-        self.bags = [bag(s) for s in each]
         self.sizes = np.array([len(s) for s in each], np.int64)
         self.prints = np.array([prints(bit_signs(s).sum(axis=0, keepdims=True))[0] for s in each], np.uint64)
-        # the items of each shingle; short items have windows of their own
-        long = self.words >= SHINGLE_WORDS
-        owner = np.repeat(np.arange(len(each)), np.where(long, self.sizes, 0))
-        flat = np.concatenate([x for x, ok in zip(each, long, strict=True) if ok] or [np.zeros(0, np.uint64)])
-        self.keys, back = np.unique(flat, return_inverse=True)
-        order = np.lexsort((owner, back))
-        pairs = np.unique(np.stack((back[order], owner[order]), axis=1), axis=0) if len(flat) else np.zeros((0, 2), np.int64)
-        self.owner = pairs[:, 1]
-        self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.keys) + 1))
+        # how often each item holds each shingle, as one sorted list of (item, shingle)
+        self.keys, back = np.unique(np.concatenate([*each, np.zeros(0, np.uint64)]), return_inverse=True)
+        owner = np.repeat(np.arange(len(each)), self.sizes)
+        self.held, self.times = np.unique(owner * max(1, len(self.keys)) + back, return_counts=True)
+        # the sizes of the items of each shingle, equal ones once; short items have windows of their own
+        long = np.repeat(self.words >= SHINGLE_WORDS, self.sizes)
+        pairs = np.unique(np.stack((np.repeat(self.sizes, self.sizes)[long], back[long]), axis=1), axis=0) if long.any() else np.zeros((0, 2), np.int64)
+        cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+        self.by_size = [(int(part[0, 0]), part[:, 1]) for part in np.split(pairs, cuts)] if len(pairs) else []
         self.maybe = np.zeros(1 << BLOOM_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - BLOOM_BITS)).astype(np.int64)] = True
         self.short = {n: np.unique([each[i][0] for i in np.flatnonzero(self.words == n)]) for n in range(1, SHINGLE_WORDS) if (self.words == n).any()}
@@ -127,24 +123,49 @@ def windows(items: Items, shingles: np.ndarray, upto: np.ndarray, n_words: np.nd
     at = np.minimum(np.searchsorted(items.keys, shingles[maybe]), max(0, len(items.keys) - 1))
     hit = items.keys[at] == shingles[maybe] if len(items.keys) else np.zeros(0, bool)
     place, key = maybe[hit], at[hit]
-    n = items.owner_at[key + 1] - items.owner_at[key]
-    item = items.owner[np.repeat(items.owner_at[key], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    place = np.repeat(place, n)
     doc = np.searchsorted(upto, place, side="right") - 1
-    # the hit may be the window's first to last shingle; windows end with the document
-    size = items.sizes[item]
-    words = items.words[item]
-    fits = n_words[doc] >= words
-    whole = np.unique(doc[~fits & (np.diff(upto)[doc] >= similarity * size * (1 - 1e-9))])
-    doc, place, size = doc[fits], place[fits], size[fits]
-    steps = np.repeat(np.arange(len(place)), size)
-    start = place[steps] - (np.arange(len(steps)) - np.repeat(np.cumsum(size) - size, size))
-    ok = (start >= upto[doc[steps]]) & (start + size[steps] <= upto[doc[steps] + 1])
-    inner = np.stack((doc[steps][ok], start[ok], size[steps][ok]), axis=1)
-    found = np.unique(np.concatenate((inner, np.stack((whole, upto[whole], np.diff(upto)[whole]), axis=1))), axis=0)
+    many = np.diff(upto)
+    found = [np.zeros((0, 3), np.int64)]
+    for size, keys in items.by_size:
+        on = np.isin(key, keys)
+        p, d = place[on], doc[on]
+        short = n_words[d] < size + SHINGLE_WORDS - 1
+        whole = np.unique(d[short & (many[d] >= similarity * size * (1 - 1e-9))])
+        found.append(np.stack((whole, upto[whole], many[whole]), axis=1))
+        # the hit may be the window's first to last shingle; windows end with the document, those of several hits count once
+        p, d = p[~short], d[~short]
+        low, high = np.maximum(p - size + 1, upto[d]), np.minimum(p, upto[d + 1] - size)
+        low[1:] = np.maximum(low[1:], high[:-1] + 1)
+        n = np.maximum(high - low + 1, 0)
+        start = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        found.append(np.stack((np.repeat(d, n), start, np.full(len(start), size)), axis=1))
+    found = np.unique(np.concatenate(found), axis=0)
     return found[:, 0], found[:, 1], found[:, 2]
 
 
+def similarities(items: Items, shingles: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of each window and item: the sum of minima of counts by that of maxima."""
+    out = np.zeros(len(start))
+    many = max(1, len(items.keys))
+    upto = np.cumsum(size)
+    cuts = [0, *np.flatnonzero(np.diff(upto // CHECKED)) + 1, len(start)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        n = size[a:b]
+        if not len(n):
+            continue
+        pair = np.repeat(np.arange(len(n)), n)
+        own = shingles[np.repeat(start[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        key = np.minimum(np.searchsorted(items.keys, own), many - 1)
+        known = items.keys[key] == own
+        both, count = np.unique(pair[known] * many + key[known], return_counts=True)
+        pair = both // many
+        asked = item[a:b][pair] * many + both % many
+        at = np.minimum(np.searchsorted(items.held, asked), len(items.held) - 1)
+        same = np.bincount(pair, np.where(items.held[at] == asked, np.minimum(items.times[at], count), 0), len(n))
+        out[a:b] = same / (n + items.sizes[item[a:b]] - same)
+    return out
+
+
 def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int, int, int, int, float]]:
     """(text, item, first word, words, distance, similarity) of the best window of every text and item that has one."""
     words, bounds = word_lists(text)
@@ -153,37 +174,40 @@ def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int
         return []
     n_words = np.diff(bounds)
     doc, start, size = windows(items, shingles, upto, n_words, similarity)
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    rows = [np.zeros((0, 5))]  # text, item, first shingle, distance, similarity
     hashes = hash_strings(words) if items.short else None
     for n, keys in items.short.items():
         runs, at = runs_of(hashes, bounds, n)
         place = np.flatnonzero(np.isin(runs, keys))
         own = np.searchsorted(at, place, side="right") - 1
-        _, first = np.unique(np.stack((own.astype(np.uint64), runs[place]), axis=1), axis=0, return_index=True)  # the earliest of equal runs
-        own, place = own[first], place[first]
         row, item, distance = items.near(runs[place])  # the fingerprint of one shingle is the shingle
-        for r, i, far in zip(row.tolist(), item.tolist(), distance.tolist(), strict=True):
-            near = weighted_jaccard(bag(runs[place[r : r + 1]]), items.bags[i])
-            if items.words[i] == n and near >= similarity:
-                best[int(own[r]), i] = (near, int(place[r] - at[own[r]]), far)
-    for a in range(0, len(doc), 20_000):
-        d, s, n = doc[a : a + 20_000], start[a : a + 20_000], size[a : a + 20_000]
-        at = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        sums = np.add.reduceat(bit_signs(shingles[at]), np.cumsum(n) - n, axis=0) if len(n) else np.zeros((0, 64), np.int16)
-        row, item, distance = items.near(prints(sums))
+        same = items.words[item] == n
+        row, item, distance = row[same], item[same], distance[same]
+        near = similarities(items, runs, place[row], np.ones(len(row), np.int64), item)
+        rows.append(np.stack((own[row], item, place[row] - at[own[row]], distance, near), axis=1)[near >= similarity])
+    for a in range(0, len(doc), WINDOWS):
+        d, s, n = doc[a : a + WINDOWS], start[a : a + WINDOWS], size[a : a + WINDOWS]
+        # sums of signs of all windows from the sums up to each place
+        first = s.min()
+        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bit_signs(shingles[first : (s + n).max()]), axis=0, dtype=np.int32)))
+        row, item, distance = items.near(prints(sums[s + n - first] - sums[s - first]))
         same = (items.sizes[item] == n[row]) | (n_words[d[row]] < items.words[item]) & (n[row] == np.diff(upto)[d[row]])
         row, item, distance = row[same], item[same], distance[same]
-        for k in np.lexsort((s[row], distance)):  # the nearest first: most pairs end with their first window
-            r, i = int(row[k]), int(item[k])
-            pair = (int(d[r]), i)
-            had = best.get(pair)
-            if had and had[0] >= 1.0:
-                continue
-            near = weighted_jaccard(bag(shingles[s[r] : s[r] + n[r]]), items.bags[i])
-            first = int(s[r] - upto[d[r]])
-            if near >= similarity and (had is None or (-near, first) < (-had[0], had[1])):
-                best[pair] = (near, first, int(distance[k]))
-    return [(t, i, first, int(min(items.words[i], n_words[t])), distance, near) for (t, i), (near, first, distance) in sorted(best.items())]
+        near = similarities(items, shingles, s[row], n[row], item)
+        rows.append(np.stack((d[row], item, s[row] - upto[d[row]], distance, near), axis=1)[near >= similarity])
+        if sum(map(len, rows)) > WINDOWS:
+            rows = [best_windows(np.concatenate(rows))]
+    found = best_windows(np.concatenate(rows))
+    t, i, first, distance = (found[:, k].astype(np.int64) for k in range(4))
+    return list(zip(t.tolist(), i.tolist(), first.tolist(), np.minimum(items.words[i], n_words[t]).tolist(), distance.tolist(), found[:, 4].tolist(), strict=True))
+
+
+def best_windows(rows: np.ndarray) -> np.ndarray:
+    """Of the rows (text, item, first shingle, distance, similarity) the best of each text and item, the earliest of equals."""
+    rows = rows[np.lexsort((rows[:, 2], -rows[:, 4], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+    return rows[new]
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, radius: int) -> Iterator[Items]:

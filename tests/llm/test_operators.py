@@ -55,6 +55,26 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_groups(docs(spark, [])).count() == 0
 
 
+def test_equal_texts_are_neighbours_at_any_width(spark):
+    """All rows of a text that isn't hot stand in one run, whose size is the text's count; a hot text is cut."""
+    rows = [(i, f"Text {i % 90}", "s") for i in range(400)] + [(1000 + i, "THE hot text", "s") for i in range(600)]
+    source = docs(spark, rows).select("doc_id", F.lower("text").alias("body")).withColumn("tail", F.xxhash64("body"))
+    order = lambda c: F.desc_nulls_last(c)
+    for width in (4, 200):
+        hot = exact_dedup.hot_texts(source, width)
+        assert hot.count() < 2 * width
+        runs = exact_dedup.text_runs(source.join(F.broadcast(hot), "tail", "left"), width, F.max, order).collect()
+        count = Counter(t.lower() for _, t, _ in rows)
+        cold = {t for t in count if count[t] <= max(1, len(rows) / (2 * width))}
+        digest = {hashlib.sha256(t.encode()).hexdigest(): t for t in count}
+        assert all(r.run_size == count[digest[r.text_sha256]] and r.pieces == 1 for r in runs if digest[r.text_sha256] in cold)
+        assert (width == 200) == (len({r.salt for r in runs if digest[r.text_sha256] == "the hot text"}) > 100)
+        assert all((r.body is not None) == (r.pieces > 1 and r.place == 1) for r in runs)
+    got = exact_dedup.exact_groups(docs(spark, rows), keep="largest").collect()
+    assert all(r.group_size == count[digest[r.text_sha256]] for r in got) and sum(r.kept for r in got) == len(count)
+    assert {r.keep_id for r in got if digest[r.text_sha256] == "the hot text"} == {1599}
+
+
 def near_rows():
     r = random.Random(3)
     make = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
@@ -213,6 +233,20 @@ def test_decontamination_of_texts_shorter_than_items(spark):
     assert {x.doc_id for x in decontaminate.clean_rows(docs(spark, rows), bench).collect()} == {d for d, _, _ in rows} - {d for d, _ in want}
 
 
+def test_items_with_a_common_opening_build_each_window_once():
+    """Many items of one template: windows follow the text, not the number of items."""
+    items = decontaminate.Items(list(range(16_000)), ["choose the best answer to the question below " + " ".join(f"v{k}_{j}" for j in range(5 + k % 30)) for k in range(16_000)], 19)
+    text = "choose the best answer to the question below " + " ".join(f"v7_{j}" for j in range(12)) + " and more words that no item has at all"
+    words, bounds = decontaminate.word_lists(pa.array([text, text, "nothing here"]))
+    shingles, upto = decontaminate.shingle_hashes(decontaminate.hash_strings(words), bounds)
+    doc, start, size = decontaminate.windows(items, shingles, upto, np.diff(bounds), 0.8)
+    n = int(upto[1])
+    plain = {(s, z) for z in set(items.sizes.tolist()) for s in range(n - z + 1) if s < 4}
+    assert {(s, z) for d, s, z in zip(doc.tolist(), start.tolist(), size.tolist(), strict=True) if d == 0} >= plain and len(doc) < 2 * n * 40
+    found = decontaminate.find(items, pa.array([text, text, "nothing here"]), 0.8)
+    assert [(t, i) for t, i, *_ in found] == [(0, 7), (1, 7)] and all(x[2] == 0 and x[5] == 1.0 for x in found)
+
+
 def test_multi_index_gives_everything_within_the_radius():
     r = np.random.default_rng(2)
     items = decontaminate.Items(list(range(50)), [" ".join(f"v{k}_{j}" for j in range(12)) for k in range(50)], 19)
