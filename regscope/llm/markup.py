@@ -428,6 +428,20 @@ class TreeRows:
                 self.share += [0.0] * n
 
 
+def removable(page: Page, keys: Keys) -> list[int]:
+    """Keys of the branches that :func:`main_text` would remove if they were low."""
+    inside, named_main = main_elements(page)
+    if not named_main:
+        at = keys.of(page)
+        return sorted({k for k, own in zip(at, inside, strict=True) if own} | {keys.key(k, "own content") for k, own in zip(at, inside, strict=True) if own})
+    held = [k for k, e in enumerate(page.elements) if inside[k] and e.tag in CONTAINERS and e.parent >= 0 and inside[e.parent]]
+    if not held:
+        return []
+    at = keys.of(page)
+    tops = [k for k, e in enumerate(page.elements) if inside[k] and not (e.parent >= 0 and inside[e.parent])]  # asked too, as a low main part keeps all
+    return sorted({at[k] for k in held + tops})
+
+
 def main_text(page: Page, low: frozenset[int] | set[int], keys: Keys) -> str:
     """The blocks of the main text, joined by line feeds, without the branches whose keys are ``low``.
 

@@ -40,7 +40,8 @@ def with_page(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Dat
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, page, body, text, rows``: what a page says by its roles, and its part of its host's tree.
+    """``page_id, url, host, page, body, text, rows, open``: what a page says by its roles, its part of its host's tree, and the
+    branches that its roles leave open.
 
     ``body`` is the hash of that text. A page without a host has no part in a tree.
     """
@@ -50,10 +51,11 @@ def read_pages(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = markup.Keys()
         for batch in slices(batches, "html"):
-            texts, upto, rows = [], [0], markup.TreeRows()
+            texts, upto, rows, left = [], [0], markup.TreeRows(), []
             for html, host in zip(batch.column("html").to_pylist(), batch.column("host").to_pylist(), strict=True):
                 page = markup.read_page(html or "")
                 texts.append(markup.main_text(page, frozenset(), keys))
+                left.append(markup.removable(page, keys) if host and html else [])
                 if host and html:
                     rows.add(page, keys)
                 upto.append(len(rows.key))
@@ -62,9 +64,9 @@ def read_pages(pages: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.StructArray.from_arrays(columns, fields))
             text = pa.array(texts, pa.string())
             body = pa.array(hash_strings(text).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "page")), body, text, lists], ["page_id", "url", "host", "page", "body", "text", "rows"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "host", "page")), body, text, lists, pa.array(left, pa.list_(pa.int64()))], ["page_id", "url", "host", "page", "body", "text", "rows", "open"])
 
-    return pages.select("page_id", "url", "host", "page", "html").mapInArrow(work, f"page_id {kind}, url string, host string, page long, body long, text string, rows {ROWS}")
+    return pages.select("page_id", "url", "host", "page", "html").mapInArrow(work, f"page_id {kind}, url string, host string, page long, body long, text string, rows {ROWS}, open array<long>")
 
 
 def node_table(seen: DataFrame) -> DataFrame:
@@ -133,7 +135,7 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = with_page(pages, id_col, url_col, html_col)
     seen = stored(read_pages(rows), compression="zstd")
     low = stored(low_branches(seen, least, damping))
-    marks = seen.select("host", "page", F.explode("rows.key").alias("key")).join(low, ["host", "key"])
+    marks = seen.select("host", "page", F.explode("open").alias("key")).join(low, ["host", "key"])
     marks = stored(marks.groupBy("host", "page").agg(F.collect_set("key").alias("low")))  # at most a page's elements
     kind = rows.schema["page_id"].dataType.simpleString()
 
