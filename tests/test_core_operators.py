@@ -124,6 +124,69 @@ def test_class_pairs_equal_brute_force(spark):
         assert {(p.a, p.b) for p in simjoin.class_pairs(classes, classes, percent, measure).collect()} == want
 
 
+def alike(a, b):
+    """Rows ``ord, title, body`` are similar by their words."""
+    found = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    t = [set(r[1].split()) for r in (a, b)]
+    w = [set(f"{r[1]} {r[2] or ''}".split()) for r in (a, b)]
+    return found(*t) >= 0.6 or found(*w) >= 0.55
+
+
+def greedy(rows):
+    led, heads = {}, []
+    for r in sorted(rows):
+        near = [h[0] for h in heads if alike(h, r)]
+        led[r[0]] = min(near, default=r[0])
+        if not near:
+            heads.append(r)
+    return led
+
+
+@pytest.mark.parametrize(("heads", "finish"), [(1, 0), (3, 0), (16, 5), (16, 2000)])
+def test_leader_rounds_equal_a_walk_in_order(spark, monkeypatch, heads, finish):
+    monkeypatch.setattr(simjoin, "HEADS", heads)
+    monkeypatch.setattr(simjoin, "FINISH", finish)
+    r = random.Random(heads * 7 + finish)
+    pool = [f"w{k}" for k in range(14)]
+    rows = [(i, " ".join(r.sample(pool, r.randrange(0, 6))), " ".join(r.sample(pool, r.randrange(0, 5)))) for i in range(70)] + [(100, "", None), (101, "", ""), (102, "w1 w2", None), (103, "w2 w1", "")]
+    frame = spark.createDataFrame(rows, "ord long, title string, body string").repartition(3)
+    got = {x.ord: x.leader for x in simjoin.leader_groups(frame, pattern=r"\S+", stop=()).collect()}
+    assert got == greedy(rows)
+
+
+def test_a_cluster_of_alike_rows_writes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "FINISH", 0)
+    made = []
+    plain = simjoin.similar_heads
+
+    def counted(*args):
+        found = plain(*args)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(simjoin, "similar_heads", counted)
+    rows = [(i, f"one two three four five six seven eight nine v{i}", "") for i in range(300)]
+    got = simjoin.leader_groups(spark.createDataFrame(rows, "ord long, title string, body string"), pattern=r"\S+", stop=()).collect()
+    assert {x.leader for x in got} == {0}
+    assert sum(made) <= simjoin.HEADS * len(rows) < len(rows) * (len(rows) - 1) / 2
+
+
+def test_hot_tokens_are_dealt_and_filters_keep_candidates_few(spark, monkeypatch):
+    r = random.Random(5)
+    sets = [["hot", *(f"t{r.randrange(400)}" for _ in range(12))] for _ in range(200)]
+    sets += [[*s[:-1], f"new{k}"] for k, s in enumerate(sets[:60])]
+    frame = spark.createDataFrame([(i, sorted(set(s))) for i, s in enumerate(sets)], "ord long, t array<string>")
+    classes = simjoin.token_classes(frame, F.col("t"), "ord").where("class IS NOT NULL")
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.55}
+    name = {r.ord: r["class"] for r in classes.collect()}
+    for hot in (4000, 3):
+        monkeypatch.setattr(simjoin, "HOT", hot)
+        assert {(x.a, x.b) for x in simjoin.class_pairs(classes, classes, 55).collect()} == {(name[i], name[j]) for i, j in want}
+    posts = simjoin.postings(classes, simjoin.token_counts(classes), 55)
+    found = simjoin.candidates(posts, posts, 55, "jaccard").count()
+    assert len(want) <= found <= 1.2 * len(want)
+
+
 def test_similar_rows_go(spark):
     schema = "ord long, title string, body string, link string, agency string"
     ref = spark.createDataFrame([(100, "가상자산 거래소 규제 강화 방안", "본문", "l1", "")], schema)
