@@ -13,7 +13,7 @@ from regscope.functions import dicts as D
 from regscope.functions import text as T
 from regscope.operators import classify as C
 from regscope.operators import crosswalk as X
-from regscope.operators import digest, firstwins, joins, quality, search, simjoin, tables
+from regscope.operators import cosine, digest, firstwins, joins, quality, search, simjoin, tables
 from regscope.sources import html, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -429,7 +429,7 @@ COS_SQL = "list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embeddin
 @query(f"SELECT vec_id FROM {{embeddings}} x WHERE vec_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM {{embeddings}} y WHERE y.vec_id % 2 = 1 AND {COS_SQL} >= 0.3)")
 def c7_embedding_exclude(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "embeddings")
-    return simjoin.embedding_exclude(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), 0.3).select("vec_id")
+    return cosine.embedding_exclude(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), 0.3).select("vec_id")
 
 
 @query(rf"""
@@ -684,7 +684,7 @@ lead AS (SELECT ord, leader FROM g WHERE ord IS NOT NULL UNION ALL SELECT ord, o
 WITH RECURSIVE nodes AS MATERIALIZED (SELECT vec_id AS ord FROM {{embeddings}}), edges AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM {{embeddings}} x JOIN {{embeddings}} y ON x.vec_id < y.vec_id AND {COS_SQL} >= 0.3), {LEADER_SQL}
 SELECT ord AS vec_id, leader FROM lead""")
 def e3_leader_groups_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return simjoin.vector_groups(t(spark, d, "embeddings"), 0.3)
+    return cosine.vector_groups(t(spark, d, "embeddings"), 0.3)
 
 
 @query(f"""

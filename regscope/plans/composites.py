@@ -14,7 +14,7 @@ from regscope.functions import dicts as D
 from regscope.functions import text as T
 from regscope.operators import classify as C
 from regscope.operators import crosswalk as X
-from regscope.operators import digest, firstwins, joins, layout, quality, search, simjoin, tables
+from regscope.operators import cosine, digest, firstwins, joins, layout, quality, search, simjoin, tables
 from regscope.sources import html
 
 AS_OF = "1997-03-14"
@@ -51,8 +51,8 @@ def all_titles(articles: DataFrame, as_of: str, days: int, exclude: DataFrame, v
     first = tables.checkpointed(firstwins.first_wins_multi(recent))
     if vectors is not None and first.unionByName(exclude.select(*first.columns)).join(vectors, "ord", "left_anti").isEmpty():
         held = tables.checkpointed(first.join(vectors, "ord"))
-        rest = tables.checkpointed(simjoin.embedding_exclude(held, exclude.select("ord").join(vectors, "ord"), cut, "ord"))
-        groups = simjoin.vector_groups(rest, cut, "ord")
+        rest = tables.checkpointed(cosine.embedding_exclude(held, exclude.select("ord").join(vectors, "ord"), cut, "ord"))
+        groups = cosine.vector_groups(rest, cut, "ord")
         rest = rest.drop("embedding")
     else:
         rest = tables.checkpointed(simjoin.drop_similar(first, exclude, **rule))

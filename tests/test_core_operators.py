@@ -3,10 +3,12 @@
 import json
 import random
 
+import numpy as np
+
 import pytest
 from pyspark.sql import functions as F
 
-from regscope.operators import classify, crosswalk, digest, firstwins, layout, simjoin, tables
+from regscope.operators import classify, cosine, crosswalk, digest, firstwins, layout, simjoin, tables
 from regscope.operators import search as S
 from regscope.sources import html, records
 from regscope.streaming import jobs
@@ -280,19 +282,44 @@ def test_cosine_links_equal_a_plain_scan(spark, monkeypatch):
     import numpy as np
 
     r = np.random.default_rng(3)
-    monkeypatch.setattr(simjoin, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(cosine, "BLOCK_ROWS", 9)
     base = r.normal(size=(6, 8))
     rows = [(k, [float(x) for x in base[k % 6] + 0.4 * r.normal(size=8)]) for k in range(60)] + [(100, None), (101, []), (102, [0.0] * 8), (103, [1.0, 2.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v and any(v)}
     for cut in (0.88, 0.3):
         want = {(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cut}
-        got = [(x.a, x.b) for x in simjoin.cosine_links(frame, frame, cut).collect()]
+        got = [(x.a, x.b) for x in cosine.cosine_links(frame, frame, cut).collect()]
         assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == want
         odd, even = frame.where("vec_id % 2 = 1"), frame.where("vec_id % 2 = 0")
-        left = {x.vec_id for x in simjoin.embedding_exclude(even, odd, cut).collect()}
+        left = {x.vec_id for x in cosine.embedding_exclude(even, odd, cut).collect()}
         assert left == {k for k, _ in rows if k % 2 == 0 and not any((min(k, b), max(k, b)) in want for b in unit if b % 2)}
-    assert simjoin.cosine_links(frame.limit(0), frame, 0.5).count() == 0
+    assert cosine.cosine_links(frame.limit(0), frame, 0.5).count() == 0
+
+
+def test_cells_that_cannot_meet_are_not_compared(spark, monkeypatch):
+    """On clustered vectors few pairs are compared, in small blocks too, and the links are those of a plain scan."""
+    r = np.random.default_rng(4)
+    heads = r.normal(size=(25, 16))
+    v = [(heads[k % 25] + 0.12 * r.normal(size=16)).tolist() for k in range(600)] + [heads[3].tolist()] * 40
+    frame = spark.createDataFrame([(k, x) for k, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    unit = np.array(v) / np.linalg.norm(v, axis=1)[:, None]
+    want = {(a, b) for a, b in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.88, 1)), strict=True)}
+    monkeypatch.setattr(cosine, "CELL_ROWS", 16)
+    assert cosine.compared_share(frame, 0.88) < 0.2
+    for block in (4000, 30):
+        monkeypatch.setattr(cosine, "BLOCK_ROWS", block)
+        got = [(x.a, x.b) for x in cosine.cosine_links(frame, frame, 0.88).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        half = {x.vec_id for x in cosine.embedding_exclude(frame.where("vec_id % 5 = 0"), frame.where("vec_id % 5 <> 0"), 0.88).collect()}
+        assert half == {a for a in range(0, 640, 5) if not any(unit[a] @ unit[b] >= 0.88 for b in range(640) if b % 5)}
+    led, heads_of = {}, []
+    for k in range(640):
+        near = [h for h in heads_of if (h, k) in want]
+        led[k] = near[0] if near else k
+        if not near:
+            heads_of.append(k)
+    assert {x.vec_id: x.leader for x in cosine.vector_groups(frame, 0.88).collect()} == led
 
 
 def test_dictionary_grades_agree_at_any_size(spark, monkeypatch):
