@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions import text as T
+from regscope.operators.tables import checkpointed
 
 
 def unsent(rows: DataFrame, sent: DataFrame, key: str = "url") -> DataFrame:
@@ -32,7 +33,8 @@ def news_for_bills(bills: DataFrame, news: DataFrame, keywords: list[str], days:
     ``bills`` has ``bill_id, keyword, day``, ``news`` has ``news_id, text, day``; ``keywords`` lists the bills' keywords, a
     dictionary. News match a bill whose keyword they contain, if their days are at most ``days`` apart; a bill without a day
     takes news of any day, news without a day fit every bill. Of each keyword and day only the first ``most`` news can be
-    among a bill's first, so the others never reach the join.
+    among a bill's first. For each keyword and day on which a bill stands these lists of the days around it are merged into
+    one, so that a bill meets a single list, however many bills share a day.
     """
     listed = F.array(*(F.lit(k) for k in keywords))
     hits = news.select("news_id", F.col("day").alias("news_day"), F.explode(F.filter(listed, lambda k: F.contains(F.col("text"), k))).alias("keyword"))
@@ -42,16 +44,17 @@ def news_for_bills(bills: DataFrame, news: DataFrame, keywords: list[str], days:
         near = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy("news_id"))).where(F.col("_r") <= most)
         return near.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("news_id"))).where(F.col("_r") <= most).drop("_r", "_salt")
 
-    daily = first(hits.where("news_day IS NOT NULL"), ["keyword", "news_day"])
-    always = first(hits.where("news_day IS NULL"), ["keyword"])
-    # dated bills look at the days around theirs, so the join is an equality on keyword and day
-    span = F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("news_day")
-    dated = bills.where("day IS NOT NULL").select("bill_id", "keyword", span).join(daily, ["keyword", "news_day"]).select("bill_id", "news_id")
-    any_day = first(hits, ["keyword"])
-    undated = bills.where("day IS NULL").join(any_day.select("keyword", "news_id"), "keyword").select("bill_id", "news_id")
-    free = bills.where("day IS NOT NULL").join(always.select("keyword", "news_id"), "keyword").select("bill_id", "news_id")
-    w = Window.partitionBy("bill_id").orderBy("news_id")
-    return dated.unionByName(undated).unionByName(free).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    # the first news of each keyword and day (null: undated news), from which all lists are made
+    daily = checkpointed(first(hits, ["keyword", "news_day"]))
+    dated, always = daily.where("news_day IS NOT NULL"), daily.where("news_day IS NULL").select("keyword", "news_id")
+    wanted = checkpointed(bills.where("day IS NOT NULL").select("keyword", "day").distinct())
+    around = wanted.select("keyword", "day", F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("news_day"))
+    near = around.join(dated, ["keyword", "news_day"]).select("keyword", "day", "news_id").unionByName(wanted.join(always, "keyword"))
+    any_day = daily.select("keyword", F.lit(None).cast("date").alias("day"), "news_id")
+    lists = first(near, ["keyword", "day"]).unionByName(first(any_day, ["keyword", "day"]))
+    lists = lists.groupBy(F.col("keyword").alias("_k"), F.col("day").alias("_d")).agg(F.array_sort(F.collect_list("news_id")).alias("list"))
+    found = bills.join(checkpointed(lists), (F.col("keyword") == F.col("_k")) & F.col("day").eqNullSafe(F.col("_d")))
+    return found.select("bill_id", F.posexplode("list").alias("rank", "news_id")).select("bill_id", "news_id", (F.col("rank") + 1).alias("rank"))
 
 
 def bill_detail(stored: DataFrame, parsed: DataFrame, key: str, fields: list[str], needed: str = "summary") -> DataFrame:
