@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,7 +12,9 @@ from regscope.functions import text as T
 from regscope.functions.ids import cache_key, source_label
 from regscope.operators.tables import checkpointed
 
-ASKED, ITEMS = 1000, 2048
+SHARD_TOKENS = 4_000_000  # tokens of a shard or of a block of requests: 32 MB
+POSTED = 128  # items of a block of postings
+SLACK = 1e-12
 
 
 def union_corpora(cases: DataFrame, statutes: DataFrame, defaults: dict[str, str]) -> DataFrame:
@@ -23,74 +23,147 @@ def union_corpora(cases: DataFrame, statutes: DataFrame, defaults: dict[str, str
     return both.select(*(F.coalesce(F.col(c), F.lit(defaults[c])).alias(c) if c in defaults else F.col(c) for c in both.columns))
 
 
+def build_index(items: DataFrame, key: str, tokens: Column, shards: int | None = None) -> DataFrame:
+    """A stored inverted index: ``shard, place, key, own, token, least, most, places``.
+
+    Items fall into shards of about ``SHARD_TOKENS`` tokens by a hash of their keys. A shard has a row for each item (its
+    ``place``, ``key`` and token hashes ``own``) and rows for the blocks of each token's postings: ``places`` of at most
+    ``POSTED`` items, smallest sets first, with the ``least`` and ``most`` size of a block's sets, which bound what score an
+    item of the block can reach. Items without tokens are left out. 64-bit hashes stand for tokens.
+    """
+    rows = items.select(F.col(key).alias("key"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("own")).where(F.size("own") > 0)
+    if shards is None:
+        total = rows.agg(F.sum(F.size("own").cast("long"))).first()[0] or 0
+        shards = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
+    kind = rows.schema["key"].dataType.simpleString()
+
+    def build(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by("key")
+        lists = shard.column("own").combine_chunks().cast(pa.list_(pa.int64()))
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        n, token = len(size), lists.flatten().to_numpy()
+        owner = np.repeat(np.arange(n), size)
+        order = np.lexsort((owner, size[owner], token))
+        token, owner = token[order], owner[order]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        within = np.arange(len(token)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+        first = np.flatnonzero(within % POSTED == 0)
+        last = np.append(first[1:], len(token)) - 1
+        blank, posts = len(first), pa.ListArray.from_arrays(pa.array(np.append(first, len(token)).astype(np.int32)), pa.array(owner.astype(np.int32)))
+        column = lambda own, other, t: pa.concat_arrays([pa.array(own, t) if isinstance(own, np.ndarray) else own, pa.nulls(other, t)])
+        later = lambda own, t: pa.concat_arrays([pa.nulls(n, t), pa.array(own, t) if isinstance(own, np.ndarray) else own])
+        return pa.table({
+            "shard": pa.array(np.full(n + blank, shard.column("shard")[0].as_py(), np.int32)),
+            "place": column(np.arange(n, dtype=np.int32), blank, pa.int32()),
+            "key": column(shard.column("key").combine_chunks(), blank, shard.schema.field("key").type),
+            "own": column(lists, blank, lists.type),
+            "token": later(token[first], pa.int64()),
+            "least": later(size[owner[first]].astype(np.int32), pa.int32()),
+            "most": later(size[owner[last]].astype(np.int32), pa.int32()),
+            "places": later(posts, posts.type),
+        })
+
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return checkpointed(dealt.groupBy("shard").applyInArrow(build, f"shard int, place int, key {kind}, own array<long>, token long, least int, most int, places array<int>"))
+
+
+class Shard:
+    """One shard of the index, in arrays."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        items = rows.filter(pc.is_valid(rows.column("place"))).sort_by("place")
+        self.keys = items.column("key").to_pylist()
+        lists = items.column("own").combine_chunks()
+        self.at = lists.offsets.to_numpy().astype(np.int64)
+        self.own = lists.flatten().to_numpy()
+        self.at = self.at - self.at[0]
+        self.size = np.diff(self.at)
+        posts = rows.filter(pc.is_valid(rows.column("token")))
+        lists = posts.column("places").combine_chunks()
+        bounds, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+        bounds = bounds - bounds[0] if len(bounds) else bounds
+        self.blocks: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for k, (token, least, most) in enumerate(zip(*(posts.column(c).to_pylist() for c in ("token", "least", "most")), strict=True)):
+            self.blocks.setdefault(token, []).append((least, most, flat[bounds[k] : bounds[k + 1]]))
+
+    def best(self, tokens: np.ndarray, k: int) -> list[tuple[object, float]]:
+        """The ``k`` best items of a set of tokens by Jaccard, ties by key.
+
+        Rare tokens come first. An item not seen yet shares at most the tokens that are left; once that can't reach the k-th
+        best score so far, the rest is not read, nor are blocks whose sizes can't reach it. What was seen is then counted exactly.
+        """
+        m = len(tokens)
+        found = sorted((sum(len(b[2]) for b in self.blocks[t]), t) for t in tokens.tolist() if t in self.blocks)
+        seen, missed, least_score = np.zeros(len(self.size), np.int64), 0, 0.0
+        for i, (_, token) in enumerate(found):
+            left = len(found) - i
+            if left / m < least_score - SLACK:
+                missed += left
+                break
+            skipped = False
+            for low, high, places in self.blocks[token]:
+                share = min(left, high)
+                if share / (m + max(low, share) - share) < least_score - SLACK:
+                    skipped = True
+                else:
+                    seen[places] += 1
+            missed += skipped
+            if i & (i + 1) == 0 and i + 1 < len(found):  # after 1, 2, 4, 8 ... tokens
+                on = np.flatnonzero(seen)
+                if len(on) >= k:
+                    score = seen[on] / (self.size[on] + m - seen[on])
+                    least_score = max(least_score, float(np.partition(score, len(score) - k)[len(score) - k]))
+        on = np.flatnonzero(seen)
+        if missed:
+            most = np.minimum(np.minimum(seen[on] + missed, self.size[on]), m)
+            on = on[most / (self.size[on] + m - most) >= least_score - SLACK]
+            n = self.size[on]
+            at = np.repeat(self.at[on] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            seen[on] = np.bincount(np.repeat(np.arange(len(on)), n), np.isin(self.own[at], tokens), len(on)).astype(np.int64)
+        score = seen[on] / (self.size[on] + m - seen[on])
+        if len(on) > k:
+            near = score >= np.partition(score, len(score) - k)[len(score) - k]
+            on, score = on[near], score[near]
+        # places follow the keys' order
+        return [(self.keys[on[j]], float(score[j])) for j in np.lexsort((on, -score))[:k]]
+
+
 def top_matches(items: DataFrame, requests: DataFrame, key: str, request: str, item_tokens: Column, request_tokens: Column, k: int) -> DataFrame:
     """``request, key, score, rank``: of each request the ``k`` best items by Jaccard of token sets, ties by key; items that
-    share no token are absent.
+    share no token are absent. See :func:`build_index` and :func:`search_index`."""
+    return search_index(build_index(items, key, item_tokens), requests, request, request_tokens, k).withColumnRenamed("key", key)
+
+
+def search_index(index: DataFrame, requests: DataFrame, request: str, tokens: Column, k: int) -> DataFrame:
+    """``request, key, score, rank`` of all requests against a stored index.
 
-    Requests are the query set. They go to the tasks in blocks of at most ``ASKED`` requests; a task multiplies its items'
-    token incidence with a block's and keeps its own ``k`` best of each request, so no token is shuffled and what is ranked
-    at the end is ``k`` rows a task and request.
+    Requests are a table too: they fall into blocks of about ``SHARD_TOKENS`` tokens, and each block meets each shard in one
+    task, which holds these two and keeps the ``k`` best of each request. Neither is on the driver or in a closure.
     """
-    asked = requests.select(F.col(request).alias("request"), request_tokens.alias("tokens")).where(F.size("tokens") > 0)
-    blocks = max(1, -(-asked.count() // (ASKED // 2)))
-    asked = checkpointed(asked.withColumn("block", F.pmod(F.xxhash64("request"), F.lit(blocks))))
-    rows = items.select(F.col(key).alias("key"), item_tokens.alias("tokens")).where(F.size("tokens") > 0)
-    kinds = asked.schema["request"].dataType, rows.schema["key"].dataType
-    schema = f"request {kinds[0].simpleString()}, key {kinds[1].simpleString()}, score double"
-    out = None
-    for b in range(blocks):
-        own = asked.where(F.col("block") == b).orderBy("request").collect()  # bounded: a block of the query set
-        for a in range(0, len(own), ASKED):
-            part = rows.mapInArrow(_matching(own[a : a + ASKED], k), schema)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = items.sparkSession.createDataFrame([], schema)
-    return ranked(out.withColumnsRenamed({"request": request, "key": key}), request, key, k)
-
-
-def _matching(own: list, k: int) -> Callable:
-    """The task's part of :func:`top_matches` for one block of requests."""
-    ids, sets = [r["request"] for r in own], [r["tokens"] for r in own]
-    vocabulary = sorted({w for s in sets for w in s})
-    at = {w: i for i, w in enumerate(vocabulary)}
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(vocabulary, pa.string())
-        asked = np.zeros((len(vocabulary), len(sets)), np.float32)
-        for j, s in enumerate(sets):
-            asked[[at[w] for w in s], j] = 1
-        sizes = np.array([len(s) for s in sets], float)
-        names = pa.string()
-        held = (np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0))  # request, key and score of the best so far
-        least = np.zeros(len(sets))  # what a score must reach
-        for batch in batches:
-            names = batch.schema.field("key").type
-            for a in range(0, batch.num_rows, ITEMS):
-                part = batch.slice(a, ITEMS)
-                lists = part.column("tokens")
-                n = np.diff(lists.offsets.to_numpy())
-                word = pc.index_in(lists.flatten(), value_set=known)
-                hit = pc.is_valid(word).to_numpy(zero_copy_only=False)
-                has = np.zeros((part.num_rows, len(vocabulary)), np.float32)
-                has[np.repeat(np.arange(part.num_rows), n)[hit], word.drop_null().to_numpy()] = 1
-                same = (has @ asked).astype(float)
-                score = same / (n[:, None] + sizes[None, :] - same)
-                if len(score) > k:
-                    least = np.maximum(least, np.partition(score, len(score) - k, axis=0)[len(score) - k])
-                x, y = np.nonzero((score > 0) & (score >= least))
-                keys = np.array(part.column("key").to_pylist(), object)
-                held = tuple(np.concatenate(p) for p in zip(held, (y, keys[x], score[x, y]), strict=True))
-                _, code = np.unique(held[1], return_inverse=True)
-                order = np.lexsort((code, -held[2], held[0]))
-                first = np.searchsorted(held[0][order], np.arange(len(sets)))
-                rank = np.arange(len(order)) - first[held[0][order]]
-                held = tuple(p[order[rank < k]] for p in held)
-                full = np.flatnonzero(np.bincount(held[0], minlength=len(sets)) == k)
-                least[full] = held[2][np.searchsorted(held[0], full, side="right") - 1]
-        if len(held[0]):
-            yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in held[0]]), pa.array(held[1].tolist(), names), pa.array(held[2])], ["request", "key", "score"])
-
-    return work
+    asked = requests.select(F.col(request).alias("request"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("tokens")).where(F.size("tokens") > 0)
+    asked = checkpointed(asked)
+    total = asked.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // SHARD_TOKENS))
+    kinds = asked.schema["request"].dataType.simpleString(), index.schema["key"].dataType.simpleString()
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
+    last = index.agg(F.max("shard")).first()[0] or 0
+    right = asked.select("request", "tokens", F.pmod(F.xxhash64("request"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard"))
+
+    def meet(shard: pa.Table, asked: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if shard.num_rows and asked.num_rows:
+            own = Shard(shard)
+            lists = asked.column("tokens").combine_chunks()
+            bounds, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            bounds = bounds - bounds[0]
+            for j, name in enumerate(asked.column("request").to_pylist()):
+                found += [(name, *x) for x in own.best(flat[bounds[j] : bounds[j + 1]], k)]
+        name, item, score = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"request": pa.array(name, asked.schema.field("request").type), "key": pa.array(item, shard.schema.field("key").type), "score": pa.array(score, pa.float64())})
+
+    out = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, f"request {kinds[0]}, key {kinds[1]}, score double")
+    return ranked(out.withColumnRenamed("request", request), request, "key", k)
 
 
 def ranked(found: DataFrame, request: str, key: str, k: int) -> DataFrame:

@@ -4,7 +4,6 @@ import json
 import random
 
 import numpy as np
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,10 +259,11 @@ def test_digest_text_keeps_every_article(spark):
     assert len(found["2024-01-01"]) == 3 and len(found["2024-01-02"]) == 1
 
 
-def test_top_matches_equals_a_plain_scan(spark, monkeypatch):
+@pytest.mark.parametrize(("shard_tokens", "posted"), [(4_000_000, 128), (25, 2)])
+def test_top_matches_equals_a_plain_scan(spark, monkeypatch, shard_tokens, posted):
     r = random.Random(4)
-    monkeypatch.setattr(S, "ITEMS", 7)
-    monkeypatch.setattr(S, "ASKED", 4)
+    monkeypatch.setattr(S, "SHARD_TOKENS", shard_tokens)
+    monkeypatch.setattr(S, "POSTED", posted)
     pool = [f"w{k}" for k in range(30)]
     items = [(f"i{k:03d}", [r.choice(pool) for _ in range(r.randrange(6))]) for k in range(90)] + [("i900", None)]
     asked = [(k, [r.choice(pool) for _ in range(r.randrange(1, 5))]) for k in range(9)] + [(99, [])]
@@ -278,6 +278,21 @@ def test_top_matches_equals_a_plain_scan(spark, monkeypatch):
     assert sorted((x.req, x.key, x.score, x["rank"]) for x in got.collect()) == sorted(want)
 
 
+def test_search_stops_early_with_exact_results(spark):
+    """Words of very different frequency, where rare words decide and common ones needn't be read."""
+    r = random.Random(9)
+    draw = lambda n: sorted({int(r.paretovariate(0.6)) % 4000 for _ in range(n)})
+    items = [(k, [str(w) for w in draw(r.randrange(1, 40))]) for k in range(600)]
+    asked = [(k, r.sample(items[k * 7][1], max(1, len(items[k * 7][1]) * 2 // 3)) + ["1", "2", "3"]) for k in range(40)]
+    index = S.build_index(spark.createDataFrame(items, "key long, t array<string>"), "key", F.col("t"), 1)
+    got = S.search_index(index, spark.createDataFrame(asked, "req long, t array<string>"), "req", F.array_distinct("t"), 5).collect()
+    want = []
+    for q, words in asked:
+        near = [(-len(set(words) & set(t)) / len(set(words) | set(t)), k) for k, t in items if set(words) & set(t)]
+        want += [(q, k, -s, n + 1) for n, (s, k) in enumerate(sorted(near)[:5])]
+    assert sorted((x.req, x.key, x.score, x["rank"]) for x in got) == sorted(want)
+
+
 def test_cosine_links_equal_a_plain_scan(spark, monkeypatch):
     import numpy as np
 
