@@ -31,7 +31,7 @@ def build_index(items: DataFrame, key: str, tokens: Column, shards: int | None =
     ``POSTED`` items, smallest sets first, with the ``least`` and ``most`` size of a block's sets, which bound what score an
     item of the block can reach. Items without tokens are left out. 64-bit hashes stand for tokens.
     """
-    rows = items.select(F.col(key).alias("key"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("own")).where(F.size("own") > 0)
+    rows = checkpointed(items.select(F.col(key).alias("key"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("own"))).where(F.size("own") > 0)
     if shards is None:
         total = rows.agg(F.sum(F.size("own").cast("long"))).first()[0] or 0
         shards = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_TOKENS))
@@ -69,9 +69,9 @@ def build_index(items: DataFrame, key: str, tokens: Column, shards: int | None =
 
 
 class Shard:
-    """One shard of the index, in arrays."""
+    """One shard of the index, in arrays, with the postings of the tokens ``asked``."""
 
-    def __init__(self, rows: pa.Table) -> None:
+    def __init__(self, rows: pa.Table, asked: pa.Array) -> None:
         items = rows.filter(pc.is_valid(rows.column("place"))).sort_by("place")
         self.keys = items.column("key").to_pylist()
         lists = items.column("own").combine_chunks()
@@ -79,7 +79,7 @@ class Shard:
         self.own = lists.flatten().to_numpy()
         self.at = self.at - self.at[0]
         self.size = np.diff(self.at)
-        posts = rows.filter(pc.is_valid(rows.column("token")))
+        posts = rows.filter(pc.fill_null(pc.is_in(rows.column("token"), value_set=asked), False))
         lists = posts.column("places").combine_chunks()
         bounds, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
         bounds = bounds - bounds[0] if len(bounds) else bounds
@@ -141,8 +141,7 @@ def search_index(index: DataFrame, requests: DataFrame, request: str, tokens: Co
     Requests are a table too: they fall into blocks of about ``SHARD_TOKENS`` tokens, and each block meets each shard in one
     task, which holds these two and keeps the ``k`` best of each request. Neither is on the driver or in a closure.
     """
-    asked = requests.select(F.col(request).alias("request"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("tokens")).where(F.size("tokens") > 0)
-    asked = checkpointed(asked)
+    asked = checkpointed(requests.select(F.col(request).alias("request"), F.transform(tokens, lambda w: F.xxhash64(w)).alias("tokens"))).where(F.size("tokens") > 0)
     total = asked.agg(F.sum(F.size("tokens").cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // SHARD_TOKENS))
     kinds = asked.schema["request"].dataType.simpleString(), index.schema["key"].dataType.simpleString()
@@ -153,8 +152,8 @@ def search_index(index: DataFrame, requests: DataFrame, request: str, tokens: Co
     def meet(shard: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple] = []
         if shard.num_rows and asked.num_rows:
-            own = Shard(shard)
             lists = asked.column("tokens").combine_chunks()
+            own = Shard(shard, lists.flatten().unique())
             bounds, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
             bounds = bounds - bounds[0]
             for j, name in enumerate(asked.column("request").to_pylist()):
