@@ -262,13 +262,13 @@ FROM (SELECT *, {n_hits(FULL, D.REGULATORY_WORDS)} AS g, {n_hits(FULL, D.REPUTAT
 
 @query(f"SELECT ord, risk_type, CASE WHEN len(areas) = 0 THEN '무관' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 3 THEN '상' WHEN (CASE risk_type WHEN '규제' THEN g WHEN '평판' THEN p ELSE 0 END) >= 1 THEN '중' ELSE '하' END AS risk_grade FROM ({RISK_SQL})")
 def b5_risk_by_rule(spark: SparkSession, d: str) -> DataFrame:
-    kind, grade = C.risk_by_rule(F.col("title"), F.col("body"))
-    return kr(spark, d).select("ord", kind.alias("risk_type"), grade.alias("risk_grade"))
+    kind, grade = C.risk_by_rule(F.col("hits"))
+    return C.with_risk_hits(kr(spark, d)).select("ord", kind.alias("risk_type"), grade.alias("risk_grade"))
 
 
 @query(f"SELECT ord, array_to_string({AREAS_SQL}, ',') AS areas FROM {KR}")
 def b6_impacted_areas(spark: SparkSession, d: str) -> DataFrame:
-    return kr(spark, d).select("ord", F.array_join(C.impacted_areas(F.col("title"), F.col("body")), ",").alias("areas"))
+    return C.with_risk_hits(kr(spark, d)).select("ord", F.array_join(C.impacted_areas(F.col("hits")), ",").alias("areas"))
 
 
 @query("SELECT ord, category FROM (SELECT ord, CASE " + " ".join(f"WHEN {any_hit('title', w)} THEN {s(c)}" for c, w in D.CATEGORY_WORDS.items()) + f" END AS category FROM {KR}) WHERE category IS NOT NULL")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from regscope.functions import dates, text as T
 from regscope.functions import dicts as D
+from regscope.operators.automaton import count_hits, hit_terms, with_hits
 
-TERMS = 2000
+#: All words of the risk rules, in the order of their numbers.
+RISK_WORDS = tuple(dict.fromkeys((*D.REGULATORY_WORDS, *D.REPUTATION_WORDS, *(w for words in D.AREA_WORDS.values() for w in words))))
 
 
 def full_text(title: Column, body: Column) -> Column:
@@ -26,19 +28,10 @@ def priority_grade(title: Column, body: Column) -> Column:
 def grade_by_dictionary(articles: DataFrame, dictionary: DataFrame, key: str = "ord") -> DataFrame:
     """The grade from a dictionary table (``term, weight, class``), which may grow beyond what an expression can hold.
 
-    Up to ``TERMS`` terms are broadcast and each text is searched for all of them. Beyond that a text's substrings of the
-    terms' lengths meet the terms in an equality join.
+    One automaton finds all terms in one pass over each text.
     """
-    text = articles.select(key, full_text(F.col("title"), F.col("body")).alias("text"))
     terms = dictionary.where("class IN ('law', 'action', 'low') AND term <> ''").select("term", "weight", "class")
-    if terms.count() <= TERMS:
-        hits = text.join(F.broadcast(terms), F.contains("text", "term"))
-    else:
-        sizes = [r[0] for r in terms.select(F.char_length("term")).distinct().collect()]  # at most the longest term's length
-        starts = lambda n: F.sequence(F.lit(1), F.char_length("text") - n + 1)
-        of = lambda n: F.when(F.char_length("text") >= n, F.transform(starts(n), lambda i: F.substring(F.col("text"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        found = text.select(key, F.explode(F.array_distinct(F.concat(*(of(n) for n in sizes)))).alias("term"))
-        hits = found.join(terms, "term")
+    hits = hit_terms(articles, full_text(F.col("title"), F.col("body")), terms, key).join(terms, "term")
     sums = hits.groupBy(key).agg(F.sum(F.when(F.col("class") != "low", F.col("weight"))).alias("points"), F.count_if(F.col("class") == "low").alias("low"))
     joined = articles.select(key).join(sums, key, "left")
     points, low = F.coalesce("points", F.lit(0)), F.coalesce("low", F.lit(0))
@@ -60,19 +53,23 @@ def is_relevant(title: Column) -> Column:
     return ~T.contains_any(T.nz(title), D.BRIEFING_WORDS) & T.contains_any(T.nz(title), D.RELEVANT_WORDS)
 
 
-def impacted_areas(title: Column, body: Column) -> Column:
-    """Areas with a word in the text, in dictionary order."""
-    text = full_text(title, body)
-    return F.filter(F.array(*(F.when(T.count_words(text, words) > 0, F.lit(area)) for area, words in D.AREA_WORDS.items())), lambda x: x.isNotNull())
+def with_risk_hits(articles: DataFrame) -> DataFrame:
+    """Articles with the numbers of the risk words in title and body, found in one pass: ``hits``."""
+    return with_hits(articles, full_text(F.col("title"), F.col("body")), RISK_WORDS)
 
 
-def risk_by_rule(title: Column, body: Column) -> tuple[Column, Column]:
-    """Risk type and grade from word counts and areas."""
-    text = full_text(title, body)
-    rules, harm = T.count_words(text, D.REGULATORY_WORDS), T.count_words(text, D.REPUTATION_WORDS)
+def impacted_areas(hits: Column) -> Column:
+    """Areas with a word among the hits of :func:`with_risk_hits`, in dictionary order."""
+    any_of = lambda words: F.arrays_overlap(hits, F.array(*(F.lit(RISK_WORDS.index(w)) for w in words)))
+    return F.filter(F.array(*(F.when(any_of(words), F.lit(area)) for area, words in D.AREA_WORDS.items())), lambda x: x.isNotNull())
+
+
+def risk_by_rule(hits: Column) -> tuple[Column, Column]:
+    """Risk type and grade from the hits of :func:`with_risk_hits`: word counts and areas."""
+    rules, harm = count_hits(hits, RISK_WORDS, D.REGULATORY_WORDS), count_hits(hits, RISK_WORDS, D.REPUTATION_WORDS)
     kind = F.when(rules >= 2, "규제").when(harm >= 2, "평판").when(rules >= 1, "규제").when(harm >= 1, "평판").otherwise("무관")
     score = F.when(kind == "규제", rules).when(kind == "평판", harm).otherwise(0)
-    some = F.size(impacted_areas(title, body)) > 0
+    some = F.size(impacted_areas(hits)) > 0
     grade = F.when(~some, "무관").when(score >= 3, "상").when(score >= 1, "중").otherwise("하")
     return kind, grade
 
@@ -167,7 +164,8 @@ def risk_records(articles: DataFrame) -> DataFrame:
     Articles that fail the relevance gate are irrelevant and carry empty fields.
     """
     title, body = F.col("title"), F.col("body")
-    kind, grade = risk_by_rule(title, body)
+    columns, articles = articles.columns, with_risk_hits(articles)
+    kind, grade = risk_by_rule(F.col("hits"))
     gate = is_relevant(title)
     quoteless = T.strip_brackets(F.regexp_replace(T.strip(title), "[\"“”'‘’][^\"“”'‘’]+[\"“”'‘’]", " "))
     plain = T.strip_brackets(title)
@@ -175,11 +173,11 @@ def risk_records(articles: DataFrame) -> DataFrame:
     long = F.filter(F.array(quoteless, plain), lambda x: F.char_length(x) >= 6)
     name = F.substring(F.coalesce(F.try_element_at(long, F.lit(1)), F.nullif(minimal, F.lit("")), T.strip(title)), 1, 60)
     rows = articles.select(
-        *articles.columns,
+        *columns,
         gate.alias("gate"),
         F.when(gate, kind).otherwise("무관").alias("risk_type"),
         F.when(gate, grade).otherwise("무관").alias("risk_grade"),
-        F.when(gate, impacted_areas(title, body)).otherwise(F.array().cast("array<string>")).alias("impacted_areas"),
+        F.when(gate, impacted_areas(F.col("hits"))).otherwise(F.array().cast("array<string>")).alias("impacted_areas"),
         F.when(gate, name).otherwise("").alias("policy_name"),
         F.when(gate, T.key_sentences(body, 8, 20, 110)).otherwise(F.array().cast("array<string>")).alias("_points"),
         F.try_element_at(T.key_sentences(body, 1, 20, 80), F.lit(1)).alias("_first"),
@@ -191,7 +189,7 @@ def risk_records(articles: DataFrame) -> DataFrame:
     action = F.concat(named, F.when(F.col("risk_type") == "규제", D.DEFAULT_ACTIONS["규제"]).when(F.col("risk_type") == "평판", D.DEFAULT_ACTIONS["평판"]).otherwise(D.DEFAULT_ACTIONS[""]))
     changes = F.transform(points, T.noun_ending)
     return rows.select(
-        *articles.columns,
+        *columns,
         "risk_grade",
         "risk_type",
         "impacted_areas",

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regscope.operators import classify, cosine, crosswalk, digest, firstwins, layout, simjoin, tables
+from regscope.operators import automaton, classify, cosine, crosswalk, digest, firstwins, layout, simjoin, tables
 from regscope.operators import search as S
 from regscope.sources import html, records
 from regscope.streaming import jobs
@@ -342,12 +342,27 @@ def test_dictionary_grades_agree_at_any_size(spark, monkeypatch):
 
     rows = spark.createDataFrame([(1, "특금법 개정", "본문"), (2, "간담회 참석", None), (3, None, ""), (4, "과태료 위반 제재", "x")], "ord long, title string, body string")
     few = {r.ord: r.grade for r in classify.grade_by_dictionary(rows, dicts.dictionary_rows(spark)).collect()}
-    monkeypatch.setattr(classify, "TERMS", 0)
+    monkeypatch.setattr(automaton, "CHARS", 200)  # many automata
     many = {r.ord: r.grade for r in classify.grade_by_dictionary(rows, dicts.dictionary_rows(spark)).collect()}
     plain = {r.ord: r.grade for r in rows.select("ord", classify.priority_grade(F.col("title"), F.col("body")).alias("grade")).collect()}
     assert few == many == plain and set(few.values()) == {"상", "중", "하"}
 
 
+def test_automaton_finds_all_words_of_large_dictionaries(spark):
+    r = random.Random(8)
+    words = list(dict.fromkeys("".join(r.choice("ab가나") for _ in range(r.randrange(1, 9))) for _ in range(30_000)))
+    texts = [(k, "".join(r.choice("ab가나 ") for _ in range(60))) for k in range(30)] + [(100, None), (101, "")]
+    frame = spark.createDataFrame(texts, "k long, hits string")
+    got = {x.k: {words[i] for i in x.found} for x in automaton.with_hits(frame, F.col("hits"), words, "found").collect()}
+    assert got == {k: {w for w in words if t and w in t} for k, t in texts}
+    terms = spark.createDataFrame([(w,) for w in words], "term string")
+    pairs = {(x.k, x.term) for x in automaton.hit_terms(frame, F.col("hits"), terms, "k").collect()}
+    assert pairs == {(k, w) for k, found in got.items() for w in found}
+    hits = automaton.with_hits(frame, F.col("hits"), ["a", "b"], "n").select("k", automaton.count_hits(F.col("n"), ["a", "b"], ["a", "a", "b"]).alias("n")).collect()
+    assert {x.k: x.n for x in hits} == {k: 2 * ("a" in (t or "")) + ("b" in (t or "")) for k, t in texts}
+    assert all(x.n == [] for x in automaton.with_hits(frame, F.col("hits"), [], "n").collect())
+
+
 def test_decoding_of_legacy_bytes(spark):
     from regscope.functions import ids
     from regscope.functions import text as T
