@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regscope.operators.tables import checkpointed
+
 ARTICLE_HEAD = r"^\s*제\s*(\d+)\s*(?:-\s*\d+\s*)?조"
 
 
@@ -14,21 +15,32 @@ def column_band(mid: Column) -> Column:
     return F.when(mid < 290, "act").when(mid < 540, "enforce").otherwise("regulation")
 
 
-def cluster_lines(words: DataFrame) -> DataFrame:
+def cluster_lines(words: DataFrame, reach: float = 5.0) -> DataFrame:
     """``line`` of each word (``doc, page, text, top, x0, x1``): in order of top and x0, a word joins the current line if it
-    lies within 5 of the line's first word. A page is one group; its words are few."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "x0"], kind="stable")
-        line, anchor, out = -1, None, []
-        for top in pdf["top"]:
-            if anchor is None or abs(top - anchor) >= 5:
-                line, anchor = line + 1, top
-            out.append(line)
-        return pdf.assign(line=out)
+    lies within ``reach`` of the line's first word.
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
-    return words.groupBy("doc", "page").applyInPandas(page, f"{fields}, line long")
+    Only the different heights of a page decide. A height that begins a line is an anchor, and its successor is the first height
+    at least ``reach`` below it. Successors are links between heights; with pointer doubling every height learns after log2
+    of the page's lines how many links lie between it and the end of the page, and which heights the links from the first
+    one pass. Every round is a written table; of a page only its heights are ordered in one task.
+    """
+    words = words.withColumn("_page", F.struct("doc", "page"))
+    heights = checkpointed(words.select("_page", "top").distinct())
+    # the successor: the least height that is at least reach below
+    link = checkpointed(heights.withColumn("to", F.expr(f"min(top) OVER (PARTITION BY _page ORDER BY top RANGE BETWEEN {float(reach)}D FOLLOWING AND UNBOUNDED FOLLOWING)")))
+    first = heights.groupBy("_page").agg(F.min("top").alias("top"))
+    # reached: anchors known so far with their line; jump: where 2^k links lead
+    reached = checkpointed(first.withColumn("line", F.lit(0).cast("long")))
+    jump, step = link.where("to IS NOT NULL"), 1
+    while not jump.isEmpty():
+        on = reached.join(jump, ["_page", "top"]).select("_page", F.col("to").alias("top"), (F.col("line") + step).alias("line"))
+        reached = checkpointed(reached.unionByName(on))
+        ahead = jump.select("_page", F.col("top").alias("to"), F.col("to").alias("far"))
+        jump, step = checkpointed(jump.join(ahead, ["_page", "to"]).select("_page", "top", F.col("far").alias("to"))), 2 * step
+    line = Window.partitionBy("_page").orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    named = heights.join(reached, ["_page", "top"], "left").select("_page", F.col("top").alias("_top"), F.last("line", ignorenulls=True).over(line).alias("line"))
+    named = named.withColumnRenamed("_page", "_at")
+    return words.join(named, (F.col("_page") == F.col("_at")) & F.col("top").eqNullSafe(F.col("_top"))).drop("_page", "_at", "_top")
 
 
 def line_texts(words: DataFrame) -> DataFrame:
@@ -41,10 +53,26 @@ def line_texts(words: DataFrame) -> DataFrame:
 
 
 def carry_forward_pairs(lines: DataFrame, doc: str, order: list[str], left: Column, right: Column, filled: Column) -> DataFrame:
-    """Distinct ``doc, left, right``: the last seen left and right values on each line where both exist and ``filled`` holds."""
-    w = Window.partitionBy(doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = lines.select(doc, F.last(left, ignorenulls=True).over(w).alias("left"), F.last(right, ignorenulls=True).over(w).alias("right"), filled.alias("filled"))
-    return seen.where("filled AND left IS NOT NULL AND right IS NOT NULL").select(doc, "left", "right").distinct()
+    """Distinct ``doc, left, right``: the last seen left and right values on each line where both exist and ``filled`` holds.
+
+    A segmented scan: lines fall into ranges of documents and order, each range carries its values by itself, and the last
+    values of the ranges before it are carried into it. A document of any length is cut over many tasks; only one row per
+    range and document is looked at across ranges.
+    """
+    spark = lines.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = lines.select(doc, *order, left.alias("_left"), right.alias("_right"), filled.alias("_filled"))
+    dealt = rows.repartitionByRange(parts, doc, *order).withColumn("_part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    own = Window.partitionBy("_part", doc).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda c, w: F.last(c, ignorenulls=True).over(w).alias(c)
+    seen = checkpointed(dealt.select(doc, "_part", "_filled", last("_left", own), last("_right", own), F.row_number().over(Window.partitionBy("_part", doc).orderBy(*(F.desc(c) for c in order))).alias("_end")))
+    ends = seen.where("_end = 1").select(doc, "_part", "_left", "_right")
+    before = Window.partitionBy(doc).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(F.col(doc).alias("_doc"), F.col("_part").alias("_at"), F.last("_left", ignorenulls=True).over(before).alias("_l"), F.last("_right", ignorenulls=True).over(before).alias("_r"))
+    found = seen.where("_filled").join(ends.where("_l IS NOT NULL OR _r IS NOT NULL"), F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_part") == F.col("_at")), "left")
+    found = found.select(doc, F.coalesce("_left", "_l").alias("left"), F.coalesce("_right", "_r").alias("right"))
+    return found.where("left IS NOT NULL AND right IS NOT NULL").distinct()
 
 
 def layout_pairs(words: DataFrame) -> DataFrame:

@@ -348,6 +348,34 @@ def test_dictionary_grades_agree_at_any_size(spark, monkeypatch):
     assert few == many == plain and set(few.values()) == {"상", "중", "하"}
 
 
+def test_lines_of_long_pages_equal_a_walk(spark):
+    r = random.Random(3)
+    rows = [(d, p, f"t{k}", round(r.uniform(0, 400), 1), float(k)) for d in ("a", None) for p in (1, 2) for k in range(120)]
+    frame = spark.createDataFrame([(*x, x[4] + 1) for x in rows], "doc string, page int, text string, top double, x0 double, x1 double").repartition(3)
+    want, anchors = {}, {}
+    for d, p, text, top, x0 in sorted(rows, key=lambda x: (str(x[0]), x[1], x[3], x[4])):
+        line, anchor = anchors.get((d, p), (-1, None))
+        if anchor is None or top >= anchor + 5:
+            line, anchor = line + 1, top
+        anchors[d, p] = (line, anchor)
+        want[d, p, text] = line
+    assert {(x.doc, x.page, x.text): x.line for x in layout.cluster_lines(frame).collect()} == want
+
+
+def test_carried_values_cross_tasks(spark):
+    r = random.Random(6)
+    rows = [(d, k, r.choice((None, None, None, k)), r.choice((None, None, -k)), r.random() < 0.7) for d in ("long", "x", None) for k in range(400 if d == "long" else 5)]
+    frame = spark.createDataFrame(rows, "doc string, n int, a int, b int, f boolean").repartition(5)
+    want, seen = set(), {}
+    for d, _, a, b, f in rows:
+        x, y = seen.get(d, (None, None))
+        seen[d] = x, y = (x if a is None else a, y if b is None else b)
+        if f and x is not None and y is not None:
+            want.add((d, x, y))
+    got = [tuple(x) for x in layout.carry_forward_pairs(frame, "doc", ["n"], F.col("a"), F.col("b"), F.col("f")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_automaton_finds_all_words_of_large_dictionaries(spark):
     r = random.Random(8)
     words = list(dict.fromkeys("".join(r.choice("ab가나") for _ in range(r.randrange(1, 9))) for _ in range(30_000)))
