@@ -30,6 +30,7 @@ BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 SLICE = 2 << 20
 BLOCK, BLOCK_BYTES, LISTED = 256, 8 << 20, 400
+LINK = "a binary, b binary, similarity double"
 
 
 def bags(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +127,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a, b`` of nodes whose texts (``node, text``) are at least so similar. A common node's rows are one skewed
+    """``a, b, similarity``: pairs ``a, b`` of nodes whose texts (``node, text``) are at least so similar. A common node's rows are one skewed
     join key, which adaptive execution splits."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -137,14 +138,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             first = batch.column("text_a").dictionary_encode()
             bag_a, bag_b = bags(first.dictionary), bags(batch.column("text_b"))
             one = lambda bag, i: (bag[0][bag[2][i] : bag[2][i + 1]], bag[1][bag[2][i] : bag[2][i + 1]])
-            near = [weighted_jaccard(one(bag_a, i), one(bag_b, k)) >= similarity for k, i in enumerate(first.indices.to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            near = np.array([weighted_jaccard(one(bag_a, i), one(bag_b, k)) for k, i in enumerate(first.indices.to_pylist())], float)
+            yield batch.select(["a", "b"]).append_column("similarity", pa.array(near)).filter(pa.array(near >= similarity))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, LINK)
 
 
-def block_links(a: tuple, b: tuple, class_a: list, class_b: list, similarity: float) -> list[tuple[int, int]]:
-    """Places (in ``a``, in ``b``) of links between two blocks of bags that join their classes into one, a spanning forest.
+def block_links(a: tuple, b: tuple, class_a: list, class_b: list, similarity: float) -> list[tuple[int, int, float]]:
+    """Places (in ``a``, in ``b``) and similarities of links between two blocks of bags that join their classes into one, a
+    spanning forest.
 
     One document of ``a`` at a time meets all of ``b`` through ``b``'s sorted shingles.
     """
@@ -171,12 +173,12 @@ def block_links(a: tuple, b: tuple, class_a: list, class_b: list, similarity: fl
         for k in np.flatnonzero((same >= similarity * total) & (total > 0)):
             if same[k] / total[k] >= similarity and (p := root(class_a[i])) != (q := root(class_b[k])):
                 parent[p] = q
-                out.append((i, int(k)))
+                out.append((i, int(k), float(same[k] / total[k])))
     return out
 
 
 def links_by_blocks(odd: DataFrame, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links ``a, b`` between odd members and members of buckets (``key, node, class, f, m``; f and m: blocks of both)."""
+    """Links ``a, b, similarity`` between odd members and members of buckets (``key, node, class, f, m``; f and m: blocks of both)."""
     place = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     columns = ["key", "fb", "mb", "node", "class", "text"]
@@ -190,10 +192,11 @@ def links_by_blocks(odd: DataFrame, members: DataFrame, texts: DataFrame, simila
             pick = lambda x: x.column("class").to_pylist()
             found = block_links(bags(text(one)), bags(text(two)), pick(one), pick(two), similarity)
         a, b = one.column("node").to_pylist(), two.column("node").to_pylist()
-        return pa.table({"a": pa.array([a[i] for i, _ in found], pa.binary()), "b": pa.array([b[k] for _, k in found], pa.binary())})
+        places, partners, near = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"a": pa.array([a[i] for i in places], pa.binary()), "b": pa.array([b[k] for k in partners], pa.binary()), "similarity": pa.array(near, pa.float64())})
 
     keys = ("key", "fb", "mb")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "a binary, b binary")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, LINK)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -214,12 +217,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, kept, twins``.
+    """One row per row of ``docs``: ``doc_id, text_hash, class_id, class_size, kept, twins, partner_id, similarity``.
 
     Words are runs of letters and digits, lower-cased; shingles are five words (shorter texts: one shingle of all words).
     Documents whose shingle counts have a weighted Jaccard similarity of ``similarity`` or more are linked; ``class_id`` is
     the least identifier of those that links join and ``kept`` marks one row of each class (``twins``: how often that row
-    is repeated). Texts of any length are read whole. Null, empty and wordless texts are one class. A null identifier is never
+    is repeated). ``partner_id`` is the least identifier of the document with other shingles that a row was found most similar
+    to, at ``similarity``; both are null where no such link exists. These links hold each class together. Texts of any length are read whole. Null, empty and wordless texts are one class. A null identifier is never
     the least unless its class has no other; rows that repeat an identifier are rows of their own. Other columns are
     ignored. Empty input gives no rows. Bands find a pair at similarity 0.8 with a chance of 0.99993, one at 0.9 always but
     for 1 in 10^9.
@@ -268,6 +272,10 @@ def near_classes(
     total = stored(found.groupBy("class").agg(F.min(F.struct("first", "node")).alias("top"), F.sum("n").alias("class_size")))
     found = stored(found.join(total, "class").select("node", F.col("top.first").alias("first"), (F.col("top.node") == F.col("node")).alias("leads"), "class_size"))
     # one row of the class's first document stays, also where its row is repeated
+    each = links.select(F.col("a").alias("node"), F.col("b").alias("partner"), "similarity").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("partner"), "similarity"))
+    each = each.groupBy("node").agg(F.max(F.struct("similarity", "partner")).alias("link")).select("node", "link.similarity", "link.partner")
+    names = node.select(F.col("node").alias("partner"), F.col("first.doc_id").alias("partner_id"))
+    found = found.join(stored(each.join(names, "partner").drop("partner")), "node", "left")
     out = slim.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
     lead = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     out = stored(out.join(found, "node").withColumn("lead", lead))
@@ -275,7 +283,7 @@ def near_classes(
     stays = out.where("lead").groupBy("node").agg(F.min("row").alias("stays"), F.count(F.lit(1)).alias("twins")).withColumnRenamed("node", "stays_node")
     first = out.where("lead").join(stays, F.col("node") == F.col("stays_node")).withColumn("kept", F.col("row") == F.col("stays"))
     rest = out.where("NOT lead").withColumn("kept", F.lit(False)).withColumn("twins", F.lit(None).cast("long"))
-    columns = ["doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), "kept", "twins"]
+    columns = ["doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), F.col("class_size").cast("long"), "kept", "twins", "partner_id", "similarity"]
     return first.select(*columns).unionByName(rest.select(*columns))
 
 

@@ -32,7 +32,7 @@ FROM d WINDOW w AS (PARTITION BY body)
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_classes(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", "class_id", "class_size", "kept")
+    return found.select("doc_id", "class_id", "class_size", "kept", "partner_id", "similarity")
 
 
 def vocabulary() -> str:

@@ -115,6 +115,12 @@ def test_near_dedup_finds_the_classes_of_brute_force(spark, monkeypatch):
         got = near_dedup.near_classes(docs(spark, rows)).collect()
         assert {r.doc_id: r.class_id for r in got} == want
         assert len(got) == len(rows) and sum(r.kept for r in got) == len(set(want.values()))
+        of = {d: bags[k] for k, (d, _, _) in enumerate(rows)}
+        for r in got:
+            if r.partner_id is not None:
+                assert of[r.partner_id] != of[r.doc_id] and want[r.partner_id] == r.class_id and abs(jaccard(of[r.partner_id], of[r.doc_id]) - r.similarity) < 1e-12 and r.similarity >= 0.8
+            else:
+                assert r.similarity is None and all(of[d] == of[r.doc_id] for d in want if want[d] == r.class_id)
     left = near_dedup.keep_one(docs(spark, rows))
     assert left.columns == docs(spark, []).columns
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
