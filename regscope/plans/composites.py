@@ -157,17 +157,17 @@ def q3_sent_log(spark: SparkSession, d: str) -> DataFrame:
 WITH u AS (SELECT 'd' || CAST(doc_id AS STRING) AS id, text AS body, source, lang AS law_id, 'the ' || lang || ' law' AS law_name FROM {{documents}} UNION ALL SELECT 'b' || CAST(item_id AS STRING), text, 'bench', 'en', 'the en law' FROM {{benchmark}}),
 f AS (SELECT * FROM u WHERE source IN ('src1', 'src2', 'src3', 'bench') AND law_id IN ('en', 'de') AND contains(replace(law_name, ' ', ''), 'enlaw')),
 k AS (SELECT id, body, list_distinct(regexp_extract_all(lower(body), '{K.WORD}')) AS k FROM f), sc AS (SELECT id, body, len(list_intersect(k, [{K.QUESTION_SQL}])) AS i, len(k) AS n FROM k)
-SELECT id, round(i / (n + {len(K.QUESTION.split())} - i), 6) AS score, substr(lower(body), 1, 200) AS head FROM sc WHERE i > 0 ORDER BY i / (n + {len(K.QUESTION.split())} - i) DESC, id LIMIT 50""")
+SELECT id, score, {K._summary_sql('body', 200)} AS head FROM (SELECT id, body, round(i / (n + {len(K.QUESTION.split())} - i), 6) AS score FROM sc WHERE i > 0 ORDER BY i / (n + {len(K.QUESTION.split())} - i) DESC, id LIMIT 50)""".replace("{{3,}}", "{3,}"))
 def q4_unified_search(spark: SparkSession, d: str) -> DataFrame:
-    """Two corpora under one schema, restricted by source, law and the law's name; the best 50 with the texts cut."""
+    """Two corpora under one schema, restricted by source, law and the law's name; the best 50 with their texts cleaned and cut at a sentence."""
     docs = K.t(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("body"), "source", F.col("lang").alias("law_id"))
     bench = K.t(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("body"), F.lit("en").alias("law_id"))
     rows = C.allowed_sources(search.union_corpora(docs, bench, {"source": "bench"}), ["src1", "src2", "src3", "bench"])
     rows = rows.withColumn("law_name", F.concat(F.lit("the "), "law_id", F.lit(" law")))
     rows = joins.restrict(rows, spark.createDataFrame([("en",), ("de",)], "law_id string"), "law_id")
     rows = joins.name_contains(rows, "law_name", ["en law"])
-    found = search.search(rows.withColumn("body", F.lower("body")), K.QUESTION, 50, "id", F.col("body"), K.WORD)
-    return found.select("id", F.round("score", 6).alias("score"), T.prefix(F.col("body"), 200).alias("head"))
+    found = search.search(rows, K.QUESTION, 50, "id", F.lower("body"), K.WORD)
+    return found.select("id", F.round("score", 6).alias("score"), T.normalize_summary(F.col("body"), 200).alias("head"))
 
 
 @K.query(rf"""
@@ -205,11 +205,14 @@ SELECT q, {key}, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS scor
 WITH asked AS (SELECT doc_id AS q, list_distinct(regexp_extract_all(lower(text), '{K.WORD}')) AS k FROM {{documents}} WHERE doc_id % 100 = 0),
 cs AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '{K.WORD}')) AS k FROM {{documents}} WHERE doc_id % 100 <> 0), ls AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{K.WORD}')) AS k FROM {{benchmark}}),
 c AS (SELECT q, string_agg(CAST(doc_id AS STRING), ',' ORDER BY rank) AS cases, max(CASE WHEN rank = 1 THEN doc_id END) AS first_case FROM {_top_sql('cs', 'doc_id', 15)} GROUP BY q),
+o AS (SELECT doc_id AS q, sha1('v3:' || lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) || ':L1') AS cache_key FROM {{documents}} WHERE doc_id % 100 = 0),
+h AS (SELECT cache_key, count(*) + count(*) FILTER (q % 200 = 0) AS hit_count FROM o GROUP BY 1),
+x AS (SELECT q, count(*) AS n_blocks, sha1({K.CONTEXT_SQL}) AS context_sha1 FROM {_top_sql('cs', 'doc_id', 15)} JOIN {{documents}} USING (doc_id) GROUP BY q),
 l AS (SELECT q, string_agg(CAST(item_id AS STRING), ',' ORDER BY rank) AS laws, max(CASE WHEN rank = 2 THEN item_id END) AS second_law FROM {_top_sql('ls', 'item_id', 10)} GROUP BY q)
-SELECT q AS request, cases, laws, 'issue ' || CAST(q AS STRING) || '|two' AS issues, first_case, second_law FROM asked LEFT JOIN c USING (q) LEFT JOIN l USING (q)""")
+SELECT q AS request, cases, laws, 'issue ' || CAST(q AS STRING) || '|two' AS issues, first_case, second_law, cache_key, hit_count, n_blocks, context_sha1 FROM asked JOIN o USING (q) JOIN h USING (cache_key) LEFT JOIN c USING (q) LEFT JOIN l USING (q) LEFT JOIN x USING (q)""")
 def q6_analyze_document(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose id is divisible by 100 (the query set) against cases (15) and statutes (10), and the key issues and
-    citations of their answers. Answers are stored; here they are made up from the request, as no model is called."""
+    """Documents whose id is divisible by 100 (the query set): cache key and hits, the cases (15) and statutes (10) nearest to
+    them, the context of the cases, and the key issues and citations of their answers. Half of the requests are cached before. Answers are stored; here they are made up from the request, as no model is called."""
     docs, laws = K.t(spark, d, "documents").select("doc_id", "text"), K.t(spark, d, "benchmark").select("item_id", "text")
     asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("request"), "text")
     own = T.tokens(F.lower("text"), K.WORD, ())
@@ -226,8 +229,15 @@ def q6_analyze_document(spark: SparkSession, d: str) -> DataFrame:
         found = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("id")))), lambda x: x["id"])
         return rows.groupBy("request").agg(F.array_join(found, ",").alias(name))
 
+    keyed = asked.select("request", F.col("text").alias("question"), F.array(F.lit("L1")).alias("laws"))
+    blank = spark.createDataFrame([], "cache_key string, question string, law_ids string, hit_count long, updated_at timestamp")
+    cache = search.cache_lookup(keyed.where("request % 200 = 0"), blank, F.lit("2024-01-01").cast("timestamp"))
+    cache = search.cache_lookup(keyed, cache, F.lit("2024-02-01").cast("timestamp")).select("cache_key", "hit_count")
+    keys = keyed.select("request", ids.cache_key(F.col("question"), F.col("laws")).alias("cache_key")).join(cache, "cache_key")
+    texts = K.txt(spark, d).withColumnRenamed("ord", "doc_id").select("doc_id", "title", "agency", "body")
+    contexts = search.context_blocks(cases.join(texts, "doc_id"), "request", 15).select("request", "n_blocks", F.sha1("context").alias("context_sha1"))
     out = asked.select("request")
-    for side in (listed(cases, "doc_id", "cases"), listed(statutes, "item_id", "laws"), answers.select("request", "issues"), first, second):
+    for side in (keys, listed(cases, "doc_id", "cases"), listed(statutes, "item_id", "laws"), answers.select("request", "issues"), first, second, contexts):
         out = out.join(side, "request", "left")
     return out
 

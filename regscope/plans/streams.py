@@ -49,12 +49,22 @@ def j7_hit_counter(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).groupBy("url").agg(F.max("hits").alias("hits"))
 
 
-@K.query()
+@K.query("""
+WITH RECURSIVE e AS (SELECT 'u/' || CAST(user_id AS STRING) || '/' || event_type AS url, event_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS ts FROM {events}),
+p AS MATERIALIZED (SELECT * FROM e WHERE ts IS NOT NULL AND epoch_ms(ts) + 1 < (SELECT epoch_ms(max(ts)) FROM e) - 3 * 86400000),
+r AS (SELECT url, event_id, ts FROM p QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts, event_id) = 1
+UNION ALL SELECT p.url, p.event_id, p.ts FROM r JOIN p ON p.url = r.url AND p.ts > r.ts + INTERVAL 3 DAY QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY p.ts, p.event_id) = 1)
+SELECT url, event_id, true AS dated FROM r UNION ALL SELECT url, event_id, false FROM e WHERE ts IS NULL""")
 def j2_late_cut(spark: SparkSession, d: str) -> DataFrame:
-    """First rows of each address within the watermark of three days."""
-    dated, _ = jobs.split_undated(events(spark, d))
-    out = jobs.available_now(jobs.unseen(dated).select("url", "event_id"))
-    return spark.read.schema("url string, event_id long").parquet(out)
+    """First rows of each address by timers three days behind, and the undated rows, which count as recent and are all kept,
+    on a path of their own."""
+    rows = tables.checkpointed(B.view(spark, d, B.STREAM_ROWS).withColumn("ts", F.when(F.col("event_id") % 13 != 0, F.col("ts"))))
+    stream = lambda: jobs.file_stream(spark, rows.inputFiles()[0].rsplit("/", 1)[0], 1000)
+    dated, undated = jobs.split_undated(stream())
+    first = jobs.available_now(jobs.first_in_order(dated).select("url", "event_id"))
+    rest = jobs.available_now(undated.select("url", "event_id"))
+    read = lambda path, is_dated: spark.read.schema("url string, event_id long").parquet(path).withColumn("dated", F.lit(is_dated))
+    return read(first, True).unionByName(read(rest, False))
 
 
 @K.query("SELECT CAST(CAST(ts AS DATE) AS STRING) AS post_date FROM {events} GROUP BY 1")

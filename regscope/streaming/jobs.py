@@ -6,10 +6,13 @@ the tests and the registered queries compare streams with batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from regscope.operators import joins, simjoin, tables
 
@@ -24,6 +27,44 @@ def unseen(stream: DataFrame, key: str = "url", ts: str = "ts", delay: str = "3
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def first_in_order(stream: DataFrame, key: str = "url", ts: str = "ts", ident: str = "event_id", days: int = 3) -> DataFrame:
+    """``key, ident, ts``: the first row of each address in order of time and identifier; ``days`` after it the address is new
+    again. Rows come out once the watermark, ``days`` behind the latest row, has passed them, and rows behind it are cut.
+
+    Keyed state with event-time timers: an address holds the time of its last row given out and the rows the watermark has
+    not passed yet, which are taken in order when its timer fires. So the result doesn't depend on how rows fall into batches,
+    as long as none comes too late. An address without waiting rows is forgotten when it is new again.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
+    span = days * 86_400_000
+
+    def work(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (-1 << 60, "[]")
+        waiting = json.loads(waiting)
+        if not state.hasTimedOut:
+            for pdf in frames:
+                waiting += [[int(t.value), i] for t, i in zip(pdf[ts], pdf[ident].tolist(), strict=True)]
+        mark = state.getCurrentWatermarkMs()
+        passed = sorted(w for w in waiting if w[0] // 1_000_000 + 1 < mark)
+        waiting = [w for w in waiting if w[0] // 1_000_000 + 1 >= mark]
+        out = []
+        for at, i in passed:
+            if at // 1_000 > last:
+                out.append((name[0], i, pd.Timestamp(at)))
+                last = at // 1_000 + span * 1_000
+        timer = min((w[0] // 1_000_000 + 1 for w in waiting), default=last // 1_000 + 1)
+        if waiting or timer > mark:
+            state.update((last, json.dumps(waiting)))
+            state.setTimeoutTimestamp(max(timer, mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=[key, ident, ts])
+
+    dated = stream.select(key, ident, ts).withWatermark(ts, f"{days} days")
+    out = f"{key} {fields[key]}, {ident} {fields[ident]}, {ts} {fields[ts]}"
+    return dated.groupBy(key).applyInPandasWithState(work, out, "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def freshness(stream: DataFrame, category: str = "category", ts: str = "ts", delay: str = "3 days") -> DataFrame:
     """Rows per category and day; a day is final once the watermark has passed it."""
     counted = stream.withWatermark(ts, delay).groupBy(F.window(ts, "1 day"), category).agg(F.count(F.lit(1)).alias("n"))
