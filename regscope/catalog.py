@@ -129,13 +129,17 @@ def a7_flatten_statute(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS law_id, CAST(l_linenumber AS STRING) AS number, l_returnflag AS title, '수량은 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '이며 법 제3조를 따른다' AS body FROM {lineitem}")
 def a8_split_articles(spark: SparkSession, d: str) -> DataFrame:
+    return records.split_articles(rule_texts(spark, d), F.col("text"), "law_id").drop("pos")
+
+
+def rule_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Rule texts of the order lines, with line breaks or in one line."""
     lines = t(spark, d, "lineitem")
     text = F.concat(F.lit("제"), F.col("l_linenumber").cast("string"), F.lit("조("), F.col("l_returnflag"), F.lit(") 수량은 "), F.col("l_quantity").cast("long").cast("string"), F.lit("이며 법 제3조를 따른다"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", text.alias("x")))), lambda p: p["x"])
     docs = lines.groupBy(F.col("l_orderkey").alias("law_id")).agg(parts.alias("p"))
     docs = docs.select("law_id", F.concat(F.lit("머리말 "), F.expr("array_join(p, if(law_id % 2 = 0, '\\n', ' '))")).alias("text"))
-    docs = docs.withColumn("text", F.when(F.col("law_id") % 2 == 0, F.replace("text", F.lit("머리말 "), F.lit("머리말\n"))).otherwise(F.col("text")))
-    return records.split_articles(docs, F.col("text"), "law_id").drop("pos")
+    return docs.withColumn("text", F.when(F.col("law_id") % 2 == 0, F.replace("text", F.lit("머리말 "), F.lit("머리말\n"))).otherwise(F.col("text")))
 
 
 def _unescape(x: str) -> str:
@@ -589,10 +593,9 @@ def d6_collect_refs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT count(*) FILTER (NOT noise AND NOT overseas) AS n_home, count(*) FILTER (NOT noise AND overseas) AS n_overseas, (SELECT count(*) FROM ({B.BILLS}) WHERE {any_hit('status', D.STAGE_WORDS)}) AS n_bills, count(*) FILTER (noise) AS n_dropped FROM (SELECT {NOISE_SQL} AS noise, {OVERSEAS_SQL} AS overseas FROM {KR})")
 def d7_digest_totals(spark: SparkSession, d: str) -> DataFrame:
-    rows = kr(spark, d)
-    kept = rows.where(~C.is_noise(F.col("title"), F.col("body"), F.col("agency")))
+    title, body = F.col("title"), F.col("body")
     bills = B.view(spark, d, B.BILLS).where(T.contains_any(F.col("status"), D.STAGE_WORDS))
-    return quality.digest_totals(rows, kept, C.is_overseas(F.col("title"), F.col("body")), bills)
+    return quality.digest_totals(kr(spark, d), ~C.is_noise(title, body, F.col("agency")), C.is_overseas(title, body), bills)[1]
 
 
 @query("SELECT c_custkey, 'P' || CASE WHEN m + r < 1000 THEN lpad(CAST(m + r AS STRING), 3, '0') ELSE CAST(m + r AS STRING) END AS id FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r FROM {customer} WHERE c_custkey % 2 = 1), (SELECT max(c_custkey) AS m FROM {customer} WHERE c_custkey % 2 = 0)")
@@ -1158,3 +1161,21 @@ def k_sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register(spark)
     asked = "event_type || '  Q' || CAST(user_id % 50 AS STRING)"
     return spark.sql(f"SELECT event_id, normalize_question(event_type || '  Q') AS question, cache_key({asked}, array('a', event_type)) AS cache_key, word_jaccard(event_type || ' x', 'click x') AS near, article_number('제' || CAST(event_id % 9 AS STRING) || '조의2') AS number, percent_of(event_id % 7, 8) AS pct FROM {{e}}", e=t(spark, d, "events"))
+
+
+@query("SELECT l_orderkey AS law_id, CAST(l_linenumber AS STRING) AS number, l_returnflag AS title, '수량은 ' || CAST(CAST(l_quantity AS BIGINT) AS STRING) || '이며 법 제3조를 따른다' AS body FROM {lineitem}")
+def k_split_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Articles by the SQL table function."""
+    from regscope.functions.register import register
+
+    register(spark)
+    return spark.sql("SELECT r.law_id, s.number, s.title, s.body FROM {r} r, LATERAL split_articles(r.text) s", r=rule_texts(spark, d))
+
+
+@query("SELECT doc_id, count(*) AS n_lines, count(*) FILTER (length(line) BETWEEN 1 AND 40) AS n_heads FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM {documents}) GROUP BY doc_id")
+def k_text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by the SQL table function."""
+    from regscope.functions.register import register
+
+    register(spark)
+    return spark.sql("SELECT d.doc_id, count(*) AS n_lines, count_if(char_length(l.line) BETWEEN 1 AND 40) AS n_heads FROM {d} d, LATERAL text_lines(d.text) l GROUP BY d.doc_id", d=t(spark, d, "documents"))

@@ -1,4 +1,5 @@
-"""SQL names of the functions, for use in ``spark.sql``: SQL functions that Catalyst inlines, no Python behind them."""
+"""SQL names of the functions, for use in ``spark.sql``: SQL functions and table functions that Catalyst inlines, no Python
+behind them."""
 
 from __future__ import annotations
 
@@ -23,9 +24,33 @@ FUNCTIONS = {
     "article_number": ("a STRING", "INT", r"coalesce(try_cast(nullif(regexp_extract(coalesce(a, ''), '(\\d+)', 1), '') AS INT), 0)"),
 }
 
+#: An article's heading: number, branch or second number.
+ARTICLE = r"제\s*(\d+)\s*(?:[-\s]\s*(\d+))?\s*(?:조의\s*(\d+))?\s*조"
+_PLAIN = r"regexp_replace(coalesce(a, ''), r'(?U)^\s+|\s+$', '')"
+
+#: name: (parameters, columns, query); for use as ``FROM rows, LATERAL name(column)``
+TABLE_FUNCTIONS = {
+    "split_articles": (
+        "a STRING",
+        "pos INT, number STRING, title STRING, body STRING",
+        rf"""SELECT pos, concat(h1, CASE WHEN h2 <> '' THEN concat('-', h2) WHEN h3 <> '' THEN concat('-', h3) ELSE '' END), strip_text(h4), strip_text(rest)
+        FROM (SELECT pos, regexp_extract(piece, head, 1) AS h1, regexp_extract(piece, head, 2) AS h2, regexp_extract(piece, head, 3) AS h3, regexp_extract(piece, head, 4) AS h4, regexp_replace(piece, head, '') AS rest
+        FROM (SELECT pos, piece, CASE WHEN contains({_PLAIN}, chr(10)) THEN r'(?U)^\s*{ARTICLE}\s*(?:\(([^)]*)\))?' ELSE r'(?U)^\s*{ARTICLE}\s*\(([^)]+)\)' END AS head
+        FROM posexplode(CASE WHEN contains({_PLAIN}, chr(10)) THEN split({_PLAIN}, r'(?Um)(?=^\s*{ARTICLE})') ELSE split({_PLAIN}, r'(?U)(?={ARTICLE}\s*\([^)]+\))') END) AS t(pos, piece)))
+        WHERE h1 <> '' AND strip_text(rest) <> ''""",
+    ),
+    "text_lines": (
+        "a STRING",
+        "pos INT, line STRING",
+        "SELECT pos, line FROM posexplode(split(coalesce(a, ''), chr(10))) AS t(pos, line)",
+    ),
+}
+
 
 def register(spark: SparkSession) -> list[str]:
     """Make the functions known to ``spark.sql`` in this session; their names."""
     for name, (parameters, kind, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
-    return list(FUNCTIONS)
+    for name, (parameters, columns, query) in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS TABLE({columns}) RETURN {query}")
+    return [*FUNCTIONS, *TABLE_FUNCTIONS]

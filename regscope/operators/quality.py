@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from regscope.operators.tables import checkpointed
+
 
 def category_counts(rows: DataFrame, category: str, day: Column, as_of: str, categories: DataFrame | None = None) -> DataFrame:
     """Per category: all rows, those of ``as_of`` and of the seven days up to it; listed categories without rows show 0."""
@@ -55,9 +57,15 @@ def quality_report(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return first.select("tbl", "metric", F.col("f.severity").alias("severity"), F.col("f.message").alias("message"), F.col("f.value").alias("value"))
 
 
-def digest_totals(before: DataFrame, after: DataFrame, overseas: Column, bills: DataFrame) -> DataFrame:
-    """Counts of one digest: home, overseas, bills, and how many duplicates went."""
-    kept = after.agg(F.count_if(~overseas).alias("n_home"), F.count_if(overseas).alias("n_overseas"), F.count(F.lit(1)).alias("n_kept"))
-    all_rows = before.agg(F.count(F.lit(1)).alias("n_before"))
-    n_bills = bills.agg(F.count(F.lit(1)).alias("n_bills"))
-    return kept.crossJoin(all_rows).crossJoin(n_bills).select("n_home", "n_overseas", "n_bills", (F.col("n_before") - F.col("n_kept")).alias("n_dropped"))
+def digest_totals(rows: DataFrame, keep: Column, overseas: Column, bills: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a digest, stored, and its counts: home, overseas, bills, and how many rows went.
+
+    The counts are observed while the rows are filtered and written, so the rows are read once.
+    """
+    spark, before, after = rows.sparkSession, Observation(), Observation()
+    kept = rows.observe(before, F.count(F.lit(1)).alias("n")).where(keep)
+    kept = kept.observe(after, F.count(F.lit(1)).alias("n"), F.count_if(overseas).alias("overseas"))
+    stored = checkpointed(kept)
+    n, own = before.get["n"], after.get
+    counts = [(own["n"] - own["overseas"], own["overseas"], bills.count(), n - own["n"])]
+    return stored, spark.createDataFrame(counts, "n_home long, n_overseas long, n_bills long, n_dropped long")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regscope.functions import text as T
+from regscope.functions.register import ARTICLE
 
-ARTICLE = r"제\s*(\d+)\s*(?:[-\s]\s*(\d+))?\s*(?:조의\s*(\d+))?\s*조"
 BODY_CHARS = 5000
 
 
