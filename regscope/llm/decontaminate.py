@@ -187,10 +187,13 @@ def find(items: Items, text: pa.Array, similarity: float) -> list[tuple[int, int
         rows.append(np.stack((own[row], item, place[row] - at[own[row]], distance, near), axis=1)[near >= similarity])
     for a in range(0, len(doc), WINDOWS):
         d, s, n = doc[a : a + WINDOWS], start[a : a + WINDOWS], size[a : a + WINDOWS]
-        # sums of signs of all windows from the sums up to each place
-        first = s.min()
-        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bit_signs(shingles[first : (s + n).max()]), axis=0, dtype=np.int32)))
-        row, item, distance = items.near(prints(sums[s + n - first] - sums[s - first]))
+        # sums of signs of all windows from the sums up to each place that a window covers
+        first, last = s.min(), (s + n).max()
+        edge = np.bincount(s - first, minlength=last - first + 1) - np.bincount(s + n - first, minlength=last - first + 1)
+        covered = np.cumsum(edge)[:-1] > 0
+        at = np.concatenate(([0], np.cumsum(covered)))
+        sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bit_signs(shingles[first:last][covered]), axis=0, dtype=np.int32)))
+        row, item, distance = items.near(prints(sums[at[s + n - first]] - sums[at[s - first]]))
         same = (items.sizes[item] == n[row]) | (n_words[d[row]] < items.words[item]) & (n[row] == np.diff(upto)[d[row]])
         row, item, distance = row[same], item[same], distance[same]
         near = similarities(items, shingles, s[row], n[row], item)
