@@ -376,6 +376,27 @@ def test_carried_values_cross_tasks(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("files", [1, 4])
+def test_first_rows_by_timers_do_not_depend_on_batches(spark, files):
+    import datetime
+
+    r = random.Random(2)
+    start = datetime.datetime(2024, 1, 1)
+    rows = sorted((start + datetime.timedelta(hours=r.randrange(24 * 20)), k, f"u{r.randrange(6)}") for k in range(120))
+    path = tables.shared_path(spark)
+    for k in range(4):
+        part = spark.createDataFrame([(u, i, t) for t, i, u in rows[k * 30 : k * 30 + 30]], "url string, event_id long, ts timestamp")
+        part.coalesce(1).write.mode("append").parquet(path)
+    out = jobs.available_now(jobs.first_in_order(jobs.file_stream(spark, path, files)).select("url", "event_id"))
+    got = {(x.url, x.event_id) for x in spark.read.schema("url string, event_id long").parquet(out).collect()}
+    mark, last, want = rows[-1][0] - datetime.timedelta(days=3), {}, set()
+    for t, i, u in rows:
+        if t < mark and (u not in last or t > last[u] + datetime.timedelta(days=3)):
+            last[u] = t
+            want.add((u, i))
+    assert got == want
+
+
 def test_automaton_finds_all_words_of_large_dictionaries(spark):
     r = random.Random(8)
     words = list(dict.fromkeys("".join(r.choice("ab가나") for _ in range(r.randrange(1, 9))) for _ in range(30_000)))
