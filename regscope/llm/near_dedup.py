@@ -275,7 +275,7 @@ def near_classes(
     each = links.select(F.col("a").alias("node"), F.col("b").alias("partner"), "similarity").unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("partner"), "similarity"))
     each = each.groupBy("node").agg(F.max(F.struct("similarity", "partner")).alias("link")).select("node", "link.similarity", "link.partner")
     names = node.select(F.col("node").alias("partner"), F.col("first.doc_id").alias("partner_id"))
-    found = found.join(stored(each.join(names, "partner").drop("partner")), "node", "left")
+    found = stored(found.join(stored(each.join(names, "partner").drop("partner")), "node", "left"))  # grows with the rows: not to be broadcast
     out = slim.select("doc_id", "text_hash", "node").withColumn("row", F.monotonically_increasing_id())
     lead = F.col("leads") & F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     out = stored(out.join(found, "node").withColumn("lead", lead))
