@@ -86,11 +86,22 @@ class CuckooFilter:
             bucket = self._other(bucket, mark)
         return not len(mark)
 
+    def _clear(self, bucket: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Free one slot of its bucket for each mark that is there; which ones were found."""
+        order = np.lexsort((mark, bucket))
+        where, what = bucket[order], mark[order]
+        start = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]) | (what[1:] != what[:-1]))))
+        rank = np.arange(len(where)) - np.repeat(start, np.diff(np.concatenate((start, [len(where)]))))
+        same = self.table[where] == what[:, None]
+        found = rank < same.sum(axis=1)
+        slot = (np.cumsum(same, axis=1) > rank[:, None]).argmax(axis=1)
+        self.table[where[found], slot[found]] = 0
+        done = np.zeros(len(bucket), bool)
+        done[order[found]] = True
+        return done
+
     def remove(self, keys: np.ndarray) -> None:
-        """Delete keys that are in the filter; deleting others may drop a key of the same print."""
-        for mark, one in zip(self._print(keys), self._first(keys), strict=True):
-            for bucket in (one, int(self._other(np.array([one]), np.array([mark]))[0])):
-                at = np.flatnonzero(self.table[bucket] == mark)
-                if len(at):
-                    self.table[bucket, at[0]] = 0
-                    break
+        """Delete distinct keys that are in the filter; deleting others may drop a key of the same print."""
+        mark, bucket = self._print(keys), self._first(keys)
+        left = ~self._clear(bucket, mark)
+        self._clear(self._other(bucket[left], mark[left]), mark[left])

@@ -4,6 +4,7 @@ State is three tables: ``postings`` (which document holds which key), ``refs`` (
 and how many postings it has) and ``filters`` (per shard of the keys, a cuckoo filter of the keys that repeat). A line is
 first asked for in its shard's filter; only lines that may repeat meet the exact table, which alone decides. Documents
 can be added and taken away: counts and filters follow, so a line that was dropped comes back when it is single again.
+A change appends to these tables what it touches, and all is rewritten only once the changes weigh half as much as the base.
 
 A key is named by the SHA-256 of its bytes. Keys are counted before the shuffle, so a line that is everywhere is one row
 from each task.
@@ -33,10 +34,40 @@ NO_ID = (1 << 63) - 1
 
 @dataclass
 class LineState:
-    postings: DataFrame  # key, doc_id
-    refs: DataFrame  # shard, key, first_doc, last_doc, n_docs
-    filters: DataFrame  # shard, bits
+    """The tables as first written (turn 0) and what each change appended: a key's and a shard's latest row holds, a posting
+    holds unless its document went at a later turn."""
+
+    posted: DataFrame  # key, doc_id, turn
+    counted: DataFrame  # key, first_doc, last_doc, n_docs (0: nobody holds the key), turn
+    built: DataFrame  # shard, bits, turn
     shards: int
+    repeating: int
+    gone: DataFrame | None = None  # doc_id, turn
+    turn: int = 0
+
+    @property
+    def postings(self) -> DataFrame:
+        """``key, doc_id``"""
+        if self.gone is None:
+            return self.posted.select("key", "doc_id")
+        until = self.gone.groupBy("doc_id").agg(F.max("turn").alias("until"))
+        return self.posted.join(until, "doc_id", "left").where("until IS NULL OR turn > until").select("key", "doc_id")
+
+    @property
+    def refs(self) -> DataFrame:
+        """``key, first_doc, last_doc, n_docs, shard``"""
+        rows = self.counted
+        if self.turn:
+            latest = F.max_by(F.struct("first_doc", "last_doc", "n_docs"), "turn").alias("now")
+            rows = rows.groupBy("key").agg(latest).select("key", "now.*").where("n_docs > 0")
+        return rows.select("key", "first_doc", "last_doc", "n_docs", shard_of(self.shards).alias("shard"))
+
+    @property
+    def filters(self) -> DataFrame:
+        """``shard, bits``"""
+        if not self.turn:
+            return self.built.select("shard", "bits")
+        return self.built.groupBy("shard").agg(F.max_by("bits", "turn").alias("bits"))
 
 
 def line_keys(text: pa.Array, min_chars: int) -> tuple[pa.Array, np.ndarray, list[bytes | None]]:
@@ -75,9 +106,8 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return rows.mapInArrow(work, "key binary, doc_id long")
 
 
-def count_references(rows: DataFrame, shards: int) -> DataFrame:
-    counted = rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
-    return counted.withColumn("shard", shard_of(shards))
+def count_references(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count(F.lit(1)).alias("n_docs"))
 
 
 def build_filters(refs: DataFrame) -> DataFrame:
@@ -90,40 +120,72 @@ def build_filters(refs: DataFrame) -> DataFrame:
     return refs.where("first_doc < last_doc").select("shard", "key").groupBy("shard").applyInArrow(build, "shard int, bits binary")
 
 
+def _based(rows: DataFrame, refs: DataFrame) -> LineState:
+    """State of stored postings and counts. Shards grow in number with the repeating keys, so that each stays small."""
+    repeating = refs.where("first_doc < last_doc").count()
+    shards = max(16, -(-repeating // SHARD_KEYS))
+    filters = stored(build_filters(refs.withColumn("shard", shard_of(shards))))
+    rows, refs, filters = (x.withColumn("turn", F.lit(0)) for x in (rows, refs, filters))
+    return LineState(rows, refs, filters, shards, repeating)
+
+
 def build_state(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineState:
-    """State of ``docs``. Shards grow in number with the repeating keys, so that each stays small."""
+    """State of ``docs``."""
     rows = stored(postings(docs, id_col, text_col, min_chars))
-    refs = stored(count_references(rows, 1))
-    shards = max(16, -(-refs.where("first_doc < last_doc").count() // SHARD_KEYS))
-    refs = refs.withColumn("shard", shard_of(shards))
-    return LineState(rows, refs, stored(build_filters(refs)), shards)
+    return _based(rows, stored(count_references(rows)))
 
 
 def insert_documents(state: LineState, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> LineState:
-    """State with ``docs`` added (new identifiers). Filters get the keys that have begun to repeat."""
-    new = stored(postings(docs, id_col, text_col, min_chars))
-    refs = state.refs.unionByName(count_references(new, state.shards)).groupBy("shard", "key")
-    refs = stored(refs.agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("n_docs").alias("n_docs")))
-    return _followed(state, stored(state.postings.unionByName(new)), refs)
+    """State with ``docs`` added: their postings are appended, their keys' counts and shards' filters written anew.
+
+    Rows of an identifier that is there already belong to the same document: only keys that it lacks are added, so that
+    inserting a document twice changes nothing.
+    """
+    rows = stored(postings(docs, id_col, text_col, min_chars).distinct())
+    held = state.postings.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = stored(rows.join(held, ["key", "doc_id"], "left_anti"))
+    counts = count_references(rows)
+    before = state.refs.join(counts.select("key"), "key", "left_semi").select(*counts.columns)
+    after = before.unionByName(counts).groupBy("key").agg(F.min("first_doc").alias("first_doc"), F.max("last_doc").alias("last_doc"), F.sum("n_docs").alias("n_docs"))
+    return _changed(state, after, rows, None)
 
 
 def delete_documents(state: LineState, gone: DataFrame, id_col: str = "doc_id") -> LineState:
-    """State without the documents named in ``gone``; keys that no longer repeat leave the filters."""
+    """State without the documents named in ``gone`` (others are ignored): their keys are counted anew, and keys that no
+    longer repeat leave the filters. A document may come back later."""
     ids = gone.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-    left = stored(state.postings.join(ids, "doc_id", "left_anti").select("key", "doc_id"))
-    touched = state.postings.join(ids, "doc_id", "left_semi").select("key").distinct()
-    again = count_references(left.join(touched, "key", "left_semi"), state.shards)
-    return _followed(state, left, stored(state.refs.join(touched, "key", "left_anti").unionByName(again)))
+    ids = stored(state.postings.select("doc_id").distinct().join(ids, "doc_id", "left_semi"))
+    touched = stored(state.postings.join(ids, "doc_id", "left_semi").select("key").distinct())
+    left = state.postings.join(ids, "doc_id", "left_anti").join(touched, "key", "left_semi")
+    after = touched.join(count_references(left), "key", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("long")))
+    return _changed(state, after, None, ids)
+
 
+def compacted(state: LineState) -> LineState:
+    """The same state in one piece, with as many shards as its keys need."""
+    return _based(stored(state.postings), stored(state.refs.drop("shard")))
 
-def _followed(state: LineState, rows: DataFrame, refs: DataFrame) -> LineState:
-    """Filters brought in line with ``refs`` by inserting and deleting the keys whose repetition changed."""
-    repeat = lambda r: r.where("first_doc < last_doc").select("shard", "key")
-    old, new = repeat(state.refs), repeat(refs)
-    change = new.join(old, ["shard", "key"], "left_anti").withColumn("add", F.lit(True)).unionByName(old.join(new, ["shard", "key"], "left_anti").withColumn("add", F.lit(False)))
+
+def _changed(state: LineState, after: DataFrame, rows: DataFrame | None, ids: DataFrame | None) -> LineState:
+    """State with the counts ``after`` of touched keys, new postings or gone documents; only shards with a key that has begun
+    or ceased to repeat are written. Once changes are half as many rows as the base's postings or shards are twice too full, all is written in one piece.
+    """
+    turn = F.lit(state.turn + 1).alias("turn")
+    after = stored(after.select("key", "first_doc", "last_doc", "n_docs"))
+    was = state.refs.where("first_doc < last_doc").select("key", F.lit(True).alias("was"))
+    now = F.coalesce(F.col("first_doc") < F.col("last_doc"), F.lit(False))
+    change = after.join(was, "key", "left").select("key", now.alias("add"), F.coalesce("was", F.lit(False)).alias("was"))
+    change = stored(change.where("add <> was").select(shard_of(state.shards).alias("shard"), "key", "add"))
+    repeating = state.repeating + (change.agg(F.sum(F.when(F.col("add"), 1).otherwise(-1))).first()[0] or 0)
+    append = lambda had, new: had if new is None else new.select("*", turn) if had is None else had.unionByName(new.select("*", turn))
+    grown = LineState(append(state.posted, rows), append(state.counted, after), state.built, state.shards, repeating, append(state.gone, ids), state.turn + 1)
+    base = state.posted.where("turn = 0").count()
+    added = grown.posted.where("turn > 0").count() + grown.counted.where("turn > 0").count()
+    if 2 * added > base or repeating > 2 * SHARD_KEYS * state.shards:
+        return compacted(grown)
 
     def update(had: pa.Table, changed: pa.Table) -> pa.Table:
-        shard = (had if had.num_rows else changed).column("shard")[0].as_py()
+        shard = changed.column("shard")[0].as_py()
         add = changed.column("add").to_numpy()
         keys = number(changed.column("key").to_pylist())
         made = CuckooFilter.from_bytes(had.column("bits")[0].as_py()) if had.num_rows else CuckooFilter(len(keys))
@@ -131,10 +193,12 @@ def _followed(state: LineState, rows: DataFrame, refs: DataFrame) -> LineState:
         bits = made.to_bytes() if made.add(keys[add]) else None  # None: too full, to be built anew
         return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([bits], pa.binary())})
 
-    kept = stored(state.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(update, "shard int, bits binary"))
-    full = kept.where("bits IS NULL").select("shard")
-    filters = kept.where("bits IS NOT NULL").unionByName(build_filters(refs.join(full, "shard", "left_semi")))
-    return LineState(rows, refs, stored(filters), state.shards)
+    had = state.filters.join(change.select("shard").distinct(), "shard", "left_semi")
+    made = stored(had.groupBy("shard").cogroup(change.groupBy("shard")).applyInArrow(update, "shard int, bits binary"))
+    full = made.where("bits IS NULL").select("shard")
+    again = stored(build_filters(grown.refs.join(full, "shard", "left_semi")))
+    grown.built = append(state.built, made.where("bits IS NOT NULL").unionByName(again))
+    return grown
 
 
 def maybe_repeated(state: LineState, limit: int = FILTER_LIMIT, rows: int = ASKED_ROWS) -> DataFrame:

@@ -449,6 +449,30 @@ def test_line_dedup_and_its_reversal(spark, monkeypatch):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_changes_write_what_they_touch(spark, monkeypatch):
+    rows = [(i, t, "s") for i, t in line_rows()] + [(1000 + i, f"a line of its own, {i}\nsecond line of {i}", "s") for i in range(400)]
+    old, new = [x for x in rows if x[0] != 50], [x for x in rows if x[0] == 50]
+    state = line_dedup.build_state(docs(spark, old))
+    grown = line_dedup.insert_documents(state, docs(spark, new))
+    size = lambda s, at: sum(x.where(f"turn {at}").count() for x in (s.posted, s.counted))
+    assert grown.turn == 1 and 0 < size(grown, "= 1") < 0.05 * size(grown, "= 0")
+    keys = lambda s: sorted((bytes(r.key), r.first_doc, r.last_doc, r.n_docs) for r in s.refs.collect())
+    whole = line_dedup.build_state(docs(spark, rows))
+    assert keys(grown) == keys(whole) and grown.repeating == whole.repeating
+    twice = line_dedup.insert_documents(grown, docs(spark, new))
+    assert keys(twice) == keys(whole) and twice.postings.count() == whole.postings.count()
+    back = line_dedup.delete_documents(twice, docs(spark, [*new, (99_999, "not there", "s")]))
+    assert keys(back) == keys(state) and back.repeating == state.repeating
+    again = line_dedup.insert_documents(back, docs(spark, new))
+    assert keys(again) == keys(whole) and again.turn == 4
+    assert collected(line_dedup.dedup_lines(docs(spark, rows), again)) == brute_lines([x[:2] for x in rows])
+    emptied = line_dedup.delete_documents(again, docs(spark, rows))
+    assert emptied.turn == 0 and emptied.repeating == 0 and not emptied.refs.count() and not emptied.postings.count()
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1)
+    split = line_dedup.insert_documents(line_dedup.build_state(docs(spark, old[:3])), docs(spark, [(5000, "\n".join(f"line that repeats {k}" for k in range(40)), "s")] + [(5001, "\n".join(f"line that repeats {k}" for k in range(40)), "s")]))
+    assert split.turn == 0 and split.shards == split.repeating > 32
+
+
 def test_cuckoo_filter():
     r = np.random.default_rng(0)
     keys = np.unique(r.integers(0, 2**63, 20_000).astype(np.uint64))
