@@ -67,6 +67,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    give_back()
+
+
+def give_back() -> None:
+    """Unused memory of this process goes back to the machine."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
         ctypes.CDLL(None).malloc_trim(0)

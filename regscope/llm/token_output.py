@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import threading
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -26,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regscope.llm.common import shuffle_width, slices
+from regscope.llm.common import give_back, shuffle_width, slices
 
 BLOCK = 256
 PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 18
 MAGIC = b"PFOR"
-SLICE = 6 << 20
+SLICE = 3 << 20
+REST_SECONDS = 10
 
 
 def bit_width(values: np.ndarray) -> np.ndarray:
@@ -125,7 +127,8 @@ class ChunkEncoder:
 
     For a tokenizer that lower-cases, drops white space and splits letters from other signs, a text's ids are those of its
     runs one after another, and those of a run of letters with punctuation after it are those of its two parts. Runs that
-    were seen are remembered, up to ``limit`` of them; a worker process keeps what it knows for its next tasks.
+    were seen are remembered, up to ``limit`` of them; a worker process keeps what it knows for its next tasks, and forgets it
+    once no task has asked for ``REST_SECONDS``, as other stages need the memory.
     """
 
     TAIL = ",.!?;:"
@@ -146,15 +149,36 @@ class ChunkEncoder:
         self._clear()
 
     @staticmethod
-    def of_worker(path: str) -> ChunkEncoder:
-        """This worker's encoder of the vocabulary, from an earlier task if there was one."""
+    def held_by_worker() -> dict:
+        """What this worker process keeps between tasks."""
         import sys
         import types
 
-        held = sys.modules.setdefault("regscope_worker_state", types.ModuleType("regscope_worker_state")).__dict__
-        if path not in held:
-            held[path] = ChunkEncoder(path)
-        return held[path]
+        return sys.modules.setdefault("regscope_worker_state", types.ModuleType("regscope_worker_state")).__dict__
+
+    @staticmethod
+    def of_worker(path: str) -> ChunkEncoder | WholeEncoder:
+        """This worker's encoder of the vocabulary, from an earlier task if there was one."""
+        held = ChunkEncoder.held_by_worker()
+        if timer := held.pop("timer", None):
+            timer.cancel()
+        encoders = held.setdefault("encoders", {})
+        if path not in encoders:
+            encoders[path] = ChunkEncoder(path) if splits_at_blanks(path) else WholeEncoder(path)
+        return encoders[path]
+
+    @staticmethod
+    def rest(seconds: float = REST_SECONDS) -> None:
+        """Forget the worker's encoders unless a task asks for one within ``seconds``."""
+
+        def forget() -> None:
+            ChunkEncoder.held_by_worker().pop("encoders", None)
+            give_back()
+
+        timer = threading.Timer(seconds, forget)
+        timer.daemon = True
+        ChunkEncoder.held_by_worker()["timer"] = timer
+        timer.start()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
@@ -167,7 +191,8 @@ class ChunkEncoder:
         if not head or head[-1] not in self.LETTERS:
             head = run
         tail = run[len(head) :]
-        return (head.lower() if head.isascii() and "|" not in head else head), tail
+        low = head.lower() if head.isascii() and "|" not in head else head
+        return (run if low == run else low), tail  # an equal run is held once
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Runs of letters are one word each, so many go through the library as one text, parted again at word ends."""
@@ -262,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = tokenizer if isinstance(tokenizer, str) else tokenizer()
-        encoder = ChunkEncoder.of_worker(where) if splits_at_blanks(where) else WholeEncoder(where)
+        encoder = ChunkEncoder.of_worker(where)
         part = TaskContext.get().partitionId()
         held, docs_in, sizes, total, first, segment = [], [], [], 0, 0, 0
 
@@ -297,6 +322,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | Callable[[], str],
                 sizes.append(n)
                 total += n
                 at += n
+        ChunkEncoder.rest()
         if total:
             yield flush()
 
