@@ -25,7 +25,7 @@ def j1_unseen_urls(spark: SparkSession, d: str) -> DataFrame:
     """Addresses never logged before, through the exact log."""
     log = tables.shared_path(spark)
     jobs.available_now(events(spark, d), writer=jobs.batch_writer(log, lambda b: b.select("url"), "url"))
-    return spark.read.parquet(log).select("url")
+    return jobs.logged(spark, log, "url string")
 
 
 @K.query("SELECT category, day, n FROM (SELECT event_type AS category, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, (SELECT max(ts) FROM {events}) AS last, CAST(ts AS DATE) AS d FROM {events} GROUP BY 1, 2, CAST(ts AS DATE)) WHERE CAST(d AS TIMESTAMP) + INTERVAL 1 DAY <= last - INTERVAL 3 DAY")
@@ -46,7 +46,7 @@ def j5_grade_stream(spark: SparkSession, d: str) -> DataFrame:
 @K.query("SELECT 'u/' || CAST(user_id AS STRING) || '/' || event_type AS url, count(*) AS hits FROM {events} GROUP BY 1")
 def j7_hit_counter(spark: SparkSession, d: str) -> DataFrame:
     out = jobs.available_now(jobs.hit_counts(events(spark, d), "url"), "update")
-    return spark.read.parquet(out).groupBy("url").agg(F.max("hits").alias("hits"))
+    return jobs.logged(spark, out, "url string, hits long").groupBy("url").agg(F.max("hits").alias("hits"))
 
 
 @K.query("""
@@ -72,7 +72,7 @@ def j3_one_post_a_day(spark: SparkSession, d: str) -> DataFrame:
     log = tables.shared_path(spark)
     work = lambda b: b.groupBy(F.to_date("ts").cast("string").alias("post_date")).agg(F.count(F.lit(1)).alias("total_items"))
     jobs.available_now(events(spark, d), writer=jobs.batch_writer(log, work, "post_date"))
-    return spark.read.parquet(log).select("post_date")
+    return jobs.logged(spark, log, "post_date string")
 
 
 def _unlike_sql() -> str:
@@ -92,4 +92,4 @@ def j6_unlike_yesterday(spark: SparkSession, d: str) -> DataFrame:
     log = tables.shared_path(spark)
     keyed = lambda b: jobs.unlike_yesterday(static)(b).select(F.col("ord").cast("string").alias("key"), "ord", T.prefix(F.col("title"), 80).alias("title"))
     jobs.available_now(stream, writer=jobs.batch_writer(log, keyed, "key"))
-    return spark.read.parquet(log).select("ord", "title")
+    return jobs.logged(spark, log, "ord long, title string")

@@ -10,6 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -102,6 +103,17 @@ def batch_writer(log_path: str, work: Callable[[DataFrame], DataFrame], key: str
     return write
 
 
+def logged(spark: SparkSession, log_path: str, schema: str) -> DataFrame:
+    """What :func:`batch_writer` wrote to ``log_path``; without rows, as when each batch dropped all of its own, an empty table."""
+    blank = spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(log_path).select(*blank.columns)
+    except AnalysisException as e:  # no batch ran
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return blank
+
+
 def unlike_yesterday(static: DataFrame, **rule: object) -> Callable[[DataFrame], DataFrame]:
     """For ``batch_writer``: drop rows that are similar to the stored day."""
     return lambda batch: simjoin.drop_similar(batch, static, **rule)

@@ -432,3 +432,14 @@ def test_digest_sections_and_empty_days(spark):
     got = {r.pub_date: (r.n, r.text) for r in digest.digest_text(rows, bills=bills, titles=titles, days=days).collect()}
     assert got["d1"] == (4, "국내 동향 (1건)\n🔴 [상]  #1  (d1)\none\n· 기관: -\n· 원문: l1\n\n입법동향 (1건)\n⚖️ [입법]  #2\nbill\n· 부처: -\n· 단계: 공포\n· 원문: l2\n\n전체 기사 (2건)\n1. t4\n    l4\n2. t5")
     assert got["d2"] == (1, "입법동향 (1건)\n⚖️ [입법]  #1\nother\n· 부처: 부처\n· 단계: 시행") and got["d3"][0] == 0
+
+
+def test_log_of_batches_that_drop_all_their_rows_is_empty(spark):
+    rows = spark.createDataFrame([("a",), ("b",)], "url string")
+    path, log = tables.shared_path(spark), tables.shared_path(spark)
+    rows.write.parquet(path)
+    jobs.available_now(jobs.file_stream(spark, path, 2), writer=jobs.batch_writer(log, lambda b: b.where("url > 'b'"), "url"))
+    assert jobs.logged(spark, log, "url string").collect() == []
+    assert jobs.logged(spark, tables.shared_path(spark), "url string").collect() == []
+    jobs.available_now(jobs.file_stream(spark, path, 2), writer=jobs.batch_writer(log, lambda b: b, "url"))
+    assert sorted(jobs.logged(spark, log, "url string").collect()) == [("a",), ("b",)]
