@@ -443,3 +443,15 @@ def test_log_of_batches_that_drop_all_their_rows_is_empty(spark):
     assert jobs.logged(spark, tables.shared_path(spark), "url string").collect() == []
     jobs.available_now(jobs.file_stream(spark, path, 2), writer=jobs.batch_writer(log, lambda b: b, "url"))
     assert sorted(jobs.logged(spark, log, "url string").collect()) == [("a",), ("b",)]
+
+
+def test_references_without_semicolon_stay_as_written(spark):
+    from regscope.functions import text as T
+
+    text = "a&amp b&amp;amp c&copy;&copyx; &#65;&#66 &; &"
+    rows = spark.createDataFrame([(1, f"<article>{text}</article><table><tr><td>{text}</td><td><a href='?a=1&lt=2&amp;b'>x</a></td></tr></table>")], "page_id long, html string")
+    want = "a&amp b&amp c©&copyx; A&#66 &; &"
+    assert html.extract_main_text(rows, [("article", "", "")], min_len=3).first().main_text == want
+    assert tuple(html.html_table_rows(rows).select("cells", "href").first()) == ([want, "x"], "?a=1&lt=2&b")
+    plain = F.lit(text)
+    assert tuple(spark.range(1).select(T.clean_entities(plain, bare=False), T.clean_entities(plain)).first()) == (want, "a& b& c©©x; AB &; &".replace("b&", "b&amp", 1))
