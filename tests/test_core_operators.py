@@ -455,3 +455,11 @@ def test_references_without_semicolon_stay_as_written(spark):
     assert tuple(html.html_table_rows(rows).select("cells", "href").first()) == ([want, "x"], "?a=1&lt=2&b")
     plain = F.lit(text)
     assert tuple(spark.range(1).select(T.clean_entities(plain, bare=False), T.clean_entities(plain)).first()) == (want, "a& b& c©©x; AB &; &".replace("b&", "b&amp", 1))
+
+
+def test_index_packs_tokens_into_pieces(spark):
+    items = [(k, [f"w{k}-{j}" for j in range(10)] + ["all"]) for k in range(200)]
+    index = S.build_index(spark.createDataFrame(items, "key long, t array<string>"), "key", F.col("t"), 1)
+    assert index.count() == 1  # not a row for each of 2,001 tokens
+    got = S.search_index(index, spark.createDataFrame([(1, ["all", "w7-3", "none"])], "req long, t array<string>"), "req", F.col("t"), 2).collect()
+    assert [(x.key, x.score, x["rank"]) for x in sorted(got, key=lambda x: x["rank"])] == [(7, 2 / 12, 1), (0, 1 / 13, 2)]
