@@ -5,13 +5,17 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from regscope.functions.text import BLANKS
+
 TOKENS = r"array_distinct(regexp_extract_all(coalesce(a, ''), '[가-힣A-Za-z0-9]+', 0))"
 
+_BLANKS = "'" + "".join(f"\\u{ord(x):04x}" for x in BLANKS) + "'"
+
 #: name: (parameters, result type, SQL)
 FUNCTIONS = {
     "squeeze": ("a STRING", "STRING", r"regexp_replace(coalesce(a, ''), '(?U)\\s+', ' ')"),
     "space_free": ("a STRING", "STRING", r"regexp_replace(coalesce(a, ''), '(?U)\\s+', '')"),
-    "strip_text": ("a STRING", "STRING", r"regexp_replace(coalesce(a, ''), '(?U)^\\s+|\\s+$', '')"),
+    "strip_text": ("a STRING", "STRING", f"btrim(coalesce(a, ''), {_BLANKS})"),
     "norm_heading": ("a STRING", "STRING", r"regexp_replace(coalesce(a, ''), '(?U)[\\s·ㆍ・‧]+', '')"),
     "normalize_question": ("a STRING", "STRING", "lower(squeeze(strip_text(a)))"),
     "word_set": ("a STRING", "ARRAY<STRING>", TOKENS),
@@ -26,7 +30,7 @@ FUNCTIONS = {
 
 #: An article's heading: number, branch or second number.
 ARTICLE = r"제\s*(\d+)\s*(?:[-\s]\s*(\d+))?\s*(?:조의\s*(\d+))?\s*조"
-_PLAIN = r"regexp_replace(coalesce(a, ''), r'(?U)^\s+|\s+$', '')"
+_PLAIN = f"btrim(coalesce(a, ''), {_BLANKS})"
 
 #: name: (parameters, columns, query); for use as ``FROM rows, LATERAL name(column)``
 TABLE_FUNCTIONS = {

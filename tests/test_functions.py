@@ -115,3 +115,16 @@ def test_normalise_risk(spark):
     got = {r.ord: r for r in C.normalise_risk(spark.createDataFrame(rows, schema)).collect()}
     assert got[1].risk_grade == "상" and got[1].risk_type == "무관" and got[1].key_changes == ["둘", "셋", "넷", "다섯"] and got[1].recommended_action == "점검"
     assert got[2].risk_grade == "무관" and got[2].recommended_action == "" and got[2].key_points == ["점"]
+
+
+def test_strip_trims_every_unicode_blank_by_the_built_in_trim(spark):
+    from regscope.functions.register import register
+
+    register(spark)
+    blanks = T.BLANKS
+    assert len(set(blanks)) == 25
+    rows = spark.createDataFrame([(f"{blanks}a{blanks}​b\x1f{blanks}",), (blanks,), ("",), (None,)], "x string")
+    old = F.regexp_replace(T.nz(F.col("x")), r"(?U)^\s+|\s+$", "")
+    got = rows.select(T.strip(F.col("x")).alias("new"), old.alias("old"), F.expr("strip_text(x)").alias("named")).collect()
+    assert [tuple(r) for r in got] == [(f"a{blanks}​b\x1f",) * 3, ("",) * 3, ("",) * 3, ("",) * 3]
+    assert "regexp" not in str(T.strip(F.col("x"))).lower()
