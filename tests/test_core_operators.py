@@ -463,3 +463,11 @@ def test_index_packs_tokens_into_pieces(spark):
     assert index.count() == 1  # not a row for each of 2,001 tokens
     got = S.search_index(index, spark.createDataFrame([(1, ["all", "w7-3", "none"])], "req long, t array<string>"), "req", F.col("t"), 2).collect()
     assert [(x.key, x.score, x["rank"]) for x in sorted(got, key=lambda x: x["rank"])] == [(7, 2 / 12, 1), (0, 1 / 13, 2)]
+
+
+def test_table_rows_leave_the_worker_in_bounded_frames(spark, monkeypatch):
+    monkeypatch.setattr(html, "ROWS", 3)
+    page = "<table>" + "<tr><td>a</td></tr>" * 4 + "</table>"
+    pages = spark.createDataFrame([(k, page) for k in range(5)], "page_id long, html string")
+    got = html.html_table_rows(pages).select("page_id", "row_no").collect()
+    assert sorted(map(tuple, got)) == [(k, n) for k in range(5) for n in range(1, 5)]
