@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regscope.functions import dicts as D
@@ -13,7 +13,7 @@ from regscope.operators.firstwins import first_wins
 def cited_articles(rows: DataFrame) -> DataFrame:
     """Rows with ``refs``: act articles that body and title cite by name or in short."""
     text = F.concat(T.nz(F.col("body")), F.lit(" "), T.nz(F.col("jo_title")))
-    return rows.withColumn("refs", F.array_union(T.citations_in(text, D.NAMED_LAW), T.citations_in(text, D.SHORT_LAW))).withColumn("decree_refs", T.citations_in(text, D.DECREE))
+    return rows.withColumn("refs", F.array_union(T.citations_in(text, D.NAMED_LAW, "」"), T.citations_in(text, D.SHORT_LAW, "법"))).withColumn("decree_refs", T.citations_in(text, D.DECREE, "영"))
 
 
 def delegated(column: Column) -> Column:
@@ -32,19 +32,25 @@ def crosswalk(enforce: DataFrame, regulation: DataFrame) -> DataFrame:
     e = e.withColumn("acts", F.array_union("refs", delegated(F.col("delegation_refs"))))
     through = e.select(F.col("jo_no").alias("decree"), F.explode("refs").alias("act_no")).distinct()
     own = e.select(F.lit("enforce").alias("side"), "id", "jo_no", F.explode(F.when(F.size("acts") > 0, F.col("acts")).otherwise(F.array("jo_no"))).alias("act_no"))
+    # texts are read once: a row's ways are act articles and decree articles, and the first way (or none) stands for the row
     r = cited_articles(regulation).withColumn("acts", F.array_union("refs", delegated(F.col("delegation_refs"))))
-    direct = r.select("id", "jo_no", F.explode("acts").alias("act_no"))
-    via = r.select("id", "jo_no", F.explode("decree_refs").alias("decree")).join(through, "decree").select("id", "jo_no", "act_no")
-    mapped = direct.unionByName(via).distinct()
-    rest = r.select("id", "jo_no").join(mapped.select("id").distinct(), "id", "left_anti").withColumn("act_no", F.lit(None).cast("int"))
-    return own.unionByName(mapped.unionByName(rest).withColumn("side", F.lit("regulation")).select("side", "id", "jo_no", "act_no"))
+    no = F.lit(None).cast("int")
+    ways = F.concat(F.transform("acts", lambda x: F.struct(x.alias("act"), no.alias("decree"))), F.transform("decree_refs", lambda x: F.struct(no.alias("act"), x.alias("decree"))))
+    r = r.select("id", "jo_no", F.posexplode_outer(ways).alias("at", "way")).select("id", "jo_no", F.when(F.coalesce("at", F.lit(0)) == 0, 1).otherwise(0).alias("row"), "way.act", "way.decree")
+    reached = r.join(through, "decree", "left").select("id", "jo_no", "row", F.coalesce("act", "act_no").alias("act_no"))
+    # one exchange by id serves both steps
+    once = reached.repartition("id").groupBy("id", "jo_no", "act_no").agg(F.sum("row").alias("rows"))
+    once = once.withColumn("mapped", F.count("act_no").over(Window.partitionBy("id")) > 0)
+    times = F.when(F.col("act_no").isNotNull(), 1).when(F.col("mapped"), 0).otherwise(F.col("rows")).cast("int")
+    mapped = once.select("id", "jo_no", F.explode(F.array_repeat("act_no", times)).alias("act_no"))
+    return own.unionByName(mapped.withColumn("side", F.lit("regulation")).select("side", "id", "jo_no", "act_no"))
 
 
 def cells(mapped: DataFrame, rows: DataFrame, order: str = "order_idx") -> DataFrame:
     """Per side and act article: labels and titles joined by `` / ``, formatted bodies by a blank line, in source order."""
     full = mapped.where("act_no IS NOT NULL").join(rows.select("id", order, "jo_label", "jo_title", "body"), "id")
     piece = F.struct(order, "id", T.nz(F.col("jo_label")).alias("label"), T.nz(F.col("jo_title")).alias("title"), T.format_statute_body(T.strip(F.col("body"))).alias("body"))
-    rows_of = F.array_sort(F.collect_list(piece))
+    rows_of = F.sort_array(F.collect_list(piece))
     join = lambda field, sep: F.array_join(F.filter(F.transform("items", lambda x: x[field]), lambda x: x != ""), sep)
     return full.groupBy("side", "act_no").agg(rows_of.alias("items")).select("side", "act_no", join("label", " / ").alias("label"), join("title", " / ").alias("title"), join("body", "\n\n").alias("body"))
 

@@ -471,3 +471,14 @@ def test_table_rows_leave_the_worker_in_bounded_frames(spark, monkeypatch):
     pages = spark.createDataFrame([(k, page) for k in range(5)], "page_id long, html string")
     got = html.html_table_rows(pages).select("page_id", "row_no").collect()
     assert sorted(map(tuple, got)) == [(k, n) for k in range(5) for n in range(1, 5)]
+
+
+def test_crosswalk_reads_rule_texts_once_and_keeps_repeated_rows(spark, tmp_path):
+    schema = "id string, jo_no int, jo_title string, body string, delegation_refs array<string>"
+    enforce = spark.createDataFrame([("e1", 7, "", "같은 법 제3조, 법 제4조", []), ("e2", 8, "", "없음", [])], schema)
+    rules = [("r1", 1, "", "영 제7조, 영 제8조와 법 제3조", []), ("r2", 2, "", "영 제8조와 영 제9조", []), ("r2", 2, "", "없음", []), ("r3", 3, "", "없음", []), ("r3", 3, "", "법 제5조", [])]
+    spark.createDataFrame(rules, schema).write.parquet(str(tmp_path / "rules"))
+    found = crosswalk.crosswalk(enforce, spark.read.parquet(str(tmp_path / "rules")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    got = sorted((r.side[0], r.id, r.act_no or 0) for r in found.collect())
+    assert got == [("e", "e1", 3), ("e", "e1", 4), ("e", "e2", 8), ("r", "r1", 3), ("r", "r1", 4), ("r", "r2", 0), ("r", "r2", 0), ("r", "r3", 5)]
