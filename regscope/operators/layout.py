@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,28 +22,32 @@ def cluster_lines(words: DataFrame, reach: float = 5.0) -> DataFrame:
     """``line`` of each word (``doc, page, text, top, x0, x1``): in order of top and x0, a word joins the current line if it
     lies within ``reach`` of the line's first word.
 
-    Only the different heights of a page decide. A height that begins a line is an anchor, and its successor is the first height
-    at least ``reach`` below it. Successors are links between heights; with pointer doubling every height learns after log2
-    of the page's lines how many links lie between it and the end of the page, and which heights the links from the first
-    one pass. Every round is a written table; of a page only its heights are ordered in one task.
+    Only the different heights of a page decide. They are sorted within partitions and walked as a stream that remembers
+    one height, so a page may have any number of them; a word without height has no line.
     """
-    words = words.withColumn("_page", F.struct("doc", "page"))
-    heights = checkpointed(words.select("_page", "top").distinct())
-    # the successor: the least height that is at least reach below
-    link = checkpointed(heights.withColumn("to", F.expr(f"min(top) OVER (PARTITION BY _page ORDER BY top RANGE BETWEEN {float(reach)}D FOLLOWING AND UNBOUNDED FOLLOWING)")))
-    first = heights.groupBy("_page").agg(F.min("top").alias("top"))
-    # reached: anchors known so far with their line; jump: where 2^k links lead
-    reached = checkpointed(first.withColumn("line", F.lit(0).cast("long")))
-    jump, step = link.where("to IS NOT NULL"), 1
-    while not jump.isEmpty():
-        on = reached.join(jump, ["_page", "top"]).select("_page", F.col("to").alias("top"), (F.col("line") + step).alias("line"))
-        reached = checkpointed(reached.unionByName(on))
-        ahead = jump.select("_page", F.col("top").alias("to"), F.col("to").alias("far"))
-        jump, step = checkpointed(jump.join(ahead, ["_page", "to"]).select("_page", "top", F.col("far").alias("to"))), 2 * step
-    line = Window.partitionBy("_page").orderBy("top").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    named = heights.join(reached, ["_page", "top"], "left").select("_page", F.col("top").alias("_top"), F.last("line", ignorenulls=True).over(line).alias("line"))
-    named = named.withColumnRenamed("_page", "_at")
-    return words.join(named, (F.col("_page") == F.col("_at")) & F.col("top").eqNullSafe(F.col("_top"))).drop("_page", "_at", "_top")
+    heights = words.select("doc", "page", "top").distinct().repartition("doc", "page").sortWithinPartitions("doc", "page", "top")
+    kinds = {f.name: f.dataType.simpleString() for f in heights.schema}
+    named = heights.mapInArrow(_walk(reach), f"_doc {kinds['doc']}, _page {kinds['page']}, _top {kinds['top']}, line long")
+    same = F.col("doc").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page")) & F.col("top").eqNullSafe(F.col("_top"))
+    return words.join(named, same).drop("_doc", "_page", "_top")
+
+
+def _walk(reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Numbers the lines of sorted heights; the current page, anchor and line go from batch to batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, anchor, line = None, None, -1
+        for batch in batches:
+            lines = []
+            for doc, page, top in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != (doc, page):
+                    at, anchor, line = (doc, page), None, -1
+                if top is not None and (anchor is None or not top - anchor < reach):
+                    anchor, line = top, line + 1
+                lines.append(None if top is None else line)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64())], ["_doc", "_page", "_top", "line"])
+
+    return work
 
 
 def line_texts(words: DataFrame) -> DataFrame:

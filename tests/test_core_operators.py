@@ -482,3 +482,15 @@ def test_crosswalk_reads_rule_texts_once_and_keeps_repeated_rows(spark, tmp_path
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
     got = sorted((r.side[0], r.id, r.act_no or 0) for r in found.collect())
     assert got == [("e", "e1", 3), ("e", "e1", 4), ("e", "e2", 8), ("r", "r1", 3), ("r", "r1", 4), ("r", "r2", 0), ("r", "r2", 0), ("r", "r3", 5)]
+
+
+def test_lines_are_walked_without_rounds_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(layout, "checkpointed", None)
+    rows = [(d, p, float(3 * k)) for d in ("a", None) for p in (1, 2) for k in range(40)] + [("a", 1, None)]
+    frame = spark.createDataFrame([(d, p, "", t, 0.0, 1.0) for d, p, t in rows], "doc string, page int, text string, top double, x0 double, x1 double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((str(r.doc), r.page, -1 if r.top is None else r.top, r.line) for r in layout.cluster_lines(frame).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted((str(d), p, -1 if t is None else t, None if t is None else int(t // 6)) for d, p, t in rows)
