@@ -6,10 +6,10 @@ the tests and the registered queries compare streams with batches.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,42 +28,58 @@ def unseen(stream: DataFrame, key: str = "url", ts: str = "ts", delay: str = "3
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def first_in_order(stream: DataFrame, key: str = "url", ts: str = "ts", ident: str = "event_id", days: int = 3) -> DataFrame:
+def first_in_order(stream: DataFrame, key: str = "url", ts: str = "ts", ident: str = "event_id", days: int = 3, groups: int = 512) -> DataFrame:
     """``key, ident, ts``: the first row of each address in order of time and identifier; ``days`` after it the address is new
     again. Rows come out once the watermark, ``days`` behind the latest row, has passed them, and rows behind it are cut.
 
-    Keyed state with event-time timers: an address holds the time of its last row given out and the rows the watermark has
-    not passed yet, which are taken in order when its timer fires. So the result doesn't depend on how rows fall into batches,
-    as long as none comes too late. An address without waiting rows is forgotten when it is new again.
+    Keyed state with event-time timers: a group of addresses (by a hash, one of ``groups``) holds the time of each address's
+    last row given out and the rows the watermark has not passed yet, which are taken in order when its timer fires. So the
+    result doesn't depend on how rows fall into batches, as long as none comes too late. An address without waiting rows is
+    forgotten when it is new again. A call of the worker costs milliseconds, so addresses are not called one by one; a call
+    holds its group's share of a batch and of ``days`` days.
     """
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
     span = days * 86_400_000
 
-    def work(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (-1 << 60, "[]")
-        waiting = json.loads(waiting)
+    def packed(frame: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_pandas(frame, preserve_index=False)
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        return sink.getvalue().to_pybytes()
+
+    def work(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, parts = {}, []
+        if state.exists:
+            told, waiting = (pa.ipc.open_stream(x).read_pandas() for x in state.get)
+            last = dict(zip(told["key"], told["last"].tolist(), strict=True))
+            parts.append(waiting)
         if not state.hasTimedOut:
-            for pdf in frames:
-                waiting += [[int(t.value), i] for t, i in zip(pdf[ts], pdf[ident].tolist(), strict=True)]
+            parts += [pd.DataFrame({"key": pdf[key], "at": pdf[ts].astype("datetime64[ns]").astype("int64"), "id": pdf[ident]}) for pdf in frames]
+        rows = pd.concat(parts, ignore_index=True)
         mark = state.getCurrentWatermarkMs()
-        passed = sorted(w for w in waiting if w[0] // 1_000_000 + 1 < mark)
-        waiting = [w for w in waiting if w[0] // 1_000_000 + 1 >= mark]
+        due = rows["at"] // 1_000_000 + 1
+        waiting = rows[due >= mark]
+        passed = rows[due < mark].sort_values(["at", "id"])
         out = []
-        for at, i in passed:
-            if at // 1_000 > last:
-                out.append((name[0], i, pd.Timestamp(at)))
-                last = at // 1_000 + span * 1_000
-        timer = min((w[0] // 1_000_000 + 1 for w in waiting), default=last // 1_000 + 1)
-        if waiting or timer > mark:
-            state.update((last, json.dumps(waiting)))
-            state.setTimeoutTimestamp(max(timer, mark + 1))
+        for name, at, i in zip(passed["key"].tolist(), passed["at"].tolist(), passed["id"].tolist(), strict=True):
+            if at // 1_000 > last.get(name, -1 << 60):
+                out.append((name, i, pd.Timestamp(at)))
+                last[name] = at // 1_000 + span * 1_000
+        still = set(waiting["key"])
+        last = {name: to for name, to in last.items() if to // 1_000 + 1 > mark or name in still}
+        if last or len(waiting):
+            state.update((packed(pd.DataFrame({"key": list(last), "last": pd.Series(list(last.values()), dtype="int64")})), packed(waiting)))
+            timers = [to // 1_000 + 1 for name, to in last.items() if name not in still]
+            state.setTimeoutTimestamp(max(min([*timers, *([int(due[waiting.index].min())] if len(waiting) else [])]), mark + 1))
         elif state.exists:
             state.remove()
-        yield pd.DataFrame(out, columns=[key, ident, ts])
+        if out:
+            yield pd.DataFrame(out, columns=[key, ident, ts])
 
-    dated = stream.select(key, ident, ts).withWatermark(ts, f"{days} days")
+    dated = stream.select(key, ident, ts).withWatermark(ts, f"{days} days").withColumn("_group", F.pmod(F.xxhash64(key), F.lit(groups)))
     out = f"{key} {fields[key]}, {ident} {fields[ident]}, {ts} {fields[ts]}"
-    return dated.groupBy(key).applyInPandasWithState(work, out, "last long, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
+    return dated.groupBy("_group").applyInPandasWithState(work, out, "last binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def freshness(stream: DataFrame, category: str = "category", ts: str = "ts", delay: str = "3 days") -> DataFrame:

@@ -494,3 +494,16 @@ def test_lines_are_walked_without_rounds_of_tables(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == sorted((str(d), p, -1 if t is None else t, None if t is None else int(t // 6)) for d, p, t in rows)
+
+
+def test_addresses_share_groups_of_state(spark):
+    import datetime
+
+    start = datetime.datetime(2024, 1, 1)
+    path = tables.shared_path(spark)
+    spark.createDataFrame([(f"u{k}", k, start + datetime.timedelta(seconds=k)) for k in range(2000)] + [("u5", 9000, start + datetime.timedelta(days=9))], "url string, event_id long, ts timestamp").coalesce(1).write.parquet(path)
+    out, state = tables.shared_path(spark), tables.shared_path(spark)
+    job = jobs.first_in_order(jobs.file_stream(spark, path)).writeStream.option("checkpointLocation", state).trigger(availableNow=True).format("parquet").option("path", out).start()
+    job.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 512
+    assert spark.read.schema("url string, event_id long").parquet(out).select("event_id").distinct().count() == 2000
