@@ -507,3 +507,15 @@ def test_addresses_share_groups_of_state(spark):
     job.awaitTermination()
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in job.recentProgress) <= 512
     assert spark.read.schema("url string, event_id long").parquet(out).select("event_id").distinct().count() == 2000
+
+
+def test_postings_of_a_join_hold_numbers_for_classes(spark, monkeypatch):
+    held = []
+    plain = simjoin.candidates
+    monkeypatch.setattr(simjoin, "candidates", lambda a, b, *rest: held.append(dict(a.dtypes)) or plain(a, b, *rest))
+    frame = spark.createDataFrame([(1, ["x", "y", "z"]), (2, ["x", "y", "z", "q"]), (3, ["k"]), (4, ["x", "y", "z"])], "ord long, t array<string>")
+    classes = simjoin.token_classes(frame, F.col("t"), "ord")
+    name = {r.ord: r["class"] for r in classes.collect()}
+    got = {(r.a, r.b, r.score) for r in simjoin.class_pairs(classes.where("ord <> 2"), classes.where("ord <> 1"), 60).collect()}
+    assert "string" not in held[0].values()
+    assert got == {(name[1], name[2], 0.75), (name[1], name[4], 1.0), (name[3], name[3], 1.0)}
