@@ -519,3 +519,14 @@ def test_postings_of_a_join_hold_numbers_for_classes(spark, monkeypatch):
     got = {(r.a, r.b, r.score) for r in simjoin.class_pairs(classes.where("ord <> 2"), classes.where("ord <> 1"), 60).collect()}
     assert "string" not in held[0].values()
     assert got == {(name[1], name[2], 0.75), (name[1], name[4], 1.0), (name[3], name[3], 1.0)}
+
+
+def test_leaders_leave_the_postings_of_later_rounds(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "HEADS", 2)
+    monkeypatch.setattr(simjoin, "FINISH", 0)
+    met = []
+    plain = simjoin.similar_heads
+    monkeypatch.setattr(simjoin, "similar_heads", lambda posts, *rest: met.append(posts.select("node").distinct().count()) or plain(posts, *rest))
+    rows = [(i, f"own{i} alone{i}", "") for i in range(20)] + [(100 + i, f"one two three four v{i}", "") for i in range(9)]
+    got = simjoin.leader_groups(spark.createDataFrame(rows, "ord long, title string, body string"), pattern=r"\S+", stop=()).collect()
+    assert {r.leader for r in got if r.ord >= 100} == {100} and met[0] == 29 and max(met[1:]) <= 9
