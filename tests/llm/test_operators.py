@@ -175,6 +175,20 @@ def test_whole_encoder_agrees_with_chunks():
     assert one[0].tolist() == two[0].tolist() and one[1].tolist() == two[1].tolist()
 
 
+def test_words_with_any_signs_after_them_share_their_letters():
+    path = queries.vocabulary()
+    from tokenizers import Tokenizer
+
+    whole, chunks = Tokenizer.from_file(path), token_output.ChunkEncoder(path)
+    letters = [chr(c) for c in range(0x41, 0x250) if chunks.WORD.fullmatch(chr(c))]
+    words = ["Zeblorq%%%", "zeblorq***", "zeblorq", *(f"x{c}y{c}" for c in letters), *(f"ab{sign}{end}" for sign in chunks.TAIL for end in ("", "'", "-'"))]
+    words += ["ab<|endoftext|>!", "ab<|endoftext|>", "<|endoftext|>*", "a|b%", "can't'", "don'", "it's%", "a'", "'s", "e\u0301%", "e=\u0338", "1%", "%1", "\u0130%", "I\u0307x"]
+    ids, size = chunks.encode(pa.array(words))
+    upto = np.cumsum(size)
+    assert [ids[b - n : b].tolist() for n, b in zip(size, upto, strict=True)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert sum("zeblorq" in p.lower() for p in chunks.parts) == 1
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(5)
     make = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
