@@ -28,11 +28,9 @@ def drop_benchmark_documents(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Rows that repeat an identifier share the copies of the first."""
-    copies = mixing.mixed(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    copies = copies.withColumnRenamed("doc_id", "_id")
-    taken = docs.join(stored(copies), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """Each document as often as the mix takes it. The mix carries the rows, so they are not joined with its decisions."""
+    taken = mixing.mixed(docs, carry=True).where("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

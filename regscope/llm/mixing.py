@@ -67,8 +67,10 @@ def mixed(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    carry: bool = False,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, copies``.
+    """One row per row of ``docs``: ``doc_id, size, source_size, target, taken, copies``; with ``carry`` the row itself follows as a
+    struct ``row``, which is decided where it lies: only rows of buckets in which a budget ends move.
 
     Size counts words (runs of other than ASCII white space; null: 0). ``copies`` is how often the mix holds the
     document, ``taken`` is ``copies * size``; documents are taken whole. After the document at which the budget would be
@@ -85,6 +87,8 @@ def mixed(
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (F.char_length(text) if quality is None else quality).alias("q"),
         F.xxhash64(F.lit(seed), F.col(id_col), F.octet_length(text)).alias("draw"),
+        F.xxhash64(text).alias("tie"),
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []),
     )
     if quality is None:
         rows = rows.withColumn("q", F.when(F.col("q").between(4 * F.col("size"), 13 * F.col("size")), 1.0).otherwise(0.25))
@@ -112,7 +116,7 @@ def mixed(
     rows = rows.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rows = rows.withColumn("edge", F.coalesce(F.col("bucket") == F.col("last"), F.lit(False)) & (F.col("size") > 0))
 
-    one = Window.partitionBy("source").orderBy("key", "doc_id", "size")
+    one = Window.partitionBy("source").orderBy("key", "doc_id", "size", "tie")
     whole = Window.partitionBy("source")
     edge = rows.where("edge").withColumn("upto", F.sum("size").over(one.rowsBetween(Window.unboundedPreceding, 0)))
     edge = edge.withColumn("fits", F.col("upto") <= F.col("room"))
@@ -129,5 +133,5 @@ def mixed(
     edge = edge.withColumn("copies", F.col("epochs") + (F.col("fits") | F.coalesce(near, F.lit(False))).cast("long"))
     early = F.when(F.col("rest") <= 0, False).when(F.col("last").isNull(), True).otherwise(F.col("bucket") < F.col("last"))
     others = rows.where("not edge").withColumn("copies", F.col("epochs") + (early & (F.col("size") > 0)).cast("long"))
-    out = ["doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"]
+    out = ["doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *(["row"] if carry else [])]
     return others.select(*out).unionByName(edge.select(*out))

@@ -214,6 +214,13 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def node_texts(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``node, text`` of the wanted rows (``node, at, text_hash``). These grow with the table, so they are not broadcast at any size."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    own = rows.join(wanted.hint("merge"), ["text_hash"]).where(F.col("at").eqNullSafe(F.col("doc_id")))
+    return own.select("node", "text").dropDuplicates(["node"])
+
+
 def near_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -235,16 +242,8 @@ def near_classes(
     most = F.min(F.struct((-F.col("n")).alias("n"), "node"))["node"]
     bucket = stored(spread.groupBy("key").agg(most.alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1"))
     member = stored(spread.join(bucket.select("key", "hub"), "key"))
-    texts = stored(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-        .join(
-            node.join(member.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("at"), F.col("first.text_hash").alias("text_hash")),
-            ["text_hash"],
-        )
-        .where(F.col("at").eqNullSafe(F.col("doc_id")))
-        .select("node", "text")
-        .dropDuplicates(["node"])
-    )
+    wanted = node.join(member.select("node").distinct(), "node", "left_semi").select("node", F.col("first.doc_id").alias("at"), F.col("first.text_hash").alias("text_hash"))
+    texts = stored(node_texts(docs, wanted, id_col, text_col))
     first = member.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = stored(verified(first, texts, similarity))
     classes = components(links)

@@ -327,6 +327,29 @@ def test_mixing(spark):
     assert mixing.mixed(docs(spark, [])).count() == 0
 
 
+def test_mixed_rows_are_carried_and_decided_each(spark):
+    """The rows come with their decisions; rows that share an identifier have their own, and reruns agree."""
+    r = random.Random(3)
+    rows = [(i // 2, " ".join(["word"] * r.randrange(0, 60)) + f" {i}", r.choice(["a", "b", None])) for i in range(900)]
+    frame = docs(spark, rows)
+    plain = sorted((str(x.doc_id), x.size, x.target, x.copies) for x in mixing.mixed(frame).collect())
+    one = mixing.mixed(frame, carry=True)
+    assert sorted((str(x.doc_id), x.size, x.target, x.copies) for x in one.collect()) == plain
+    assert sorted((x.row.doc_id, x.row.text, str(x.row.source)) for x in one.collect()) == sorted((i, t, str(s)) for i, t, s in rows)
+    assert all(x.row.doc_id == x.doc_id and len(x.row.text.split()) == x.size for x in one.collect())
+    mixed = [corpus_pipeline.mix_sources(spark, d, SF).collect() for d in (frame, frame.repartition(7))]
+    assert sorted(map(str, mixed[0])) == sorted(map(str, mixed[1]))
+    assert Counter(x.text for x in mixed[0]) == Counter({x.row.text: x.copies for x in one.collect() if x.copies})
+
+
+def test_texts_of_nodes_meet_by_one_kind_of_join(spark):
+    frame = docs(spark, ROWS)
+    wanted = frame.select(F.lit(b"n").alias("node"), F.col("doc_id").alias("at"), F.xxhash64("text").alias("text_hash")).where("at = 2")
+    found = near_dedup.node_texts(frame, wanted)
+    assert [(bytes(x.node), x.text) for x in found.collect()] == [(b"n", "hello world")]
+    assert "SortMergeJoin" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+
+
 def test_heavier_documents_come_first(spark):
     rows = [(i, "w " * 10, "a" if i % 2 else "b") for i in range(4000)]
     weight = F.when(F.col("doc_id") % 4 < 2, 4.0).otherwise(1.0)
