@@ -93,7 +93,7 @@ def mixed(
     if quality is None:
         rows = rows.withColumn("q", F.when(F.col("q").between(4 * F.col("size"), 13 * F.col("size")), 1.0).otherwise(0.25))
     unit = (F.shiftrightunsigned("draw", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = stored(rows.withColumn("key", -F.log(unit) / F.col("q")).drop("draw"))
+    rows = stored(rows.withColumn("key", -F.log(unit) / F.col("q")).drop("draw"), compression="zstd" if carry else "snappy")
 
     counts = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"), F.min("q").alias("slow"))
     targets = source_targets(counts.select("source", "source_size"), weights, share)
