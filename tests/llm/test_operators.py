@@ -189,6 +189,20 @@ def test_words_with_any_signs_after_them_share_their_letters():
     assert sum("zeblorq" in p.lower() for p in chunks.parts) == 1
 
 
+def test_words_with_one_sign_are_cut_without_python(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, cut = queries.vocabulary(), []
+    chunks = token_output.ChunkEncoder(path)
+    split = chunks._split
+    monkeypatch.setattr(chunks, "_split", lambda run: (cut.append(run), split(run))[1])
+    texts = ["Zeblorq, \u00c9t\u00e9. na\u00efve! x", None, "", "  ", "zeblorq... it's zeblorq,"]
+    ids, size = chunks.encode(pa.array(texts))
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == sum(want, []) and size.tolist() == [len(w) for w in want]
+    assert sorted(x for x in cut if x) == ["it's", "zeblorq..."]
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(5)
     make = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
