@@ -287,12 +287,15 @@ def near_classes(
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` that stay, one of each class, with all their columns."""
+    """The rows of ``docs`` that stay, one of each class, with all their columns.
+
+    The names of these grow with the table, so they are not broadcast at any size, and a task holds those of its partition.
+    """
     held = stored(near_classes(docs, id_col, text_col, similarity).where("kept"))
     names = held.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"))
     digest = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
     same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_col) == F.col("_kept_hash"))
-    left = docs.join(names, same, "left_semi")
+    left = docs.join(names.hint("shuffle_hash"), same, "left_semi")
     if held.where("twins > 1").isEmpty():
         return left
     return left.withColumn("_digest", digest).dropDuplicates([id_col, "_digest"]).drop("_digest")

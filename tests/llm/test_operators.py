@@ -203,6 +203,13 @@ def test_words_with_one_sign_are_cut_without_python(monkeypatch):
     assert sorted(x for x in cut if x) == ["it's", "zeblorq..."]
 
 
+def test_kept_rows_are_picked_by_one_kind_of_join_at_every_size(spark):
+    rows = [(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "x", "s"), (None, "y", "s")]
+    left = near_dedup.keep_one(docs(spark, rows))
+    assert sorted(r.text for r in left.collect()) == ["a b c d e f g", "x", "y"]
+    assert "BroadcastHashJoin" not in left._jdf.queryExecution().executedPlan().toString()
+
+
 def test_decontamination_equals_brute_force(spark):
     r = random.Random(5)
     make = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
