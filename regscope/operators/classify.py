@@ -130,19 +130,20 @@ def normalise_risk(rows: DataFrame) -> DataFrame:
     areas = F.filter(F.transform(F.coalesce("impacted_areas", F.array().cast("array<string>")), T.strip), lambda x: x != "")
     changes = F.coalesce(F.when(F.size("key_changes") > 0, F.col("key_changes")), F.col("key_points"), F.array().cast("array<string>"))
     changes = T.drop_quotes(F.filter(F.transform(changes, T.strip), lambda x: x != ""))
-    summary = F.substring(T.strip(F.col("summary")), 1, 140)
-    repeated = (summary != "") & (F.size(changes) > 0) & F.coalesce(T.word_similar(summary, F.try_element_at(changes, F.lit(1))), F.lit(False))
+    # named columns, since a text that a later rule names twice would be made twice
     rows = rows.select(
         *[c for c in rows.columns if c not in ("policy_name", "summary", "future_plan", "risk_grade", "risk_type", "impacted_areas", "key_changes", "key_points", "recommended_action")],
         F.substring(T.strip_brackets(F.col("policy_name")), 1, 80).alias("policy_name"),
-        summary.alias("_summary"),
+        F.substring(T.strip(F.col("summary")), 1, 140).alias("_summary"),
         F.substring(T.strip(F.col("future_plan")), 1, 200).alias("_plan"),
         enum("risk_grade", D.GRADES).alias("_grade"),
         enum("risk_type", D.TYPES).alias("_type"),
         areas.alias("impacted_areas"),
-        F.slice(F.when(repeated, F.slice(changes, 2, 4)).otherwise(changes), 1, 4).alias("_changes"),
+        changes.alias("_changes"),
         T.strip(F.col("recommended_action")).alias("_action"),
     )
+    repeated = (F.col("_summary") != "") & (F.size("_changes") > 0) & F.coalesce(T.word_similar(F.col("_summary"), F.try_element_at("_changes", F.lit(1))), F.lit(False))
+    rows = rows.withColumn("_changes", F.slice(F.when(repeated, F.slice("_changes", 2, 4)).otherwise(F.col("_changes")), 1, 4))
     void = (F.size("impacted_areas") == 0) & (F.col("_grade") != "무관")
     keep = [c for c in rows.columns if not c.startswith("_")]
     final = F.transform("_changes", T.noun_ending)

@@ -128,3 +128,34 @@ def test_strip_trims_every_unicode_blank_by_the_built_in_trim(spark):
     got = rows.select(T.strip(F.col("x")).alias("new"), old.alias("old"), F.expr("strip_text(x)").alias("named")).collect()
     assert [tuple(r) for r in got] == [(f"a{blanks}​b\x1f",) * 3, ("",) * 3, ("",) * 3, ("",) * 3]
     assert "regexp" not in str(T.strip(F.col("x"))).lower()
+
+
+def test_text_rules_search_only_texts_with_their_signs(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    ends = ["나오고 있다", "나왔다.", "보인다", "커지고　있어요", "증가하고있다.", "줄어들고 있", "있다", "없다.", "전망이다", "막이다", "이다", "입니다.", "됐다", "되었습니다.", "된다", "했다했다.", "하였다", "합니다 ", "하다..", "다", "라", "다... ", "한다.\n", "한다.\x85"]
+    signs = [*'"“”\'‘’[]()「』.…—–,?! 　\n가a', "—", " – ", "..", "[단독]", "라고 말했다"]
+    texts = [w + e for w in ("", "가", "나 라", "강화 ", "있다 ") for e in ends] + ["".join(r.choice(signs) for _ in range(r.randrange(0, 14))) for _ in range(600)] + [None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    s = F.regexp_replace(T.strip(F.col("x")), r"(?U)\.{2,}\s*$", "")
+    for rule, to in reversed(T.D.NOUN_ENDINGS):
+        made = F.regexp_replace(s, T.U + rule, to)
+        later = made if rule == T.D.NOUN_ENDINGS[-1][0] else F.when(made != s, made).otherwise(later)
+    noun = T.strip(F.regexp_replace(later, r"(?U)[,.\s]+$", ""))
+    b = T.strip(F.col("x"))
+    for pattern in ('"[^"]*"', "“[^”]*”", "'[^']*'", "‘[^’]*’", r"\[[^\]]{1,20}\]", r"(?U)\s*\[[^\]]*$"):
+        b = F.regexp_replace(b, pattern, " ")
+    rows = rows.withColumn("b", b)
+    b = F.when(F.regexp_count("b", F.lit(r"\]")) > F.regexp_count("b", F.lit(r"\[")), F.regexp_replace("b", r"(?U)^\s*[^\[]*\]\s*", " ")).otherwise(F.col("b"))
+    for pattern, to in ((r"(?U)\s*\([^)]*$", " "), ("[「」『』]", ""), (r"\.{2,}", " "), ("…+", " "), ("[\"“”'‘’]", "")):
+        b = F.regexp_replace(b, pattern, to)
+    for pattern, to in ((r"(?U)\s{2,}", " "), (r"(?U)\s+([,.?!])", "$1"), (r"(?U)^[,.\s]+|[,.\s]+$", "")):
+        b = F.regexp_replace(F.element_at(F.split(b, r"(?U)\s+[—–]\s+"), 1) if to == " " else b, pattern, to)
+    for x in rows.select("x", T.noun_ending(F.col("x")).alias("noun"), noun.alias("old"), T.strip_brackets(F.col("x")).alias("bare"), T.strip(b).alias("was")).collect():
+        assert (x.noun, x.bare) == (x.old, x.was), repr(x.x)
+    # a text without an ending's sign meets no rule: a rule that turns every text would have shown
+    everywhere = tuple((sign, r"[\s\S]+", "found") for sign, _, _ in T.ENDINGS)
+    monkeypatch.setattr(T, "ENDINGS", everywhere)
+    got = spark.createDataFrame([("summary of many words",), ("검토한다",)], "x string").select(T.noun_ending(F.col("x"))).collect()
+    assert [x[0] for x in got] == ["summary of many words", "found"]
