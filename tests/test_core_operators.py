@@ -555,3 +555,33 @@ def test_leaders_leave_the_postings_of_later_rounds(spark, monkeypatch):
     rows = [(i, f"own{i} alone{i}", "") for i in range(20)] + [(100 + i, f"one two three four v{i}", "") for i in range(9)]
     got = simjoin.leader_groups(spark.createDataFrame(rows, "ord long, title string, body string"), pattern=r"\S+", stop=()).collect()
     assert {r.leader for r in got if r.ord >= 100} == {100} and met[0] == 29 and max(met[1:]) <= 9
+
+
+@pytest.mark.parametrize(("heads", "scan"), [(1, 2_000_000_000), (2, 40), (16, 40), (16, 2_000_000_000)])
+def test_leader_rounds_write_no_postings(spark, monkeypatch, heads, scan):
+    """Tokens that reach over batches, take heads in part or stop at the bound of comparisons; only pairs and rows are written."""
+    monkeypatch.setattr(simjoin, "HEADS", heads)
+    monkeypatch.setattr(simjoin, "SCAN", scan, raising=False)
+    monkeypatch.setattr(simjoin, "FINISH", 3)
+    made = []
+    plain = simjoin.checkpointed
+    monkeypatch.setattr(simjoin, "checkpointed", lambda frame: made.append(frame.columns) or plain(frame))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    r = random.Random(heads)
+    pool = [f"w{k}" for k in range(30)]
+    rows = [(i, " ".join(r.sample(pool, r.randrange(1, 5))), "") for i in range(60)] + [(60 + i, f"one two three v{i % 3}", f"u{i}") for i in range(30)]
+    try:
+        frame = spark.createDataFrame(rows, "ord long, title string, body string")
+        got = {x.ord: x.leader for x in simjoin.leader_groups(frame, pattern=r"\S+", stop=()).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == greedy(rows)
+    assert made and not any("token" in columns or "w0" in columns for columns in made)
+
+
+def test_leader_groups_of_rows_named_by_strings(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "HEADS", 2)
+    monkeypatch.setattr(simjoin, "FINISH", 0)
+    rows = [(f"k{i:03}", f"one two three four v{i}", "") for i in range(40)] + [(f"z{i}", f"own{i} alone{i}", None) for i in range(5)]
+    got = simjoin.leader_groups(spark.createDataFrame(rows, "ord string, title string, body string"), pattern=r"\S+", stop=()).collect()
+    assert {x.ord: x.leader for x in got} == greedy(rows)
