@@ -585,3 +585,36 @@ def test_leader_groups_of_rows_named_by_strings(spark, monkeypatch):
     rows = [(f"k{i:03}", f"one two three four v{i}", "") for i in range(40)] + [(f"z{i}", f"own{i} alone{i}", None) for i in range(5)]
     got = simjoin.leader_groups(spark.createDataFrame(rows, "ord string, title string, body string"), pattern=r"\S+", stop=()).collect()
     assert {x.ord: x.leader for x in got} == greedy(rows)
+
+
+def test_a_cluster_compares_its_tokens_with_its_leader_only(spark, monkeypatch):
+    compared = []
+    plain = simjoin.similar_heads
+    monkeypatch.setattr(simjoin, "FINISH", 0)
+    monkeypatch.setattr(simjoin, "similar_heads", lambda rows, met, *rest: compared.append(met.select("node", "head").distinct().count()) or plain(rows, met, *rest))
+    rows = [(i, f"one two three four five six seven eight nine v{i}", "") for i in range(60)]
+    got = simjoin.leader_groups(spark.createDataFrame(rows, "ord long, title string, body string"), pattern=r"\S+", stop=()).collect()
+    assert {x.leader for x in got} == {0} and sum(compared) == 59
+
+
+def test_rows_of_keys_are_told_without_a_shuffle(spark, monkeypatch):
+    rows = spark.range(2000).select(F.concat(F.lit("k"), "id").alias("node"), F.array("id").alias("t0"))
+    keys = spark.range(0, 2000, 7).select(F.concat(F.lit("k"), "id").alias("x"))
+    want = {f"k{i}" for i in range(0, 2000, 7)}
+    found = simjoin.only(rows, keys)
+    assert found.schema.simpleString() == rows.schema.simpleString() and {r.node for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simjoin, "SLOTS", 64)  # a bitmap that is too small lets others pass, and loses none
+    assert {r.node for r in simjoin.only(rows, keys).collect()} >= want
+    assert simjoin.only(rows, keys.limit(0)).count() == 0
+
+
+def test_copies_that_stay_nodes_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "SLOTS", 1)  # every copy stays
+    monkeypatch.setattr(simjoin, "FINISH", 2)
+    r = random.Random(4)
+    pool = [f"w{k}" for k in range(12)]
+    rows = [(i, " ".join(r.sample(pool, r.randrange(0, 4))), "") for i in range(60)]
+    rows += [(60 + i, rows[i % 20][1], "") for i in range(40)]
+    got = {x.ord: x.leader for x in simjoin.leader_groups(spark.createDataFrame(rows, "ord long, title string, body string"), pattern=r"\S+", stop=()).collect()}
+    assert got == greedy(rows)
